@@ -1,9 +1,11 @@
 """Queries of this subpackage, by name, and the SQL that gives the same rows."""
 
+from .bpe import op10_bpe
 from .mixing import OP4_SQL, op4_mixing
 
 QUERIES = {
     "op4_mixing": op4_mixing,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {
