@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -68,5 +69,10 @@ def range_bucket(key: str, bounds: list[int]) -> Column:
     """0 for null and the lowest keys, rising with the key."""
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(cuts, lambda b: b < F.col(key))))
+    step = math.isqrt(len(bounds) - 1) + 1
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    lits = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    below = lambda cuts: F.size(F.filter(cuts, lambda b: b < F.col(key)))
+    block = below(lits([b[-1] for b in blocks]))  # the block whose last bound is not below the key
+    inside = F.when(block < len(blocks), below(F.element_at(F.array(*map(lits, blocks)), F.least(block, F.lit(len(blocks) - 1)) + 1))).otherwise(0)
+    return F.when(F.col(key).isNull(), 0).otherwise(F.least(block * step, F.lit(len(bounds))) + inside)

@@ -1,10 +1,12 @@
 """Queries of this subpackage, by name, and the SQL that gives the same rows."""
 
 from .bpe import op10_bpe
+from .imatch import op6_imatch
 from .mixing import OP4_SQL, op4_mixing
 
 QUERIES = {
     "op4_mixing": op4_mixing,
+    "op6_imatch": op6_imatch,
     "op10_bpe": op10_bpe,
 }
 
