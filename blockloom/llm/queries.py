@@ -3,10 +3,12 @@
 from .bpe import op10_bpe
 from .imatch import op6_imatch
 from .mixing import OP4_SQL, op4_mixing
+from .tokenfiles import op8_tokenfiles
 
 QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_imatch": op6_imatch,
+    "op8_tokenfiles": op8_tokenfiles,
     "op10_bpe": op10_bpe,
 }
 
