@@ -3,10 +3,12 @@
 from .bpe import op10_bpe
 from .imatch import op6_imatch
 from .mixing import OP4_SQL, op4_mixing
+from .neighbours import OP5_SQL, op5_neighbours
 from .tokenfiles import op8_tokenfiles
 
 QUERIES = {
     "op4_mixing": op4_mixing,
+    "op5_neighbours": op5_neighbours,
     "op6_imatch": op6_imatch,
     "op8_tokenfiles": op8_tokenfiles,
     "op10_bpe": op10_bpe,
@@ -14,4 +16,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_mixing": OP4_SQL,
+    "op5_neighbours": OP5_SQL,
 }
