@@ -21,6 +21,8 @@ columns are ignored. A single document is its own next one.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,21 +45,25 @@ def lexicon(docs: DataFrame, rare: int = RARE, frequent: int = FREQUENT) -> Data
     return counts.where((F.col("df") >= max(2, n / rare)) & (F.col("df") <= max(2, n / frequent))).select("term")
 
 
+def short(*columns: Column) -> Column:
+    return F.shiftright(F.xxhash64(*columns), 32).cast("int")
+
+
 def subset_hashes(kept: Column, all_terms: Column, subsets=SUBSETS) -> Column:
     """Array of one hash for each subset, null without terms. kept: sorted distinct term hashes in the lexicon."""
     choices = F.array(*[F.struct(F.lit(seed).alias("seed"), F.lit(rate).alias("rate")) for seed, rate in subsets])
 
     def hashed(choice: Column) -> Column:
         members = F.filter(kept, lambda t: F.pmod(F.xxhash64(t, choice["seed"]), choice["rate"]) == 0)
-        return F.transform(F.array(members), lambda m: F.when(F.size(m) > 0, F.xxhash64(m)))[0]
+        return F.transform(F.array(members), lambda m: F.when(F.size(m) > 0, short(m)))[0]
 
-    none = F.lit(None).cast("long")
-    fallback = F.array(F.when(F.size(all_terms) > 0, F.xxhash64(all_terms, F.lit("all"))), *[none] * (len(subsets) - 1))
+    none = F.lit(None).cast("int")
+    fallback = F.array(F.when(F.size(all_terms) > 0, short(all_terms, F.lit("all"))), *[none] * (len(subsets) - 1))
     return F.when(F.size(kept) > 0, F.transform(choices, hashed)).otherwise(fallback)
 
 
 def fingerprint(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h)), F.lit("-"))), ":")
+    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), F.lit("-"))), ":")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -88,6 +94,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
+@contextlib.contextmanager
+def partitioned_by_part_of_keys(spark: SparkSession):
+    """Rows dealt by range are already together for a join on (range, rn): no exchange is wanted for it."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of documents (doc_id, text), of their edited texts, and likenesses (see op6_imatch)."""
     kept_terms = materialise(lexicon(docs))
@@ -114,7 +132,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         subset_hashes(F.coalesce("changed", none), F.col("all_edited")).alias("efp"),
     )
     following = F.lead("fp").over(Window.partitionBy("range").orderBy("rn"))
-    return both.withColumn("next_fp", following).where("ghost = 0").select(
+    with partitioned_by_part_of_keys(docs.sparkSession):
+        done = materialise(both.withColumn("next_fp", following).where("ghost = 0").drop("range", "rn", "ghost"))
+    return done.select(
         *("doc_id", "n_chars", "edited_sha256"),
         fingerprint(F.col("fp")).alias("fingerprint"),
         fingerprint(F.col("efp")).alias("edited_fingerprint"),
