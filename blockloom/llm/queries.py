@@ -5,11 +5,13 @@ from .imatch import op6_imatch
 from .mixing import OP4_SQL, op4_mixing
 from .neighbours import OP5_SQL, op5_neighbours
 from .tokenfiles import op8_tokenfiles
+from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_neighbours": op5_neighbours,
     "op6_imatch": op6_imatch,
+    "op7_warc": op7_warc,
     "op8_tokenfiles": op8_tokenfiles,
     "op10_bpe": op10_bpe,
 }
@@ -17,4 +19,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_mixing": OP4_SQL,
     "op5_neighbours": OP5_SQL,
+    "op7_warc": OP7_SQL,
 }
