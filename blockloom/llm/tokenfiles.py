@@ -47,9 +47,13 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<i8"), ("n", "<
 FOOTER = "<qqq32s8s"
 ROWS_PER_FILE, FILES = 20_000, 4096
 #: Entries of the cache of words, and characters of the longest word in it.
-CACHE_ENTRIES, CACHED_CHARS = 400_000, 40
-#: White space and then the rest of a word: a pre-token never crosses from the rest into white space.
-CHUNKS = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
+CACHE_ENTRIES, CACHED_CHARS = 500_000, 40
+#: White space, other characters, then letters and digits. A pre-token never crosses from letters or
+#: digits to something else, nor into white space (which \x1c to \x1f aren't for the tokenizer).
+CHUNKS = re.compile("[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])*[^\\W_]+|[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])+|[^\\S\x1c-\x1f]+")
+#: White space before a space: the only case in which a pre-token may cross into a space.
+RUN_OF_WHITE = re.compile(r"\s ")
+SPACED = re.compile(r" [^\W_]+")
 
 
 def default_tokenizer() -> str:
@@ -59,7 +63,11 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; words already seen come from a cache that is emptied when full."""
+    """Ids of texts by the tokenizers library; words and parts of words already seen come from caches.
+
+    A text is cut at single spaces, a word not seen yet into chunks; both are places that no
+    pre-token crosses, so ids of the parts are the ids of the whole. A cache that is full is emptied.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,24 +75,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character of a byte-level token is a byte
+        for token, i in vocabulary.items():
+            self.length[i] = len(token)
+        self.words: dict[str, bytes] = {}  # of the word after a space
+        self.chunks: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks. Those of a space and letters or digits are encoded as one text, told apart by their bytes."""
+        plain = [c for c in chunks if SPACED.fullmatch(c)]
+        out = dict(zip(other := [c for c in chunks if not SPACED.fullmatch(c)], self._ids(other)))
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(c.encode()) for c in part])) + 1
+            raw, at = ids.tobytes(), [0, *(ends * self.width).tolist()]
+            out.update(zip(part, [raw[a:b] for a, b in zip(at, at[1:])]))
+        return out
+
+    def _of_chunks(self, texts: list[str]) -> list[bytes]:
         split = [CHUNKS.findall(t) for t in texts]
-        new = list(set().union(*split) - cache.keys())
-        own = dict(zip(new, self._ids(new)))
-        cache.update((k, v) for k, v in own.items() if len(k) <= CACHED_CHARS)
-        long = {k: v for k, v in own.items() if len(k) > CACHED_CHARS}
-        if long:
-            return [b"".join([long[c] if c in long else cache[c] for c in chunks]) for chunks in split]
-        return [b"".join([cache[c] for c in chunks]) for chunks in split]
+        if len(self.chunks) > CACHE_ENTRIES:
+            self.chunks.clear()
+        new = self._learn(set().union(*split) - self.chunks.keys())
+        self.chunks.update((k, v) for k, v in new.items() if len(k) <= CACHED_CHARS)
+        long = {k: v for k, v in new.items() if len(k) > CACHED_CHARS}
+        get = self.chunks.__getitem__
+        return [b"".join([long.get(c) or get(c) for c in cs] if long else map(get, cs)) for cs in split]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list = [None] * len(texts)
+        odd = [i for i, t in enumerate(texts) if RUN_OF_WHITE.search(t)]
+        for i, ids in zip(odd, self._of_chunks([texts[i] for i in odd])):
+            out[i] = ids
+        even = [i for i, x in enumerate(out) if x is None]
+        split = [texts[i].split(" ") for i in even]
+        if len(self.words) > CACHE_ENTRIES:
+            self.words.clear()
+        new = list(set().union(*(s[1:] for s in split)) - self.words.keys())
+        found = dict(zip(new, self._of_chunks([" " + w for w in new])))
+        self.words.update((k, v) for k, v in found.items() if len(k) <= CACHED_CHARS)
+        long = {k: v for k, v in found.items() if len(k) > CACHED_CHARS}
+        get = self.words.__getitem__
+        for i, s, first in zip(even, split, self._of_chunks([s[0] for s in split])):
+            out[i] = first + b"".join([long[w] if w in long else get(w) for w in s[1:]] if long else map(get, s[1:]))
+        return out
 
 
 @functools.lru_cache(2)
