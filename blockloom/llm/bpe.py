@@ -204,7 +204,7 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
-def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:
+def with_fields(df: DataFrame, *fields: T.StructField) -> T.StructType:
     names = {f.name for f in fields}
     return T.StructType([*(f for f in df.schema.fields if f.name not in names), *fields])
 
@@ -238,7 +238,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
                     offsets.append(pairs.tobytes())
                 yield append(part, {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) >> 2 for x in ids], pa.int64()), "offsets": pa.array(offsets, pa.binary())})
 
-    return docs.mapInArrow(run, _with(docs, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("offsets", T.BinaryType())))
+    return docs.mapInArrow(run, with_fields(docs, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("offsets", T.BinaryType())))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -251,7 +251,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             for part in slices(batch):
                 yield append(part, {"decoded": pa.array([None if x is None else tokens.decode(x) for x in part.column("ids").to_pylist()], pa.binary())})
 
-    return encoded.mapInArrow(run, _with(encoded, T.StructField("decoded", T.BinaryType())))
+    return encoded.mapInArrow(run, with_fields(encoded, T.StructField("decoded", T.BinaryType())))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ from .imatch import op6_imatch
 from .mixing import OP4_SQL, op4_mixing
 from .neighbours import OP5_SQL, op5_neighbours
 from .tokenfiles import op8_tokenfiles
+from .toxicity import op3_toxicity
 from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_neighbours": op5_neighbours,
     "op6_imatch": op6_imatch,
