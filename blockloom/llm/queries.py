@@ -4,11 +4,13 @@ from .bpe import op10_bpe
 from .imatch import op6_imatch
 from .mixing import OP4_SQL, op4_mixing
 from .neighbours import OP5_SQL, op5_neighbours
+from .ngram_join import op1_ngram_join
 from .tokenfiles import op8_tokenfiles
 from .toxicity import op3_toxicity
 from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_neighbours": op5_neighbours,
