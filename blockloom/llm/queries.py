@@ -5,6 +5,7 @@ from .imatch import op6_imatch
 from .mixing import OP4_SQL, op4_mixing
 from .neighbours import OP5_SQL, op5_neighbours
 from .ngram_join import op1_ngram_join
+from .tokencounts import op9_token_counts
 from .tokenfiles import op8_tokenfiles
 from .toxicity import op3_toxicity
 from .warc import OP7_SQL, op7_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_imatch": op6_imatch,
     "op7_warc": op7_warc,
     "op8_tokenfiles": op8_tokenfiles,
+    "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
 }
 
