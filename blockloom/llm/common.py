@@ -72,7 +72,10 @@ def range_bucket(key: str, bounds: list[int]) -> Column:
     step = math.isqrt(len(bounds) - 1) + 1
     blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     lits = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    below = lambda cuts: F.size(F.filter(cuts, lambda b: b < F.col(key)))
+    # How many cuts are below the key. Without a lambda: exchanges that hold one aren't reused.
+    here = F.col(key).cast("long")
+    below = lambda cuts: (F.array_position(F.sort_array(F.array_append(cuts, here)), here) - 1).cast("int")
     block = below(lits([b[-1] for b in blocks]))  # the block whose last bound is not below the key
     inside = F.when(block < len(blocks), below(F.element_at(F.array(*map(lits, blocks)), F.least(block, F.lit(len(blocks) - 1)) + 1))).otherwise(0)
-    return F.when(F.col(key).isNull(), 0).otherwise(F.least(block * step, F.lit(len(bounds))) + inside)
+    found = F.when(F.col(key).isNull(), 0).otherwise(F.least(block * step, F.lit(len(bounds))) + inside)
+    return F.coalesce(found, F.lit(0))  # never null, as the optimizer can see

@@ -84,7 +84,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = docs.select("doc_id", text_or_empty().alias("text"), range_bucket("doc_id", bounds).alias("range"), F.lit(0).alias("ghost"))
     heads = dealt.groupBy("range").agg(F.max("doc_id").alias("head"))
     up = Window.orderBy("range")
-    to = F.coalesce(F.lead("range").over(up), F.min("range").over(Window.partitionBy()))
+    to = F.coalesce(F.lead("range").over(up), F.min("range").over(Window.partitionBy()), F.lit(0))
     heads = heads.select(F.col("range").alias("r"), "head", to.alias("to"))
     first = dealt.join(F.broadcast(heads), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("head")))
     first = first.groupBy("to", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("to").alias("range"), F.lit(1).alias("ghost"))
