@@ -1,6 +1,7 @@
 """Queries of this subpackage, by name, and the SQL that gives the same rows."""
 
 from .bpe import op10_bpe
+from .html_text import op2_html_text
 from .imatch import op6_imatch
 from .mixing import OP4_SQL, op4_mixing
 from .neighbours import OP5_SQL, op5_neighbours
@@ -12,6 +13,7 @@ from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_html_text": op2_html_text,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_neighbours": op5_neighbours,
