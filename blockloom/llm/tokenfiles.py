@@ -34,6 +34,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,13 +48,13 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<i8"), ("n", "<
 FOOTER = "<qqq32s8s"
 ROWS_PER_FILE, FILES = 20_000, 4096
 #: Entries of the cache of words, and characters of the longest word in it.
-CACHE_ENTRIES, CACHED_CHARS = 500_000, 40
+CACHE_ENTRIES, CACHED_CHARS = 900_000, 40
 #: White space, other characters, then letters and digits. A pre-token never crosses from letters or
 #: digits to something else, nor into white space (which \x1c to \x1f aren't for the tokenizer).
 CHUNKS = re.compile("[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])*[^\\W_]+|[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])+|[^\\S\x1c-\x1f]+")
-#: White space before a space: the only case in which a pre-token may cross into a space.
-RUN_OF_WHITE = re.compile(r"\s ")
-SPACED = re.compile(r" [^\W_]+")
+#: White space before a space is the only case in which a pre-token may cross into a space; texts with
+#: the character that marks keys are cut into chunks as well.
+NOT_AT_SPACES = re.compile("\\s |\x00")
 
 
 def default_tokenizer() -> str:
@@ -63,10 +64,10 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; words and parts of words already seen come from caches.
+    """Ids of texts by the tokenizers library; parts already seen come from a cache, which is emptied when full.
 
-    A text is cut at single spaces, a word not seen yet into chunks; both are places that no
-    pre-token crosses, so ids of the parts are the ids of the whole. A cache that is full is emptied.
+    A text is cut at single spaces, and words with other characters into chunks; both are places
+    that no pre-token crosses, so ids of the parts are the ids of the whole.
     """
 
     def __init__(self, path: str):
@@ -80,51 +81,53 @@ class Encoder:
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character of a byte-level token is a byte
         for token, i in vocabulary.items():
             self.length[i] = len(token)
-        self.words: dict[str, bytes] = {}  # of the word after a space
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by chunk; a word of letters and digits stands for the chunk of a space and the word
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks. Those of a space and letters or digits are encoded as one text, told apart by their bytes."""
-        plain = [c for c in chunks if SPACED.fullmatch(c)]
-        out = dict(zip(other := [c for c in chunks if not SPACED.fullmatch(c)], self._ids(other)))
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(c.encode()) for c in part])) + 1
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space: many are encoded as one text and told apart by their bytes."""
+        out = []
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([1 + len(w.encode()) for w in part])) + 1
             raw, at = ids.tobytes(), [0, *(ends * self.width).tolist()]
-            out.update(zip(part, [raw[a:b] for a, b in zip(at, at[1:])]))
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def _of_chunks(self, texts: list[str]) -> list[bytes]:
-        split = [CHUNKS.findall(t) for t in texts]
-        if len(self.chunks) > CACHE_ENTRIES:
-            self.chunks.clear()
-        new = self._learn(set().union(*split) - self.chunks.keys())
-        self.chunks.update((k, v) for k, v in new.items() if len(k) <= CACHED_CHARS)
-        long = {k: v for k, v in new.items() if len(k) > CACHED_CHARS}
-        get = self.chunks.__getitem__
-        return [b"".join([long.get(c) or get(c) for c in cs] if long else map(get, cs)) for cs in split]
+    def _find(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of chunks and of words of letters and digits after a space."""
+        get = self.known.get
+        found = {k: v for k in keys if (v := get(k)) is not None}
+        new = [k for k in keys if k not in found]
+        plain, other = [k for k in new if k.isalnum()], [k for k in new if not k.isalnum()]
+        fresh = dict(zip(plain, self._spaced(plain))) | dict(zip(other, self._ids([k.removeprefix(BARE) for k in other])))
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        self.known.update((k, v) for k, v in fresh.items() if len(k) <= CACHED_CHARS)
+        return found | fresh
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if RUN_OF_WHITE.search(t)]
-        for i, ids in zip(odd, self._of_chunks([texts[i] for i in odd])):
-            out[i] = ids
-        even = [i for i, x in enumerate(out) if x is None]
-        split = [texts[i].split(" ") for i in even]
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        new = list(set().union(*(s[1:] for s in split)) - self.words.keys())
-        found = dict(zip(new, self._of_chunks([" " + w for w in new])))
-        self.words.update((k, v) for k, v in found.items() if len(k) <= CACHED_CHARS)
-        long = {k: v for k, v in found.items() if len(k) > CACHED_CHARS}
-        get = self.words.__getitem__
-        for i, s, first in zip(even, split, self._of_chunks([s[0] for s in split])):
-            out[i] = first + b"".join([long[w] if w in long else get(w) for w in s[1:]] if long else map(get, s[1:]))
-        return out
+        lists = [_chunks(t) if NOT_AT_SPACES.search(t) else [*_chunks(t[: (k := (t + " ").index(" "))]), *t[k + 1 :].split(" ")] if " " in t else _chunks(t) for t in texts]
+        keys = set().union(*lists)
+        mixed = {w: _chunks(" " + w) for w in keys if not w.isalnum() and w[:1] != BARE}
+        keys.difference_update(mixed)
+        local = self._find(keys.union(*mixed.values()))
+        for w, chunks in mixed.items():
+            local[w] = b"".join([local[c] for c in chunks])
+        get = local.__getitem__
+        return [b"".join(map(get, parts)) for parts in lists]
+
+
+#: Mark keys that are not what follows a space: a chunk as it is.
+BARE = "\x00"
+
+
+def _chunks(text: str) -> list[str]:
+    """Keys of the chunks of a text: the word, for a space and letters or digits, else the marked chunk."""
+    return [c[1:] if c[0] == " " and c[1:].isalnum() else BARE + c for c in CHUNKS.findall(text)]
 
 
 @functools.lru_cache(2)
@@ -132,6 +135,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def by_size(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20):
+    """Slices of a batch with texts of about size bytes together: the more, the fewer words are looked up twice."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.unique(np.cumsum(lengths) // size, return_index=True)[1].tolist()
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def open_fs(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(url)
 
@@ -183,7 +194,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 0, tokenizer:
         end = np.array([end_id], f"<u{ids_of.width}").tobytes()
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None, write_content_size=True)
         for batch in batches:
-            for part in slices(batch):
+            for part in by_size(batch):
                 ids = [x + end for x in ids_of([t or "" for t in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("file"), part.column("doc_id"), pa.array([len(x) // ids_of.width for x in ids], pa.int64()), pa.array([packer.compress(x) for x in ids], pa.binary()), pa.array([ids_of.width] * len(ids), pa.int32())],
