@@ -6,15 +6,17 @@ a count sketch over all documents (``SKETCH_ROWS`` rows of ``SKETCH_COLUMNS`` co
 size, so it is broadcast; any order gives the same links, rare-first gives few candidates). Two
 sets of similarity t or more share one of their first n - ceil(t n) + 1 n-grams in that order,
 so documents are joined on those. Candidates must pass the length filter (sizes within t),
-the positional filter (what can follow their first common n-gram) and the suffix filter (their
-counts by hash range, whose differences bound the overlap). Each pair is verified once, on the
-whole sets.
-
-Links are wanted for their components only, so pairs within a component that is already
-known are skipped: first each document is verified against the one partner, a neighbour in
-size or the smallest, that it shares most n-grams with; then all candidates between different
-components are verified. Near copies of one text thus cost about one verification each, not
-one a pair. In the second round the largest component of an n-gram is not joined with itself.
+the positional filter (what can follow their first common n-gram) and the suffix filter (parities
+of the counts by hash range, at least twice as many ranges as n-grams: where they differ, the
+sets do, which bounds the overlap). Each pair is verified once, on the whole sets.
+
+Links are wanted for their components only, so pairs inside a component that is already
+known are skipped. In each of ``ROUNDS`` rounds a document meets a few neighbours in the lists of
+its prefix n-grams (first by size, then in random orders), of other components only, and is
+verified against the one that it shares most n-grams with; the components are merged. What
+is left then, all candidates between different components, is verified whole. Near copies of
+one text thus cost a few verifications each, not one a pair. In that last step the largest
+component of an n-gram is not joined with itself.
 
 Defined results: words are runs of bytes other than ASCII white space, with A-Z lower-cased;
 a text of fewer words than n has its whole sequence as its one n-gram; null texts and texts
@@ -38,7 +40,7 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 SKETCH_ROWS, SKETCH_COLUMNS, SKETCH_BLOCK, SKETCH_SLOTS = 2, 1 << 17, 1 << 12, 8
-RANGES = 32
+ROUNDS = 5
 #: Rows of ids that a broadcast may have; beyond it the same join is shuffled.
 BROADCAST_IDS = 2_000_000
 CACHE_ENTRIES = 400_000
@@ -83,12 +85,28 @@ def _columns(h: np.ndarray, row: int) -> np.ndarray:
     return (h >> np.uint64(20 * row)).astype(np.int64) & (SKETCH_COLUMNS - 1)
 
 
+def parity(grams: np.ndarray) -> bytes:
+    """Parities of the counts of n-grams by hash range; a power of two of ranges, at least twice the n-grams."""
+    ranges = 1 << min(24, max(6, (2 * len(grams) - 1).bit_length()))
+    return np.packbits(np.bincount((grams >> np.uint64(13)).astype(np.int64) & (ranges - 1), minlength=ranges) & 1, bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Of two parities: n-grams that one set has and the other has not, at least. The longer one is folded."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (doc_id, n, k1, k2, ranges) and, with a null n, of sketch counters (k1: slot, k2: block, counts)."""
+    """Rows of documents (doc_id, n, k1, k2, parity) and, with a null n, of sketch counters (k1: slot, k2: block, counts)."""
 
     def run(batches):
         import xxhash
@@ -103,20 +121,19 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                     for row in range(SKETCH_ROWS):
                         counts[row] += np.bincount(_columns(every, row), minlength=SKETCH_COLUMNS)
                 keys = np.array([(d >> 64, d & (2**64 - 1)) for d in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], np.uint64).reshape(-1, 2).view(np.int64)
-                ranges = np.array([np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=RANGES) for s in sets], np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(ranges), pa.list_(pa.int32())), pa.nulls(len(sets), pa.binary())],
-                    names=["doc_id", "n", "k1", "k2", "ranges", "counts"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary())],
+                    names=["doc_id", "n", "k1", "k2", "parity", "counts"],
                 )
         flat = np.minimum(counts, 2**32 - 1).astype("<u4").reshape(-1, SKETCH_BLOCK)
         slot = TaskContext.get().partitionId() % SKETCH_SLOTS
         full = np.flatnonzero(flat.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array([slot] * len(full), pa.int64()), pa.array(full), pa.nulls(len(full), pa.list_(pa.int32())), pa.array([flat[i].tobytes() for i in full], pa.binary())],
-            names=["doc_id", "n", "k1", "k2", "ranges", "counts"],
+            [pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array([slot] * len(full), pa.int64()), pa.array(full), pa.nulls(len(full), pa.binary()), pa.array([flat[i].tobytes() for i in full], pa.binary())],
+            names=["doc_id", "n", "k1", "k2", "parity", "counts"],
         )
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, ranges array<int>, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, parity binary, counts binary")
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
@@ -167,31 +184,42 @@ def overlap_needed(na: Column, nb: Column, percent: int) -> Column:
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared) of rows (a, na, at_a, b, nb, at_b), one for each common prefix n-gram, by the positional filter."""
-    first = rows.groupBy("a", "b", "na", "nb").agg(F.min(F.col("at_a").cast("long") * (1 << 32) + F.col("at_b")).alias("first"), F.count(F.lit(1)).alias("shared"))
+    """Pairs of rows (a, na, at_a, ca, b, nb, at_b, cb), one for each common prefix n-gram, by the positional filter."""
+    first = rows.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.min(F.col("at_a").cast("long") * (1 << 32) + F.col("at_b")).alias("first"), F.count(F.lit(1)).alias("shared"))
     at_a, at_b = F.shiftright("first", 32), F.col("first").bitwiseAND(0xFFFFFFFF)
     after = F.least(F.col("na") - at_a, F.col("nb") - at_b)
-    return first.where(after >= overlap_needed(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb", "shared")
+    return first.where(after >= overlap_needed(F.col("na"), F.col("nb"), percent)).select("a", "b", "ca", "cb", "na", "nb", "shared")
 
 
 def ordered(x: str, y: str) -> list[Column]:
     """Columns of a pair with the smaller id as a."""
-    c = lambda side, name: F.col(f"{side}_{name}")
+    c = lambda side, name: F.col(f"{side}.{name}")
     less = c(x, "id") < c(y, "id")
     pick = lambda name, first: F.when(less if first else ~less, c(x, name)).otherwise(c(y, name))
-    return [pick("id", True).alias("a"), pick("n", True).alias("na"), pick("at", True).alias("at_a"), pick("id", False).alias("b"), pick("n", False).alias("nb"), pick("at", False).alias("at_b")]
+    return [pick(name, first).alias(to + side) for side, first in (("a", True), ("b", False)) for name, to in (("id", ""), ("n", "n"), ("at", "at_"), ("component", "c"))]
 
 
 def suffix_filter(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose counts by hash range allow the overlap they need."""
-    side = lambda k: facts.select(F.col("id").alias(k), F.col("ranges").alias(f"r{k}"))
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.where((F.col("na") + F.col("nb") - apart) / 2 >= overlap_needed(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    """Pairs whose parities allow the overlap they need."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 4096):
+                sizes = part.column("na").to_numpy() + part.column("nb").to_numpy()
+                most = sizes - 2 * -(-percent * sizes // (100 + percent))
+                least = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(part.column("pa"), part.column("pb"))], int)
+                yield part.filter(pa.array(least <= most)).select(PAIR)
+
+    side = lambda k: facts.select(F.col("id").alias(k), F.col("parity").alias(f"p{k}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select(*PAIR, F.col("na").cast("long"), F.col("nb").cast("long"), "pa", "pb")
+    return met.mapInArrow(run, "a long, b long, ca long, cb long, shared long").dropDuplicates(["a", "b"])
+
+
+PAIR = ["a", "b", "ca", "cb", "shared"]
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the pairs (a, b) whose sets are similar enough."""
+    """(u, v): components of the pairs (a, b) whose sets are similar enough."""
 
     def run(batches):
         for batch in batches:
@@ -201,74 +229,89 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     x, y = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column("ca"), part.column("cb")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("sb")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("sa")), "a")
-    return materialise(both.select("a", "b", "sa", "sb").mapInArrow(run, "u long, v long").distinct())
+    return both.select("ca", "cb", "sa", "sb").mapInArrow(run, "u long, v long").distinct()
 
 
 def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, component) after links between components."""
+    new = components(links).select(F.col("v").alias("component"), F.col("component").alias("into"))
+    joined = labels.join(bounded(materialise(new)), "component", "left")
+    return materialise(joined.select("id", F.coalesce("into", "component").alias("component")))
+
+
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = materialise(describe(docs, n))
     levels = spark.sparkContext.broadcast(sketch(described))
-    rows = described.where(F.col("n").isNotNull()).select("doc_id", "n", "k1", "k2", "ranges")
+    rows = described.where(F.col("n").isNotNull()).select("doc_id", "n", "k1", "k2", "parity")
     known = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialise(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")))
     named = materialise(known.join(classes, ["k1", "k2"]).select("doc_id", "id", "n"))
     copies = materialise(named.groupBy("doc_id").agg(F.max(F.when(F.col("doc_id") == F.col("id"), 1).otherwise(0)).alias("own")).where("own = 0").select("doc_id"))
     texts = docs.where(F.col("doc_id").isNotNull()).join(bounded(copies), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "text")
+    facts = known.select(F.col("doc_id").alias("id"), "parity")
 
     lists = Window.partitionBy("gram")
-    by_size = lists.orderBy("n", "id")
-    mine = F.struct("id", "n", "at")
     shared = prefixes(texts, levels, n, percent).withColumn("docs", F.count(F.lit(1)).over(lists)).where("docs > 1")
-    shared = shared.withColumn("head", F.first(mine).over(by_size)).withColumn("prev", F.lag(mine).over(by_size))
-    shared = materialise(shared.select("gram", "id", "n", "at", "head", "prev"))
-
-    y = [F.col("id").alias("y_id"), F.col("n").alias("y_n"), F.col("at").alias("y_at")]
-    met = shared.select(*y, F.explode(F.array_distinct(F.array("head", "prev"))).alias("x")).where("x is not null").select(*("y_id", "y_n", "y_at"), F.col("x.id").alias("x_id"), F.col("x.n").alias("x_n"), F.col("x.at").alias("x_at"))
-    met = met.where((F.col("x_id") != F.col("y_id")) & within(F.col("x_n"), F.col("y_n"), percent))
-    first = candidates(met.select(*ordered("x", "y")), percent)
-    facts = known.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "ranges")
-    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-    first = first.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
-    first = materialise(suffix_filter(first, facts, percent))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
+    shared = materialise(shared.select("gram", "id", "n", "at"))
+    same_id = named.groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v").select("u", "v")
+    every = named.select("id").distinct()
+    labels = merged(every.withColumn("component", F.col("id")), same_id)
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
         def run(batches):
             for batch in batches:
                 for part in slices(batch):
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(t, n).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["id", "grams"])
 
+        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         return texts.join(bounded(ids), "id", "left_semi").mapInArrow(run, "id long, grams binary")
 
-    ends = lambda pairs: materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    same_id = named.groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v").select("u", "v")
-    links = verify(first, sets_of(ends(first)), percent).unionByName(same_id)
-    found = materialise(components(links))
-
-    placed = shared.select("gram", "id", "n", "at").join(found.select(F.col("v").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = materialise(placed)
+    def step(met: DataFrame, tried: DataFrame | None, one_each: bool) -> DataFrame:
+        """Verifies candidates (x, y) that pass the filters; merges labels; returns the pairs that it tried."""
+        nonlocal labels
+        found = candidates(met.where((F.col("x.id") != F.col("y.id")) & within(F.col("x.n"), F.col("y.n"), percent)).select(*ordered("x", "y")), percent)
+        if tried is not None:
+            found = found.join(tried, ["a", "b"], "left_anti")
+        found = suffix_filter(found, facts, percent)
+        if one_each:
+            best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+            found = found.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+        found = materialise(found)
+        labels = merged(labels, verify(found, sets_of(found), percent))
+        return found.select("a", "b")
+
+    mine = F.struct("id", "n", "at", "component").alias("y")
+    tried = None
+    for turn in range(ROUNDS):
+        order = lists.orderBy("n", "id") if turn == 0 else lists.orderBy(F.xxhash64("gram", "id", F.lit(turn)), "id")
+        near = shared.join(labels, "id").select(mine, F.lag(mine).over(order).alias("x")).where("x.component <> y.component")
+        new = step(near, tried, True)
+        if not new.take(1):
+            break
+        tried = new if tried is None else tried.unionByName(new)
+
+    placed = materialise(shared.join(labels, "id"))
     sizes = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("gram").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")).where("parts > 1").select("gram", "main")
     inside = materialise(placed.join(mixed, "gram"))
-    side = lambda k, df: df.select("gram", "main", *[F.col(c).alias(f"{k}_{c}") for c in ("id", "n", "at", "component")])
+    side = lambda k, df: df.select("gram", "main", F.struct("id", "n", "at", "component").alias(k))
     crossed = side("x", inside.where("component <> main")).join(side("y", inside).drop("main"), "gram")
-    crossed = crossed.where((F.col("x_component") != F.col("y_component")) & within(F.col("x_n"), F.col("y_n"), percent) & ((F.col("y_component") == F.col("main")) | (F.col("x_id") < F.col("y_id"))))
-    second = candidates(crossed.select(*ordered("x", "y")), percent).join(first, ["a", "b"], "left_anti")
-    second = materialise(suffix_filter(second, facts, percent))
-    more = verify(second, sets_of(ends(second)), percent)
-    found = components(links.unionByName(more))
-
-    ids = named.select("doc_id", "id", "n").join(found.select(F.col("v").alias("id"), "component"), "id", "left")
-    placed = ids.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    apart = (F.col("x.component") != F.col("y.component")) & within(F.col("x.n"), F.col("y.n"), percent)
+    step(crossed.where(apart & ((F.col("y.component") == F.col("main")) | (F.col("x.id") < F.col("y.id")))), tried, False)
+
+    ids = named.select("doc_id", "id", "n").join(labels, "id")
+    placed = ids.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     alone = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone)
 
