@@ -1,0 +1,284 @@
+"""Lossless coding of superblocks: byte planes, rows, words and general compression.
+
+Everything here works on one superblock (at most 16 MiB) inside a task. A superblock of
+fixed-width elements is an array (blocks, planes, 16 rows, 16 bytes); choices of all rows are
+made at once with array operations from the rules of operators.stats, so encoded sizes equal
+the modelled ones. Layout of a full block: a nibble of kind for each plane, then the planes;
+a normal plane is 16 header nibbles, the bases of packed rows (plain, or as runs), and the row
+bodies. What is left after the last full block is stored as it is.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from ..functions.levels import BLOCK_ELEMENTS, InvalidInput
+from .stats import NORMAL, NORMAL_RLE, RAW, SAME
+
+STRATEGIES = {1: "block", 2: "zstd", 3: "planes_zstd", 4: "planes_delta_zstd", 5: "block_zstd", 6: "copy"}
+#: Superblocks below this size are only offered to zstd and copy.
+SMALL = 128
+_WIDTH = np.array([0, 1, 2, 2, 3, 3, 3, 3, *[4] * 8, *[5] * 16, *[6] * 32, *[8] * 192], np.int64)
+
+
+def to_planes(raw: bytes, width: int) -> bytes:
+    """Byte j of every element together; bytes after the last whole element follow as they are."""
+    n = len(raw) // width
+    return np.frombuffer(raw, np.uint8, n * width).reshape(n, width).T.tobytes() + raw[n * width :]
+
+
+def from_planes(planes: bytes, width: int) -> bytes:
+    n = len(planes) // width
+    return np.frombuffer(planes, np.uint8, n * width).reshape(width, n).T.tobytes() + planes[n * width :]
+
+
+def _lanes(n: int) -> list[slice]:
+    if n <= 2048:
+        return [slice(0, n)]
+    size = n // 4
+    return [slice(i * size, n if i == 3 else (i + 1) * size) for i in range(4)]
+
+
+def delta(data: bytes) -> bytes:
+    x = np.frombuffer(data, np.uint8)
+    return b"".join(np.diff(x[s], prepend=np.uint8(0)).tobytes() for s in _lanes(len(x)))
+
+
+def undo_delta(data: bytes) -> bytes:
+    x = np.frombuffer(data, np.uint8)
+    return b"".join(np.cumsum(x[s], dtype=np.uint8).tobytes() for s in _lanes(len(x)))
+
+
+def choices(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Of int8 rows (..., 16 rows, 16): how each is encoded."""
+    flat = x.reshape(*x.shape[:-2], 256)
+    d = np.diff(flat, prepend=np.int8(0), axis=-1).reshape(x.shape)
+    inner = np.diff(d, prepend=np.int8(0), axis=-1)
+    spread = lambda v: v.max(-1).astype(int) - v.min(-1)
+    b0 = np.where(_WIDTH[spread(x)] == 6, 8, _WIDTH[spread(x)])
+    b1 = _WIDTH[spread(d)]
+    bits = np.minimum(b0, b1)
+    plain = 2 * bits + (bits != 8)
+    runs, delta_runs = (d != 0).sum(-1) + 2, (inner != 0).sum(-1) + 2
+    base = np.where(b0 == bits, x.min(-1), d.min(-1)).astype(np.int8)
+    header = np.where(bits == 8, 15, np.where(b1 < b0, bits + 8, bits))
+    header = np.where(runs < plain, 7, header)
+    header = np.where(delta_runs < np.minimum(plain, runs), 6, header)
+    size = np.minimum(np.minimum(plain, runs), delta_runs)
+    other = (header == 6) | (header == 7) | (bits == 8)
+    changed = np.diff(base, prepend=np.int8(0), axis=-1) != 0
+    saved = 16 - other.sum(-1) - (changed.sum(-1) + 2)
+    total = 8 + size.sum(-1) - np.maximum(saved, 0)
+    same = (flat == flat[..., :1]).all(-1)
+    kind = np.where(same, SAME, np.where(total > 256, RAW, np.where(saved > 0, NORMAL_RLE, NORMAL)))
+    return {"d": d, "inner": inner, "bits": bits, "base": base, "header": header, "other": other, "changed": changed, "kind": kind, "bytes": np.where(same, 1, np.minimum(total, 256))}
+
+
+def _mask(changed: np.ndarray) -> bytes:
+    return np.packbits(changed, bitorder="little").tobytes()
+
+
+def _pack(values: np.ndarray, bits: int) -> bytes:
+    if not bits:
+        return b""
+    return np.packbits((values[:, None] >> np.arange(bits)) & 1, bitorder="little").tobytes()
+
+
+def _unpack(raw: bytes, bits: int) -> np.ndarray:
+    if not bits:
+        return np.zeros(16, np.uint8)
+    return (np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little").reshape(16, bits) << np.arange(bits)).sum(1).astype(np.uint8)
+
+
+def _nibbles(values: np.ndarray) -> bytes:
+    v = np.append(values, 0) if len(values) % 2 else values
+    return (v[::2] | v[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def encode_blocks(raw: bytes, width: int) -> bytes:
+    size = BLOCK_ELEMENTS * width
+    n = len(raw) // size
+    x = np.ascontiguousarray(np.frombuffer(raw, np.int8, n * size).reshape(n, BLOCK_ELEMENTS, width).transpose(0, 2, 1)).reshape(n, width, 16, 16)
+    c = choices(x)
+    out = []
+    for b in range(n):
+        out.append(_nibbles(c["kind"][b]))
+        for p in range(width):
+            kind, rows = c["kind"][b, p], x[b, p]
+            if kind == SAME:
+                out.append(rows[0, :1].tobytes())
+            elif kind == RAW:
+                out.append(rows.tobytes())
+            else:
+                out.append(_nibbles(c["header"][b, p]))
+                base, other, changed = c["base"][b, p], c["other"][b, p], c["changed"][b, p]
+                out.append(_mask(changed) + base[changed].tobytes() if kind == NORMAL_RLE else base[~other].tobytes())
+                for r, header in enumerate(c["header"][b, p].tolist()):
+                    row, d, inner = rows[r], c["d"][b, p, r], c["inner"][b, p, r]
+                    if header == 15:
+                        out.append(row.tobytes())
+                    elif header == 7:
+                        out.append(_mask(d != 0) + row[d != 0].tobytes())
+                    elif header == 6:
+                        out.append(_mask(inner != 0) + d[inner != 0].tobytes())
+                    else:
+                        v = row if header < 8 else d
+                        out.append(_pack((v - base[r]).astype(np.uint8), header & 7))
+    return b"".join(out) + raw[n * size :]
+
+
+def _runs(first: int, mask: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values repeated until the next set bit; first stands before the first one."""
+    return np.concatenate([[np.int8(first)], values])[np.cumsum(mask)].astype(np.int8)
+
+
+def decode_blocks(data: bytes, width: int, length: int) -> bytes:
+    size = BLOCK_ELEMENTS * width
+    at, out = 0, []
+
+    def take(n: int) -> bytes:
+        nonlocal at
+        if at + n > len(data):
+            raise InvalidInput("the payload ends early")
+        at += n
+        return data[at - n : at]
+
+    def bits16() -> np.ndarray:
+        return np.unpackbits(np.frombuffer(take(2), np.uint8), bitorder="little").astype(bool)
+
+    for _ in range(length // size):
+        kinds = np.frombuffer(take((width + 1) // 2), np.uint8)
+        block = np.empty((width, 256), np.int8)
+        for p in range(width):
+            kind = int(kinds[p // 2] >> 4 * (p % 2) & 15)
+            if kind == SAME:
+                block[p] = np.frombuffer(take(1), np.int8)[0]
+            elif kind == RAW:
+                block[p] = np.frombuffer(take(256), np.int8)
+            elif kind in (NORMAL, NORMAL_RLE):
+                raw = np.frombuffer(take(8), np.uint8)
+                headers = np.stack([raw & 15, raw >> 4], 1).reshape(-1).tolist()
+                packed = [r for r, h in enumerate(headers) if h not in (6, 7, 15)]
+                if kind == NORMAL_RLE:
+                    mask = bits16()
+                    bases = _runs(0, mask, np.frombuffer(take(int(mask.sum())), np.int8))
+                else:
+                    bases = np.zeros(16, np.int8)
+                    bases[packed] = np.frombuffer(take(len(packed)), np.int8)
+                last = np.int8(0)
+                for r, h in enumerate(headers):
+                    if h == 15:
+                        row = np.frombuffer(take(16), np.int8)
+                    elif h == 7:
+                        mask = bits16()
+                        row = _runs(last, mask, np.frombuffer(take(int(mask.sum())), np.int8))
+                    else:
+                        if h == 6:
+                            mask = bits16()
+                            v = _runs(0, mask, np.frombuffer(take(int(mask.sum())), np.int8))
+                        else:
+                            v = (_unpack(take(2 * (h & 7)), h & 7) + bases[r].view(np.uint8)).astype(np.uint8).view(np.int8)
+                        row = v if h < 6 else np.cumsum(v, dtype=np.int8) + last
+                    block[p, 16 * r : 16 * r + 16] = row
+                    last = block[p, 16 * r + 15]
+            else:
+                raise InvalidInput(f"a plane of kind {kind}")
+        out.append(block.T.tobytes())
+    out.append(take(length % size))
+    if at != len(data):
+        raise InvalidInput("bytes after the payload")
+    return b"".join(out)
+
+
+def zstd_setting(level: int, width: int) -> int:
+    if level <= 0 or level == 1 and width > 1:
+        return 0
+    z = level if width == 1 else level if level - 1 >= 4 else level - 1
+    return 22 if z > 8 else max(1, 2 * z - 1)
+
+
+def offers(raw: bytes, width: int, level: int) -> dict[int, bytes]:
+    """Payloads of a superblock by strategy."""
+    import zstandard
+
+    out = {6: raw}
+    if not raw or level <= 0:
+        return out
+    z = zstandard.ZstdCompressor(level=max(1, zstd_setting(level, width)))
+    if len(raw) < SMALL:
+        return out | {2: z.compress(raw)}
+    out[1] = encode_blocks(raw, width)
+    if level == 1 and width > 1:
+        return out
+    planes = to_planes(raw, width)
+    return out | {2: z.compress(raw), 3: z.compress(planes), 4: z.compress(delta(planes)), 5: z.compress(out[1])}
+
+
+def sampled_ratio(raw: bytes, width: int, share: int = 16) -> dict[int, float]:
+    """Ratios of the strategies on the middle share of a superblock, cut to whole blocks."""
+    unit = BLOCK_ELEMENTS * width
+    n = max(unit, len(raw) // share // unit * unit)
+    start = (len(raw) - n) // 2 // width * width
+    part = raw[max(0, start) : max(0, start) + n]
+    return {k: len(part) / max(1, len(v)) for k, v in offers(part, width, 3).items()}
+
+
+def encode(raw: bytes, width: int, level: int, policy: str = "exact") -> tuple[int, bytes]:
+    """(strategy, payload): the smallest of all, ties to the lower code; or, sampled, the best of a sample."""
+    if policy == "sampled" and len(raw) >= 4 * BLOCK_ELEMENTS * width:
+        ratios = sampled_ratio(raw, width)
+        best = max(ratios, key=lambda k: (ratios[k], -k))
+        payload = offers(raw, width, level).get(best, raw)
+        return (best, payload) if len(payload) < len(raw) else (6, raw)
+    found = offers(raw, width, level)
+    code = min(found, key=lambda k: (len(found[k]), k))
+    return code, found[code]
+
+
+def decode(code: int, payload: bytes, width: int, length: int) -> bytes:
+    import zstandard
+
+    if code not in STRATEGIES:
+        raise InvalidInput(f"a strategy {code}")
+    try:
+        body = zstandard.ZstdDecompressor().decompress(payload, max_output_size=2 * length + 1024) if code in (2, 3, 4, 5) else payload
+    except zstandard.ZstdError as e:
+        raise InvalidInput(str(e)) from e
+    if code in (1, 5):
+        return decode_blocks(body, width, length)
+    out = from_planes(body, width) if code == 3 else from_planes(undo_delta(body), width) if code == 4 else body
+    if len(out) != length:
+        raise InvalidInput(f"{len(out)} bytes where {length} are due")
+    return out
+
+
+def match_words(data: bytes, word: int) -> tuple[bytes, list[int]]:
+    """Words of a block that don't repeat an earlier one, and for each word its distance back (0: none)."""
+    seen: dict[bytes, int] = {}
+    literals, distances = [], []
+    for i in range(len(data) // word):
+        w = data[i * word : (i + 1) * word]
+        distances.append(i - seen[w] if w in seen else 0)
+        if w not in seen:
+            literals.append(w)
+        seen[w] = i
+    return b"".join(literals), distances
+
+
+def unmatch_words(literals: bytes, distances: list[int], word: int) -> bytes:
+    out: list[bytes] = []
+    at = 0
+    for i, d in enumerate(distances):
+        if d:
+            out.append(out[i - d])
+        else:
+            out.append(literals[at : at + word])
+            at += word
+    return b"".join(out)
+
+
+def dry_match_ratio(raw: bytes, word: int = 4) -> float:
+    """Bytes over what coding words by matches would take: 2 bits of control and 1 or 2 bytes of distance, or the word."""
+    literals, distances = match_words(raw, word)
+    cost = len(literals) + sum(1 if d < 128 else 2 for d in distances if d) + -(-len(distances) // 4)
+    return len(raw) / max(1, cost)
