@@ -1,0 +1,39 @@
+"""Levels for a time budget: plain rules that a driver applies between batches of superblocks."""
+
+from __future__ import annotations
+
+import time
+from dataclasses import dataclass, field
+
+from ..functions.levels import GUESSES, RATES
+
+
+def guess_level(mb_a_second: float) -> int:
+    """A level for a wanted speed, before anything is measured."""
+    return next((level for below, level in GUESSES if mb_a_second < below), 2)
+
+
+def rate_level(mb_a_second: float) -> int:
+    """The highest level whose rate is not below the wanted one; 0 (copy) beyond 1.5 times the fastest."""
+    if mb_a_second > 1.5 * RATES[-1][1]:
+        return 0
+    return next((level for level, rate in RATES if rate >= mb_a_second), RATES[-1][0])
+
+
+@dataclass
+class Budget:
+    """How fast what is left must go, and the level for it."""
+
+    total_bytes: int
+    seconds: float
+    started: float = field(default_factory=time.perf_counter)
+    done_bytes: int = 0
+
+    def add(self, n: int) -> None:
+        self.done_bytes += n
+
+    def level(self, now: float | None = None) -> int:
+        left = self.seconds - ((now or time.perf_counter()) - self.started)
+        if left <= 0:
+            return 0
+        return rate_level((self.total_bytes - self.done_bytes) / 1e6 / left)

@@ -1,0 +1,99 @@
+import numpy as np
+import pytest
+
+from blockloom.functions.levels import CodecConfig, InvalidInput, InvalidParameter, InvalidWidth, level_shift
+from blockloom.operators import codec
+from blockloom.plans.budget import Budget, guess_level, rate_level
+
+RNG = np.random.default_rng(42)
+
+
+def data(kind: str, n: int, width: int) -> bytes:
+    if kind == "same":
+        return bytes([7]) * (n * width)
+    if kind == "sorted":
+        steps = np.cumsum(RNG.integers(0, 9, n)).astype("<i8")
+        return np.frombuffer(steps.tobytes(), np.uint8).reshape(n, 8)[:, np.arange(width) % 8].tobytes()
+    if kind == "runs":
+        return np.repeat(RNG.integers(0, 256, n * width // 9 + 1, dtype=np.uint8), 9)[: n * width].tobytes()
+    if kind == "small":
+        return RNG.integers(0, 63, n * width, dtype=np.uint8).tobytes()
+    if kind == "steps":
+        return (np.arange(n * width) * 3 % 256).astype(np.uint8).tobytes()
+    return RNG.integers(0, 256, n * width, dtype=np.uint8).tobytes()
+
+
+KINDS = ["same", "sorted", "runs", "small", "steps", "random"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("width", [1, 2, 3, 4, 8, 12, 15])
+def test_every_strategy_gives_the_bytes_back(kind, width):
+    for n in (0, 1, 15, 16, 17, 255, 256, 257, 512, 1000):
+        raw = data(kind, n, width)
+        for code, payload in codec.offers(raw, width, 4).items():
+            assert codec.decode(code, payload, width, len(raw)) == raw, (code, n)
+
+
+@pytest.mark.parametrize("level", range(10))
+def test_levels_at_superblock_edges(level):
+    size = CodecConfig(shift=2).superblock_bytes(8) // 8
+    for n in (size - 1, size, size + 1, 2 * size):
+        raw = data("sorted", n, 8)
+        for policy in ("exact", "sampled"):
+            code, payload = codec.encode(raw, 8, level, policy)
+            assert len(payload) <= len(raw) and codec.decode(code, payload, 8, len(raw)) == raw
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_encoded_size_is_the_modelled_size(kind):
+    raw = data(kind, 1024, 8)
+    x = np.frombuffer(raw, np.int8).reshape(4, 256, 8).transpose(0, 2, 1).reshape(4, 8, 16, 16)
+    assert len(codec.encode_blocks(raw, 8)) == codec.choices(x)["bytes"].sum() + 4 * 4
+
+
+def test_broken_payloads_are_refused():
+    raw = data("sorted", 512, 8)
+    body = codec.encode_blocks(raw, 8)
+    for bad in (body[:-1], body + b"x", b""):
+        with pytest.raises(InvalidInput):
+            codec.decode(1, bad, 8, len(raw))
+    with pytest.raises(InvalidInput):
+        codec.decode(2, b"not zstd", 8, len(raw))
+    with pytest.raises(InvalidInput):
+        codec.decode(9, raw, 8, len(raw))
+    with pytest.raises(InvalidInput):
+        codec.decode(6, raw[1:], 8, len(raw))
+
+
+def test_delta_planes_and_words():
+    for n in (0, 1, 2047, 2048, 2049, 5003):
+        raw = data("random", n, 1)
+        assert codec.undo_delta(codec.delta(raw)) == raw
+        for width in (1, 3, 8):
+            assert codec.from_planes(codec.to_planes(raw, width), width) == raw
+    words = np.tile(RNG.integers(0, 1 << 30, 20), 30).astype("<i8").tobytes()
+    literals, distances = codec.match_words(words, 8)
+    assert len(literals) == 160 and codec.unmatch_words(literals, distances, 8) == words
+    assert codec.dry_match_ratio(words, 8) > 4 > 1.1 > codec.dry_match_ratio(data("random", 4096, 1), 4)
+
+
+def test_configuration():
+    c = CodecConfig().with_(level=99, threads=0)
+    assert (c.level, c.threads) == (9, 1)
+    assert [level_shift(x) for x in range(10)] == [0, 0, 0, 1, 1, 2, 2, 3, 3, 4]
+    with pytest.raises(InvalidParameter):
+        CodecConfig().with_(shift=16)
+    with pytest.raises(InvalidParameter):
+        CodecConfig(shift=15).superblock_bytes(8)
+    for width in (0, 65535):
+        with pytest.raises(InvalidWidth):
+            CodecConfig().superblock_bytes(width)
+    assert CodecConfig(level=9).superblock_bytes(8, 10**9) == 131072 << 4
+
+
+def test_budget():
+    assert [guess_level(x) for x in (5, 20, 80, 150, 300, 900)] == [9, 8, 7, 6, 5, 2]
+    assert [rate_level(x) for x in (0.5, 6, 250, 440, 500)] == [9, 7, 1, 1, 0]
+    b = Budget(100_000_000, 10, started=0.0)
+    assert b.level(now=1.0) > b.level(now=9.0) and b.level(now=11.0) == 0
