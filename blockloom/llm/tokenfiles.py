@@ -112,7 +112,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         lists = [_chunks(t) if NOT_AT_SPACES.search(t) else [*_chunks(t[: (k := (t + " ").index(" "))]), *t[k + 1 :].split(" ")] if " " in t else _chunks(t) for t in texts]
         keys = set().union(*lists)
-        mixed = {w: _chunks(" " + w) for w in keys if not w.isalnum() and w[:1] != BARE}
+        mixed = {w: (w[:-1], BARE + w[-1]) if w[:-1].isalnum() else _chunks(" " + w) for w in keys if not w.isalnum() and w[:1] != BARE}
         keys.difference_update(mixed)
         local = self._find(keys.union(*mixed.values()))
         for w, chunks in mixed.items():
