@@ -16,7 +16,8 @@ its prefix n-grams (first by size, then in random orders), of other components o
 verified against the one that it shares most n-grams with; the components are merged. What
 is left then, all candidates between different components, is verified whole. Near copies of
 one text thus cost a few verifications each, not one a pair. In that last step the largest
-component of an n-gram is not joined with itself.
+component of an n-gram is not joined with itself, and the suffix filter is applied while it is
+joined, with the parities of ``DIGEST`` ranges that each row carries.
 
 Defined results: words are runs of bytes other than ASCII white space, with A-Z lower-cased;
 a text of fewer words than n has its whole sequence as its one n-gram; null texts and texts
@@ -41,6 +42,9 @@ from .components import components
 WORDS, PERCENT = 5, 80
 SKETCH_ROWS, SKETCH_COLUMNS, SKETCH_BLOCK, SKETCH_SLOTS = 2, 1 << 17, 1 << 12, 8
 ROUNDS = 5
+#: Ranges of the short parities, four 64-bit numbers.
+DIGEST = 256
+SHORT = ["d0", "d1", "d2", "d3"]
 #: Rows of ids that a broadcast may have; beyond it the same join is shuffled.
 BROADCAST_IDS = 2_000_000
 CACHE_ENTRIES = 400_000
@@ -91,6 +95,11 @@ def parity(grams: np.ndarray) -> bytes:
     return np.packbits(np.bincount((grams >> np.uint64(13)).astype(np.int64) & (ranges - 1), minlength=ranges) & 1, bitorder="little").tobytes()
 
 
+def digest(grams: np.ndarray) -> np.ndarray:
+    """Parities of the counts of n-grams by DIGEST hash ranges."""
+    return np.packbits(np.bincount((grams >> np.uint64(13)).astype(np.int64) & (DIGEST - 1), minlength=DIGEST) & 1, bitorder="little").view("<i8")
+
+
 def least_difference(x: bytes, y: bytes) -> int:
     """Of two parities: n-grams that one set has and the other has not, at least. The longer one is folded."""
     x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -105,6 +114,9 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+DESCRIBED = ["doc_id", "n", "k1", "k2", "parity", *SHORT, "counts"]
+
+
 def describe(docs: DataFrame, n: int) -> DataFrame:
     """Rows of documents (doc_id, n, k1, k2, parity) and, with a null n, of sketch counters (k1: slot, k2: block, counts)."""
 
@@ -121,19 +133,20 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                     for row in range(SKETCH_ROWS):
                         counts[row] += np.bincount(_columns(every, row), minlength=SKETCH_COLUMNS)
                 keys = np.array([(d >> 64, d & (2**64 - 1)) for d in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], np.uint64).reshape(-1, 2).view(np.int64)
+                short = np.array([digest(s) for s in sets], np.int64).reshape(-1, len(SHORT))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary())],
-                    names=["doc_id", "n", "k1", "k2", "parity", "counts"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([parity(s) for s in sets], pa.binary()), *map(pa.array, np.ascontiguousarray(short.T)), pa.nulls(len(sets), pa.binary())],
+                    names=DESCRIBED,
                 )
         flat = np.minimum(counts, 2**32 - 1).astype("<u4").reshape(-1, SKETCH_BLOCK)
         slot = TaskContext.get().partitionId() % SKETCH_SLOTS
         full = np.flatnonzero(flat.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array([slot] * len(full), pa.int64()), pa.array(full), pa.nulls(len(full), pa.binary()), pa.array([flat[i].tobytes() for i in full], pa.binary())],
-            names=["doc_id", "n", "k1", "k2", "parity", "counts"],
+            [pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array([slot] * len(full), pa.int64()), pa.array(full), pa.nulls(len(full), pa.binary()), *[pa.nulls(len(full), pa.int64())] * len(SHORT), pa.array([flat[i].tobytes() for i in full], pa.binary())],
+            names=DESCRIBED,
         )
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, parity binary, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, parity binary, d0 long, d1 long, d2 long, d3 long, counts binary")
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
@@ -253,7 +266,7 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = materialise(describe(docs, n))
     levels = spark.sparkContext.broadcast(sketch(described))
-    rows = described.where(F.col("n").isNotNull()).select("doc_id", "n", "k1", "k2", "parity")
+    rows = described.where(F.col("n").isNotNull()).select("doc_id", "n", "k1", "k2", "parity", *SHORT)
     known = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialise(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")))
     named = materialise(known.join(classes, ["k1", "k2"]).select("doc_id", "id", "n"))
@@ -305,9 +318,13 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     sizes = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("gram").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")).where("parts > 1").select("gram", "main")
     inside = materialise(placed.join(mixed, "gram"))
-    side = lambda k, df: df.select("gram", "main", F.struct("id", "n", "at", "component").alias(k))
+    inside = inside.join(known.select(F.col("doc_id").alias("id"), *SHORT), "id")
+    side = lambda k, df: df.select("gram", "main", F.struct("id", "n", "at", "component").alias(k), *[F.col(d).alias(k + d) for d in SHORT])
     crossed = side("x", inside.where("component <> main")).join(side("y", inside).drop("main"), "gram")
-    apart = (F.col("x.component") != F.col("y.component")) & within(F.col("x.n"), F.col("y.n"), percent)
+    nx, ny = F.col("x.n"), F.col("y.n")
+    different = sum((F.bit_count(F.col(f"x{d}").bitwiseXOR(F.col(f"y{d}"))) for d in SHORT), F.lit(0))
+    possible = within(nx, ny, percent) & (different <= nx + ny - 2 * overlap_needed(nx, ny, percent))
+    apart = (F.col("x.component") != F.col("y.component")) & possible
     step(crossed.where(apart & ((F.col("y.component") == F.col("main")) | (F.col("x.id") < F.col("y.id")))), tried, False)
 
     ids = named.select("doc_id", "id", "n").join(labels, "id")
