@@ -5,7 +5,7 @@ from .html_text import op2_html_text
 from .imatch import op6_imatch
 from .mixing import OP4_SQL, op4_mixing
 from .neighbours import OP5_SQL, op5_neighbours
-from .ngram_join import op1_ngram_join
+from .ngram_join import OP1_SQL, op1_ngram_join
 from .tokencounts import op9_token_counts
 from .tokenfiles import op8_tokenfiles
 from .toxicity import op3_toxicity
@@ -25,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_join": OP1_SQL,
     "op4_mixing": OP4_SQL,
     "op5_neighbours": OP5_SQL,
     "op7_warc": OP7_SQL,
