@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import math
 import unicodedata
 
 import numpy as np
@@ -37,7 +38,7 @@ LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, BLANKS, LAST_SPACE, LAST_OTHER, BREAK = r
 IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, AFTER_SPACE, CLOSED, NEED_1, NEED_2, NEED_1_OF_2 = range(9)
 #: Characters that \s stands for (Unicode White_Space).
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: Code points of a scan at once, columns of its table, entries of the cache of pre-tokens.
+#: Code points of a scan at once, most columns of its table, entries of the cache of pre-tokens.
 SCAN_CHARS, SCAN_COLUMNS, CACHE_ENTRIES = 1 << 19, 256, 800_000
 
 
@@ -87,10 +88,11 @@ def _begins(codes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
         long = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
         c[at[short]], c[at[long & ~short]] = QUOTE1, QUOTE2
     step, begins = _transitions()
-    rows = -(-len(c) // SCAN_COLUMNS)
-    grid = np.full(rows * SCAN_COLUMNS, BREAK, np.uint8)
+    columns = min(SCAN_COLUMNS, max(8, math.isqrt(len(c))))  # about square, so short texts take few steps
+    rows = -(-len(c) // columns)
+    grid = np.full(rows * columns, BREAK, np.uint8)
     grid[: len(c)] = c
-    grid = np.ascontiguousarray(grid.reshape(rows, SCAN_COLUMNS).T).astype(np.intp) * 9
+    grid = np.ascontiguousarray(grid.reshape(rows, columns).T).astype(np.intp) * 9
     # A row's function from its start to its end. White space leads every state to the same one, so
     # the function of a row that has some is constant and one start state shows it.
     ends = np.full(rows, CLOSED, np.uint8)
@@ -107,7 +109,7 @@ def _begins(codes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
         f[:, shift:] = np.take_along_axis(f[:, shift:], f[:, :-shift].astype(np.intp), axis=0)
         shift *= 2
     state = np.concatenate([[CLOSED], f[CLOSED, :-1]]).astype(np.uint8)
-    out = np.empty((SCAN_COLUMNS, rows), bool)
+    out = np.empty((columns, rows), bool)
     for k, col in enumerate(grid):
         at = col + state
         out[k] = begins.take(at)
