@@ -81,8 +81,17 @@ def build(text: str, pieces: list[str], ids_of) -> CountTree:
     return CountTree(["".join(pieces[i : i + LEAF]) for i in groups], [sum(counts[i : i + LEAF]) for i in groups])
 
 
-def edit(tree: CountTree, start: int, length: int, replacement: str, ids_of) -> int:
-    """Applies an edit; returns the code points that were encoded again."""
+def _tail(tree: CountTree, last: int) -> str:
+    """Enough text behind a leaf to tell whether a pre-token ends with it."""
+    tail, k = "", last + 1
+    while k < len(tree.leaves) and len(tail) < LOOKAHEAD:
+        tail += tree.leaves[k]
+        k += 1
+    return tail
+
+
+def _region(tree: CountTree, start: int, length: int, replacement: str) -> tuple[int, int, str]:
+    """First and last leaf that an edit touches, and their text after it."""
     n = tree.n_chars
     start = min(max(start, 0), n)
     stop = min(start + max(length, 0), n)
@@ -90,29 +99,38 @@ def edit(tree: CountTree, start: int, length: int, replacement: str, ids_of) ->
     while first and inside < LOOKAHEAD:
         first -= 1
         inside += len(tree.leaves[first])
-    before, last = inside, first
-    region = tree.leaves[first]
+    last, region = first, tree.leaves[first]
     need = inside + stop - start
     while len(region) < need and last + 1 < len(tree.leaves):
         last += 1
         region += tree.leaves[last]
-    region = region[:before] + replacement + region[need:]
-    while True:  # until the region's end is the end of a pre-token
-        tail, k = "", last + 1
-        while k < len(tree.leaves) and len(tail) < LOOKAHEAD:
-            tail += tree.leaves[k]
-            k += 1
-        pieces, ends = pretokenise([region + tail])[0]
-        at = np.searchsorted(ends, len(region))
-        if not region or not tail or at < len(ends) and ends[at] == len(region):
-            break
-        last += 1
-        region += tree.leaves[last]
-    pieces = pieces[: int(at) + 1] if region else []
-    tree.put(first, region, sum(len(ids_of[p]) >> 2 for p in pieces))
-    for leaf in range(first + 1, last + 1):
-        tree.put(leaf, "", 0)
-    return len(region)
+    return first, last, region[:inside] + replacement + region[need:]
+
+
+def edit_all(trees: list[CountTree], edits: list[tuple[int, int, str]], ids_of) -> list[int]:
+    """Applies one edit (start, length, replacement) to each tree; returns the code points that were encoded again."""
+    regions = [_region(t, *e) for t, e in zip(trees, edits)]
+    out, open_ = [0] * len(trees), list(range(len(trees)))
+    while open_:  # until each region's end is the end of a pre-token
+        tails = [_tail(trees[i], regions[i][1]) for i in open_]
+        left = []
+        for i, tail, (pieces, ends) in zip(open_, tails, pretokenise([regions[i][2] + t for i, t in zip(open_, tails)])):
+            tree, (first, last, region) = trees[i], regions[i]
+            at = int(np.searchsorted(ends, len(region)))
+            if region and tail and not (at < len(ends) and ends[at] == len(region)):
+                regions[i] = (first, last + 1, region + tree.leaves[last + 1])
+                left.append(i)
+                continue
+            tree.put(first, region, sum(len(ids_of[p]) >> 2 for p in pieces[: at + 1]) if region else 0)
+            for leaf in range(first + 1, last + 1):
+                tree.put(leaf, "", 0)
+            out[i] = len(region)
+        open_ = left
+    return out
+
+
+def edit(tree: CountTree, start: int, length: int, replacement: str, ids_of) -> int:
+    return edit_all([tree], [(start, length, replacement)], ids_of)[0]
 
 
 def count_tokens(docs: DataFrame, edits: str = "edits", text: str = "text", path: str | None = None) -> DataFrame:
@@ -127,14 +145,14 @@ def count_tokens(docs: DataFrame, edits: str = "edits", text: str = "text", path
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column(text).to_pylist()]
-                rows = []
-                for t, (pieces, _), todo in zip(texts, pretokenise(texts), part.column(edits).to_pylist()):
-                    tree = build(t, pieces, ids_of)
-                    n, again = tree.n_tokens, 0
-                    for e in todo or []:
-                        if e is not None:
-                            again += edit(tree, e["start"] or 0, e["length"] or 0, e["replacement"] or "", ids_of)
-                    rows.append((n, tree.n_tokens, tree.n_chars, again, "".join(tree.leaves)))
+                trees = [build(t, pieces, ids_of) for t, (pieces, _) in zip(texts, pretokenise(texts))]
+                before, again = [t.n_tokens for t in trees], [0] * len(trees)
+                todo = [[(e["start"] or 0, e["length"] or 0, e["replacement"] or "") for e in es or [] if e is not None] for es in part.column(edits).to_pylist()]
+                for k in range(max(map(len, todo), default=0)):  # the k-th edits of all documents together
+                    some = [i for i, es in enumerate(todo) if k < len(es)]
+                    for i, n in zip(some, edit_all([trees[i] for i in some], [todo[i][k] for i in some], ids_of)):
+                        again[i] += n
+                rows = [(n, t.n_tokens, t.n_chars, a, "".join(t.leaves)) for n, t, a in zip(before, trees, again)]
                 longs = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
                 yield append(part, dict(zip(ADDED, [*longs, pa.array([r[4] for r in rows], pa.string())])))
 
