@@ -2,18 +2,17 @@
 
 Examples are labelled documents whose crc32(doc_id) mod 5 is not 0, at most
 ``EXAMPLES_PER_CLASS`` of each class (those with the smallest hash of doc_id; the bound of the
-sample). Features are words and the first 4 to 6 letters of longer words; the lexicon keeps
-those whose counts in the two classes differ by a likelihood ratio of at least ``LEAST_G2`` and
-by a factor of at least ``LEAST_LIFT``, at most ``FEATURES``. Vectors are (1 + ln tf) * idf, of
-length 1, so an inner product is the cosine; one more component, the same for all before
-that scaling, lets the cosine tell documents with many features from those with a few.
+sample). Features are all words of the examples and the first 4 to 6 letters of longer words;
+none is left out. Vectors are (1 + ln tf) * idf * (1 + G2), of length 1, so an inner product is
+the cosine. G2 is the likelihood ratio of a feature's counts in the two classes, about 1 for one
+that has nothing to do with them: plain TF-IDF is led by the many words that say nothing.
 
 The inverted index holds the examples in doc blocks with the largest weight of each feature
-in each block. A document adds up the bounds of all blocks, scores whole blocks exactly in
-descending order of their bound and stops when no bound exceeds the k-th best cosine: the
+in each block. A document adds up the bounds of all blocks, scores the ``FIRST_BLOCKS`` of the
+largest bounds, then all others whose bound reaches the k-th best cosine: the
 k nearest are exact. Votes are weighted by cosine and by what an example stands for in its
 class. Leave-one-out votes of the examples themselves, in bins made monotone, calibrate
-votes to scores; a document without any feature of the lexicon gets the rate of toxic
+votes to scores; a document without any word of the examples gets the rate of toxic
 examples among examples like it. The nearest examples are returned as evidence.
 
 Defined results: a null or empty text has no features; a null doc_id is never an example
@@ -38,12 +37,10 @@ from pyspark.sql import types as T
 from .bpe import append, slices, with_fields
 from .common import table
 
-EXAMPLES_PER_CLASS, FEATURES, LEAST_DF, LEAST_G2, LEAST_LIFT = 4000, 20_000, 5, 30.0, 15.0
-NEIGHBOURS, BLOCK, BINS = 15, 64, 20
+EXAMPLES_PER_CLASS = 4000
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, BINS = 15, 64, 8, 20
 PREFIXES = (4, 5, 6)
 WORD_CACHE = 300_000
-#: The component that all vectors share.
-SHARED = 6.0
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -65,37 +62,46 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers from each start to before its end."""
+    n = ends - starts
+    return np.repeat(ends - np.cumsum(n), n) + np.arange(n.sum())
+
+
 class Model:
-    """Lexicon, inverted index and calibration; all bounded by the parameters above."""
+    """Vocabulary, inverted index and calibration; all bounded by the texts of the sampled examples."""
 
-    def __init__(self, names: list[str], idf: list[float]):
+    def __init__(self, names: list[str], weight: list[float]):
         self.feature = {f: i for i, f in enumerate(names)}
-        self.idf = np.array(idf, float)
+        self.weight = np.array(weight, float)
         self.known: dict[str, tuple[int, ...]] = {}
         self.ids = self.labels = self.weights = np.zeros(0)
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         self.blocks, self.prior, self.bare, self.bins = 0, 0.0, 0.0, None
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers and weights; both empty without features of the lexicon."""
-        known, feature, tf = self.known, self.feature, {}
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Feature numbers, ascending, and how often each comes; both empty without words of the examples."""
+        known, feature = self.known, self.feature
         if len(known) > WORD_CACHE:
             known.clear()
-        for token in text.lower().split():
+        found, times = [], []
+        for token, n in Counter(text.lower().split()).items():
             hit = known.get(token)
             if hit is None:
                 hit = known[token] = tuple(feature[f] for f in features_of(token) if f in feature)
-            for i in hit:
-                tf[i] = tf.get(i, 0) + 1
-        at = np.array(sorted(tf), int)
-        if not len(at):
-            return at, np.zeros(0)
-        w = (1 + np.log([tf[i] for i in at])) * self.idf[at]
-        at, w = np.append(at, len(self.idf)), np.append(w, SHARED)
-        return at, w / math.sqrt(float(w @ w))
+            found += hit
+            times += [n] * len(hit)
+        at, where = np.unique(np.array(found, np.int64), return_inverse=True)
+        return at, np.bincount(where, times, len(at)).astype(np.int64)
+
+    def weigh(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(tf)) * self.weight[at]
+        return at, w / math.sqrt(float(w @ w)) if len(w) else w
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.weigh(*self.counts(text))
 
     def index(self, ids: list[int], labels: list[int], weights: list[float], vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Examples in ascending order of ids; those without features only count for the bare rate."""
@@ -110,38 +116,40 @@ class Model:
         self.blocks = -(-len(keep) // BLOCK)
         if not len(keep):
             return
-        doc = np.repeat(np.arange(len(keep)), [len(vectors[i][0]) for i in keep])
+        doc = np.repeat(np.arange(len(keep), dtype=np.int32), [len(vectors[i][0]) for i in keep])
         term, w = (np.concatenate([vectors[i][k] for i in keep]) for k in (0, 1))
-        order = np.lexsort((doc, term))
+        order = np.argsort(term, kind="stable")
         doc, term, w = doc[order], term[order], w[order]
-        edges = np.flatnonzero(np.diff(term, prepend=-1, append=-2))
-        for a, b in zip(edges, edges[1:]):
-            d, v = doc[a:b], w[a:b]
-            starts = np.flatnonzero(np.diff(d // BLOCK, prepend=-1))
-            self.postings[int(term[a])] = (d, v, np.append(starts, b - a), d[starts] // BLOCK)
+        # Runs: the entries of a feature in a block.
+        del order
+        block = doc // BLOCK
+        runs = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.entries = doc, w
+        self.runs = block[runs], np.maximum.reduceat(w, runs), np.append(runs, len(doc))
+        self.of_feature = np.searchsorted(term[runs], np.arange(len(self.weight) + 1))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, but: int | None = None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples (by number) and cosines, nearest first; but: the id of one left out."""
-        lists = [(x, q) for i, q in zip(at.tolist(), w.tolist()) if (x := self.postings.get(i))]
-        bound = np.zeros(self.blocks)
-        for (_, v, starts, blocks), q in lists:
-            bound[blocks] += q * np.maximum.reduceat(v, starts[:-1])
+        (doc, weight), (block, largest, edge) = self.entries, self.runs
+        first, last = self.of_feature[at], self.of_feature[at + 1]
+        run, q = spans(first, last), np.repeat(w, last - first)
+        block = block[run]
+        bound = np.bincount(block, q * largest[run], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        docs, scores, least, done, step = np.zeros(0, int), np.zeros(0), 0.0, 0, 4
-        while done < len(order) and bound[order[done]] > 0 and (len(docs) < k or bound[order[done]] + 1e-12 >= least):
+        docs, scores, least = np.zeros(0, int), np.zeros(0), 0.0
+        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             chosen = np.zeros(self.blocks, bool)
-            chosen[order[done : done + step]] = True
-            total = np.zeros(self.blocks * BLOCK)
-            for (d, v, _, _), q in lists:
-                m = chosen[d // BLOCK]
-                total[d[m]] += q * v[m]
+            chosen[part] = (bound[part] > 0) & (bound[part] + 1e-12 >= least)
+            m = chosen[block]
+            a, b = edge[run[m]], edge[run[m] + 1]
+            entry = spans(a, b)
+            total = np.bincount(doc[entry], np.repeat(q[m], b - a) * weight[entry], len(self.ids))
             hit = np.flatnonzero(total)
             hit = hit[self.ids[hit] != but] if but is not None else hit
             docs, scores = np.concatenate([docs, hit]), np.concatenate([scores, total[hit]])
             best = np.lexsort((docs, -scores))[:k]
             docs, scores = docs[best], scores[best]
-            least = scores[-1] if len(scores) else 0.0
-            done, step = done + step, step * 2
+            least = scores[-1] if len(scores) == k else 0.0
         return docs, scores
 
     def vote(self, docs: np.ndarray, scores: np.ndarray) -> float:
@@ -204,23 +212,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLAS
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     share = (a + b) / (n1 + n0)
     g2 = 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))
-    lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    counts = counts.where((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))
-    lexicon = counts.where(a + b >= LEAST_DF).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "feature").limit(FEATURES)
-    chosen = lexicon.select("feature", F.log((n1 + n0 + 1) / (a + b)).alias("idf")).collect()
-    model = Model([r["feature"] for r in chosen], [r["idf"] for r in chosen])
+    weight = F.log((n1 + n0 + 1) / (a + b)) * (1 + F.greatest(g2, F.lit(0.0)))
+    chosen = counts.select("feature", weight.alias("weight")).toArrow().sort_by("feature")
+    model = Model(chosen.column("feature").to_pylist(), chosen.column("weight").to_numpy())
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def vectors(batches):
         for batch in batches:
             for part in slices(batch):
-                v = [shared.value.vector(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([x.tolist() for x, _ in v], pa.list_(pa.int64())), pa.array([x.tolist() for _, x in v], pa.list_(pa.float64()))], names=["doc_id", "toxic", "at", "w"])
+                v = [shared.value.counts(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *(pa.array([x[i].astype(np.int32) for x in v], pa.list_(pa.int32())) for i in (0, 1))], names=["doc_id", "toxic", "at", "tf"])
 
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, at array<long>, w array<double>").toArrow().sort_by("doc_id").to_pylist()
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, at array<int>, tf array<int>").toArrow().sort_by("doc_id")
     sample.unpersist()
-    v = [(np.array(r["at"], int), np.array(r["w"], float)) for r in rows]
+    shared.unpersist()
+    v = [model.weigh(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(rows.column("at"), rows.column("tf"))]
+    rows = rows.select(["doc_id", "toxic"]).to_pylist()
     weights = [stands_for[r["toxic"]] for r in rows]
     model.index([r["doc_id"] for r in rows], [r["toxic"] for r in rows], weights, v)
     votes = []

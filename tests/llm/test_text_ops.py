@@ -279,6 +279,21 @@ def test_block_max_search_is_exact():
         assert np.allclose(scores, want[want > 0]) and np.allclose(dense[docs] @ q, scores)
 
 
+def test_toxicity_searches_all_words(spark):
+    """A toxic word of two examples only, and words that say nothing, are searched like all others."""
+    free = [i for i in range(1, 2000) if zlib.crc32(str(i).encode()) % 5]
+    plain = [(i, f"plain words number w{i % 40} of day d{i % 7}", 0) for i in free[:300]]
+    toxic = [(i, f"gronk fool w{i % 40}", 1) for i in free[300:340]] + [(i, f"zwatch snarl w{i % 40}", 1) for i in free[340:342]]
+    rows = spark.createDataFrame(plain + toxic, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert {w for _, t, _ in plain + toxic for w in t.split()} <= set(model.feature) and (model.weight > 0).all()
+    at, w = model.vector("plain words w3")
+    assert len(at) == sum(f in model.feature for t in ("plain", "words", "w3") for f in toxicity.features_of(t))
+    _, near = model.score("zwatch snarl")
+    assert {i for i, _, _ in near[:2]} == set(free[340:342]) and all(y == 1 for _, _, y in near[:2])
+    assert len(model.score("some plain words")[1]) == toxicity.NEIGHBOURS and model.score("unseen") == (model.bare, [])
+
+
 def test_toxicity_rows(spark, odd, none, labels):
     model = toxicity.train(odd, labels)
     scored = toxicity.score(odd, model)
