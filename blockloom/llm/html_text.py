@@ -3,9 +3,11 @@
 Pages of a host are dealt into shards of about ``SHARD_PAGES`` (a large host has many, so no group
 grows with it). A shard concatenates the token streams of its pages, all blocks of them, and
 sorts the suffixes by their first ``RUN`` tokens (prefix doubling). Neighbours of equal rank are
-repeated substrings; where one occurs on at least ``LEAST_PAGES`` pages of different content and on
-``LEAST_SHARE`` of the shard, the tokens it covers are boilerplate. Longer repeats are covered by
-their overlapping runs. What remains are unique runs.
+repeated substrings; where one occurs on at least ``LEAST_PAGES`` pages of different content of
+the host, the tokens it covers are boilerplate. Longer repeats are covered by their overlapping
+runs. What remains are unique runs. For a host of several shards the pages of each run are
+counted over the whole host by 64-bit hashes of the runs, and the runs found are given back to
+its shards; that is left out where all pages of the host mark their article, which no count changes.
 
 Repetition alone can't give right results: menus and footers may be unique to a page, and an
 article may be copied or quoted across a host. So the structure decides first: scripts,
@@ -31,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .ngram_join import bounded
+from .bpe import slices
+from .common import materialise, table
+from .ngram_join import M1, _hashes, _mix, bounded
 
-SHARD_PAGES, RUN, LEAST_PAGES, LEAST_SHARE, LEAST_LEFT = 256, 8, 3, 0.1, 3
+SHARD_PAGES, RUN, LEAST_PAGES, LEAST_LEFT = 256, 8, 3, 3
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -150,7 +153,32 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def repeated(pages: list[list[str]], run: int = RUN, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> list[np.ndarray]:
+def covering(starts: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Which of n tokens the runs that begin at starts cover."""
+    change = np.zeros(n + run + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + run, -1)
+    return np.cumsum(change)[:n] > 0
+
+
+def run_hashes(tokens: list[str], run: int = RUN) -> np.ndarray:
+    """64-bit hashes of all runs of a token stream, in order."""
+    if len(tokens) < run:
+        return np.zeros(0, np.int64)
+    w = np.fromiter((_hashes()[t.encode("utf-8", "surrogatepass")] for t in tokens), np.uint64, len(tokens))
+    h = np.full(len(w) - run + 1, run, np.uint64)
+    for i in range(run):
+        h = _mix(h * M1 + w[i : len(w) - run + 1 + i])
+    return h.view(np.int64)
+
+
+def parsed(page: str) -> tuple[list[tuple[str, int]], list[str], bool]:
+    """Blocks of a page, its token stream, and whether it marks an article."""
+    found = blocks(page)
+    return found, [t for text, _ in found for t in text.split(" ")], any(kind == 2 for _, kind in found)
+
+
+def repeated(pages: list[list[str]], run: int = RUN, least_pages: int = LEAST_PAGES, least_share: float = 0.0) -> list[np.ndarray]:
     """For token streams of pages of different content, where a repeated substring covers the tokens."""
     number: dict[str, int] = {}
     streams = [np.array([number.setdefault(t, len(number)) for t in p], np.int64) for p in pages]
@@ -175,10 +203,7 @@ def repeated(pages: list[list[str]], run: int = RUN, least_pages: int = LEAST_PA
     fresh = np.diff(r, prepend=-1) != 0
     distinct = np.add.reduceat(fresh | (np.diff(p, prepend=-1) != 0), first)
     starts = order[np.repeat(distinct >= need, np.diff(np.append(first, len(r))))]
-    change = np.zeros(len(tokens) + run + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + run, -1)
-    hit = np.cumsum(change)[: len(tokens)] > 0
+    hit = covering(starts, len(tokens), run)
     ends = np.cumsum(sizes + 1)
     return [hit[e - n - 1 : e - 1] for e, n in zip(ends, sizes)]
 
@@ -194,14 +219,16 @@ def unique_runs(tokens: list[str], hit: np.ndarray, run: int = RUN) -> list[str]
     return [t for t, k in zip(tokens, keep) if k]
 
 
-def main_texts(pages: list[str]) -> list[str]:
-    """Main texts of the pages of a shard."""
+def main_texts(pages: list[str], frequent: np.ndarray | None = None) -> list[str]:
+    """Main texts of the pages of a shard; frequent: hashes of the repeated runs of its host, if it has other shards."""
     different = list(dict.fromkeys(pages))
-    parsed = [blocks(p) for p in different]
-    streams = [[t for text, _ in b for t in text.split(" ")] for b in parsed]
+    read = [parsed(p) for p in different]
+    if frequent is None:
+        hits = repeated([stream for _, stream, _ in read])
+    else:
+        hits = [covering(np.flatnonzero(np.isin(run_hashes(stream), frequent)), len(stream), RUN) for _, stream, _ in read]
     texts = {}
-    for page, found, hit in zip(different, parsed, repeated(streams)):
-        marked = any(kind == 2 for _, kind in found)
+    for page, (found, _, marked), hit in zip(different, read, hits):
         out, at = [], 0
         for text, kind in found:
             tokens = text.split(" ")
@@ -222,13 +249,49 @@ def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host)
     shards = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / shard_pages).alias("shards"))
-    dealt = rows.join(bounded(shards), "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards"))).drop("shards")
+    dealt = rows.join(bounded(shards), "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
 
-    def run(group: pa.Table) -> pa.Table:
-        texts = main_texts(group.column("html").to_pylist())
+    def texts_of(group: pa.Table, frequent: np.ndarray | None) -> pa.Table:
+        texts = main_texts(group.column("html").to_pylist(), frequent)
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return dealt.groupBy("host", "shard").applyInArrow(run, "page_id long, url string, text string, n_chars long")
+    def run(pages: pa.Table, runs: pa.Table) -> pa.Table:
+        several = pages.num_rows and pages.column("shards")[0].as_py() > 1
+        return texts_of(pages, runs.column("run").to_numpy() if several else None)
+
+    runs = frequent_runs(dealt.where("shards > 1"))
+    return dealt.groupBy("host", "shard").cogroup(runs.groupBy("host", "shard")).applyInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+def frequent_runs(dealt: DataFrame) -> DataFrame:
+    """(host, shard, run) of dealt pages (host, shard, html): runs on at least LEAST_PAGES pages of the host that a page without article of the shard has."""
+
+    def open_hosts(batches):
+        for batch in batches:
+            for part in slices(batch):
+                open_ = [not parsed(p)[2] for p in part.column("html").to_pylist()]
+                yield part.select(["host"]).filter(pa.array(open_, pa.bool_()))
+
+    def runs(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = []
+                for page in part.column("html").to_pylist():
+                    _, stream, marked = parsed(page)
+                    found.append((np.unique(run_hashes(stream)), marked))
+                at = np.repeat(np.arange(len(found)), [len(r) for r, _ in found])
+                run = np.concatenate([r for r, _ in found]) if found else np.zeros(0, np.int64)
+                marked = pa.array([m for _, m in found], pa.bool_()).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([part.column("host").take(pa.array(at)), part.column("shard").take(pa.array(at)), pa.array(run), marked], names=["host", "shard", "run", "marked"])
+
+    hosts = materialise(dealt.select("host", "html").mapInArrow(open_hosts, "host string").distinct())
+    pages = dealt.join(bounded(hosts), "host", "left_semi")
+    schema = "host string, shard long, run long, marked boolean"
+    # Pages of the same content count once, wherever they were dealt.
+    once = pages.groupBy("host", "html").agg(F.min("shard").alias("shard"))
+    counts = once.select("host", "shard", "html").mapInArrow(runs, schema).groupBy("host", "run").agg(F.count(F.lit(1)).alias("pages"))
+    needed = pages.select("host", "shard", "html").mapInArrow(runs, schema).where(~F.col("marked")).select("host", "shard", "run").distinct()
+    return needed.join(counts.where(F.col("pages") >= LEAST_PAGES), ["host", "run"]).select("host", "shard", "run")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,17 @@ def test_suffix_runs_equal_brute_force():
             assert (want == hit).all()
 
 
+def test_repeats_count_over_all_shards_of_a_host(spark):
+    """Four pages of a host of 60 share a passage; no shard of 6 pages needs to hold three of them."""
+    shared = "this passage is found on a few of the pages of this large host"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, f"http://big.example/{i}", f"<div>{shared if i % 15 == 0 else 'no'}</div><div>{own(i)}</div>") for i in range(60)]
+    rows += [(100 + i, f"http://twice.example/{i}", f"<div>{own(i % 2)}</div>") for i in range(20)]  # two pages of different content
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), shard_pages=6).collect()}
+    assert len(got) == 80 and all(shared not in t for t in got.values())
+    assert all(own(i) in got[i] for i in range(60)) and all(got[100 + i] == own(i % 2) for i in range(20))
+
+
 def test_page_rows(pages):
     got = {(r["page_id"], r["url"]): (r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()}
     assert got[(1, "http://a.example/1")] == ("T\n\nOne & two", 12) and got[(3, None)] == ("", 0) and got[(6, "http://b.example/")][1] == 799_999
