@@ -14,8 +14,8 @@ article may be copied or quoted across a host. So the structure decides first: s
 styles, navigation, page headers, footers, asides, forms, adverts, notices and comments (by
 element, role and words of class and id) are dropped; where a page marks its article
 (``article`` or ``main``), just that is kept, and repeats inside it are kept too. Elsewhere covered
-runs of at least ``RUN`` tokens of a block and blocks covered as a whole are removed, and fewer
-than ``LEAST_LEFT`` tokens left of a block go with them.
+runs of at least ``RUN`` tokens of a block and blocks covered as a whole are removed; all other
+tokens stay, however few are left of a block.
 
 Defined results: a null or empty html has an empty text; a null url or one without a host
 belongs to the host ''; broken markup never fails (an unclosed element ends with its
@@ -37,7 +37,7 @@ from .bpe import slices
 from .common import materialise, table
 from .ngram_join import M1, _hashes, _mix, bounded
 
-SHARD_PAGES, RUN, LEAST_PAGES, LEAST_LEFT = 256, 8, 3, 3
+SHARD_PAGES, RUN, LEAST_PAGES = 256, 8, 3
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -238,7 +238,7 @@ def main_texts(pages: list[str], frequent: np.ndarray | None = None) -> list[str
                 out.append(text)
             elif kind == 1 and not marked:
                 left = unique_runs(tokens, here)
-                if len(left) == len(tokens) or len(left) >= LEAST_LEFT:
+                if left:
                     out.append(" ".join(left))
         texts[page] = "\n\n".join(out)
     return [texts[p] for p in pages]

@@ -117,6 +117,11 @@ def test_suffix_runs_equal_brute_force():
             assert (want == hit).all()
 
 
+def test_short_unique_runs_stay():
+    made = [f"<div>this offer of our house is on sale for everyone at {i}99</div>" for i in range(5)]
+    assert html_text.main_texts(made) == [f"{i}99" for i in range(5)]
+
+
 def test_repeats_count_over_all_shards_of_a_host(spark):
     """Four pages of a host of 60 share a passage; no shard of 6 pages needs to hold three of them."""
     shared = "this passage is found on a few of the pages of this large host"
