@@ -10,8 +10,10 @@ the positional filter (what can follow their first common n-gram) and the suffix
 of the counts by hash range, at least twice as many ranges as n-grams: where they differ, the
 sets do, which bounds the overlap). Each pair is verified once, on the whole sets.
 
-Links are wanted for their components only, so pairs inside a component that is already
-known are skipped. In each of ``ROUNDS`` rounds a document meets a few neighbours in the lists of
+``jaccard_links`` returns every verified pair of class representatives, the members of the
+classes and the number of links of each document; op1 takes its components from these pairs.
+``jaccard_components`` is for callers that want components only (the pipeline): pairs inside a
+component that is already known are skipped. In each of ``ROUNDS`` rounds a document meets a few neighbours in the lists of
 its prefix n-grams (first by size, then in random orders), of other components only, and is
 verified against the one that it shares most n-grams with; the components are merged. What
 is left then, all candidates between different components, is verified whole. Near copies of
@@ -260,8 +262,8 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(joined.select("id", F.coalesce("into", "component").alias("component")))
 
 
-def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
+def prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, ...]:
+    """Described rows, those with links, members (doc_id, id, n) of classes, texts of representatives, their shared prefix n-grams, classes of one doc_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = materialise(describe(docs, n))
@@ -272,23 +274,71 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     named = materialise(known.join(classes, ["k1", "k2"]).select("doc_id", "id", "n"))
     copies = materialise(named.groupBy("doc_id").agg(F.max(F.when(F.col("doc_id") == F.col("id"), 1).otherwise(0)).alias("own")).where("own = 0").select("doc_id"))
     texts = docs.where(F.col("doc_id").isNotNull()).join(bounded(copies), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "text")
-    facts = known.select(F.col("doc_id").alias("id"), "parity")
 
     lists = Window.partitionBy("gram")
     shared = prefixes(texts, levels, n, percent).withColumn("docs", F.count(F.lit(1)).over(lists)).where("docs > 1")
     shared = materialise(shared.select("gram", "id", "n", "at"))
     same_id = named.groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v").select("u", "v")
-    every = named.select("id").distinct()
-    labels = merged(every.withColumn("component", F.col("id")), same_id)
+    return rows, known, named, texts, shared, same_id
+
+
+def sets_of(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(t, n).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["id", "grams"])
+
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return texts.join(bounded(ids), "id", "left_semi").mapInArrow(run, "id long, grams binary")
+
+
+def different_ranges() -> Column:
+    """Of joined rows x and y with their short parities: ranges of different parity."""
+    return sum((F.bit_count(F.col(f"x{d}").bitwiseXOR(F.col(f"y{d}"))) for d in SHORT), F.lit(0))
+
+
+def with_components(rows: DataFrame, named: DataFrame, labels: DataFrame) -> DataFrame:
+    ids = named.select("doc_id", "id", "n").join(labels, "id")
+    placed = ids.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    alone = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return placed.unionByName(alone)
+
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                for part in slices(batch):
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(t, n).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["id", "grams"])
+def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All links of documents (doc_id, text).
+
+    pairs (u, v): every two classes of different sets that are similar enough, by the ids of their
+    representatives, u < v. members (doc_id, id, n): the class of each row. links (doc_id,
+    n_links): rows that a document is linked to, those of its own set and of linked
+    classes, counted for each of its classes. components (doc_id, n_shingles, component_id).
+    """
+    rows, known, named, texts, shared, same_id = prepared(docs, n, percent)
+    short = shared.withColumn("component", F.col("id")).join(known.select(F.col("doc_id").alias("id"), *SHORT).dropDuplicates(["id"]), "id")
+    if named.count() > named.select("doc_id").distinct().count():  # a doc_id of several sets has no single parity
+        short = short.select("gram", "id", "n", "at", "component", *[F.lit(0).cast("long").alias(d) for d in SHORT])
+    side = lambda k: short.select("gram", F.struct("id", "n", "at", "component").alias(k), *[F.col(d).alias(k + d) for d in SHORT])
+    nx, ny = F.col("x.n"), F.col("y.n")
+    met = side("x").join(side("y"), "gram").where((F.col("x.id") < F.col("y.id")) & within(nx, ny, percent) & (different_ranges() <= nx + ny - 2 * overlap_needed(nx, ny, percent)))
+    found = candidates(met.select(*ordered("x", "y")), percent)
+    found = materialise(suffix_filter(found, known.select(F.col("doc_id").alias("id"), "parity"), percent))
+    pairs = materialise(verify(found, sets_of(found, texts, n), percent))
 
-        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        return texts.join(bounded(ids), "id", "left_semi").mapInArrow(run, "id long, grams binary")
+    sizes = named.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    linked = both.join(sizes.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("size").alias("others"))
+    per_class = sizes.join(linked, "id", "left").select("id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    links = named.select("doc_id", "id").distinct().join(per_class, "id").groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
+    labels = merged(named.select("id").distinct().withColumn("component", F.col("id")), pairs.unionByName(same_id))
+    return pairs, named, links, with_components(rows, named, labels)
+
+
+def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
+    rows, known, named, texts, shared, same_id = prepared(docs, n, percent)
+    facts = known.select(F.col("doc_id").alias("id"), "parity")
+    lists = Window.partitionBy("gram")
+    every = named.select("id").distinct()
+    labels = merged(every.withColumn("component", F.col("id")), same_id)
 
     def step(met: DataFrame, tried: DataFrame | None, one_each: bool) -> DataFrame:
         """Verifies candidates (x, y) that pass the filters; merges labels; returns the pairs that it tried."""
@@ -301,7 +351,7 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
             best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
             found = found.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
         found = materialise(found)
-        labels = merged(labels, verify(found, sets_of(found), percent))
+        labels = merged(labels, verify(found, sets_of(found, texts, n), percent))
         return found.select("a", "b")
 
     mine = F.struct("id", "n", "at", "component").alias("y")
@@ -322,19 +372,15 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     side = lambda k, df: df.select("gram", "main", F.struct("id", "n", "at", "component").alias(k), *[F.col(d).alias(k + d) for d in SHORT])
     crossed = side("x", inside.where("component <> main")).join(side("y", inside).drop("main"), "gram")
     nx, ny = F.col("x.n"), F.col("y.n")
-    different = sum((F.bit_count(F.col(f"x{d}").bitwiseXOR(F.col(f"y{d}"))) for d in SHORT), F.lit(0))
-    possible = within(nx, ny, percent) & (different <= nx + ny - 2 * overlap_needed(nx, ny, percent))
+    possible = within(nx, ny, percent) & (different_ranges() <= nx + ny - 2 * overlap_needed(nx, ny, percent))
     apart = (F.col("x.component") != F.col("y.component")) & possible
     step(crossed.where(apart & ((F.col("y.component") == F.col("main")) | (F.col("x.id") < F.col("y.id")))), tried, False)
 
-    ids = named.select("doc_id", "id", "n").join(labels, "id")
-    placed = ids.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    alone = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return placed.unionByName(alone)
+    return with_components(rows, named, labels)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return jaccard_links(table(spark, sf_dir, "documents"), n=3, percent=90)[-1]
 
 
 OP1_SQL = r"""

@@ -178,6 +178,24 @@ def test_components_of_chains_and_groups(spark, n, percent):
     assert {x["doc_id"]: x["n_shingles"] for x in got} == sizes
 
 
+def test_links_equal_brute_force(spark):
+    """Every pair of a group of near copies, copies of one set as members, and the number of links."""
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    texts = {}
+    for i in range(40):
+        own = list(base)
+        own[r.randrange(len(own))] = f"e{i % 30}"
+        texts[i] = " ".join(own) if i < 36 else texts[i - 36]
+    sets = {i: set(ngram_join.shingles(t, 3).tolist()) for i, t in texts.items()}
+    near = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])}
+    pairs, members, links, placed = ngram_join.jaccard_links(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 3, 90)
+    of = {x["doc_id"]: x["id"] for x in members.collect()}
+    assert {(x["u"], x["v"]) for x in pairs.collect()} == {(i, j) for i, j in near if of[i] == i and of[j] == j}
+    assert {x["doc_id"]: x["n_links"] for x in links.collect()} == {i: sum(i in p for p in near) for i in sets}
+    assert {x["doc_id"]: x["component_id"] for x in placed.collect()} == brute_components(texts, 3, 90)[0]
+
+
 def test_component_rows(odd, none):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(odd).collect()), key=repr)
     assert got == sorted([(1, 3, 1), (2, 3, 1), (2, 3, 1), (3, 0, 3), (4, 0, 4), (None, 1, None), (5, 0, 5), (6, 2, 6), (7, 1, 7)], key=repr)
