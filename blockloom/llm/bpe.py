@@ -31,15 +31,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import Cache, table
 
 #: Classes of characters, and the states after a character.
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, BLANKS, LAST_SPACE, LAST_OTHER, BREAK = range(9)
 IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, AFTER_SPACE, CLOSED, NEED_1, NEED_2, NEED_1_OF_2 = range(9)
 #: Characters that \s stands for (Unicode White_Space).
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: Code points of a scan at once, most columns of its table, entries of the cache of pre-tokens.
-SCAN_CHARS, SCAN_COLUMNS, CACHE_ENTRIES = 1 << 19, 256, 800_000
+#: Letters and numbers (ranges) that Unicode 16.0 has beyond 15.1, which Python 3.13 knows; tiktoken has them.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: Code points of a scan at once, most columns of its table.
+SCAN_CHARS, SCAN_COLUMNS = 1 << 19, 256
 
 
 def default_ranks() -> str:
@@ -52,6 +58,9 @@ def default_ranks() -> str:
 def _class_table() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    for kind, ranges in ((LETTER, NEW_LETTERS), (NUMBER, NEW_NUMBERS)):
+        for a, b in ranges:
+            out[a : b + 1] = kind
     out[list(WHITE)] = BLANKS
     return out
 
@@ -141,8 +150,8 @@ def pretokenise(texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
     return out
 
 
-class Merger(dict):
-    """Cache of pre-token to ids; merges what it does not hold. Emptied when it is full."""
+class Merger(Cache):
+    """Cache of pre-token to ids; merges what it does not hold."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -150,15 +159,10 @@ class Merger(dict):
         self.bytes_of = {v: k for k, v in self.ranks.items()}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         raw = piece.encode("utf-8")
         rank = self.ranks.get(raw)
         ids = [rank] if rank is not None else self._merge(raw) if len(raw) <= 100 else self._merge_long(raw)
-        out = np.array(ids, "<u4").tobytes()
-        if len(raw) <= 100:
-            self[piece] = out
-        return out
+        return self.keep(piece, np.array(ids, "<u4").tobytes())
 
     def _merge(self, raw: bytes) -> list[int]:
         get, none = self.ranks.get, 1 << 60
@@ -226,7 +230,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     path = path or default_ranks()
 
     def run(batches):
-        ids_of = merger(path)
+        ids_of = merger(path).use()
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column(text).to_pylist()]
@@ -248,7 +252,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_ranks()
 
     def run(batches):
-        tokens = merger(path)
+        tokens = merger(path).use()
         for batch in batches:
             for part in slices(batch):
                 yield append(part, {"decoded": pa.array([None if x is None else tokens.decode(x) for x in part.column("ids").to_pylist()], pa.binary())})

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import sys
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,42 @@ SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes that a cache of a Python worker may hold.
+CACHE_BYTES = 64 << 20
+
+
+class Cache(dict):
+    """A cache of a Python worker, bounded by bytes; emptied when it is full.
+
+    Workers go from stage to stage: the cache in use empties those of other operators.
+    """
+
+    every: weakref.WeakSet = weakref.WeakSet()
+    __hash__ = object.__hash__
+    __eq__ = object.__eq__
+    held = 0
+
+    def use(self) -> Cache:
+        for other in list(Cache.every):
+            if other is not self:
+                other.empty()
+        Cache.every.add(self)
+        return self
+
+    def empty(self) -> None:
+        self.clear()
+        self.held = 0
+
+    def keep(self, key, value):
+        size = sys.getsizeof(key) + sys.getsizeof(value) + 100
+        if self.held + size > CACHE_BYTES:
+            self.empty()
+        if size <= CACHE_BYTES >> 4:
+            self.held += size
+            self[key] = value
+        return value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +78,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = sc._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="blockloom-")
             sc.setCheckpointDir(base)

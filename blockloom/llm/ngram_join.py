@@ -5,21 +5,27 @@ are one class, represented by its smallest doc_id. N-grams are ordered from rare
 a count sketch over all documents (``SKETCH_ROWS`` rows of ``SKETCH_COLUMNS`` counters, a fixed
 size, so it is broadcast; any order gives the same links, rare-first gives few candidates). Two
 sets of similarity t or more share one of their first n - ceil(t n) + 1 n-grams in that order,
-so documents are joined on those. Candidates must pass the length filter (sizes within t),
-the positional filter (what can follow their first common n-gram) and the suffix filter (parities
-of the counts by hash range, at least twice as many ranges as n-grams: where they differ, the
-sets do, which bounds the overlap). Each pair is verified once, on the whole sets.
+so documents are joined on those, and the join itself applies the other filters: length (sizes
+within t), position (what can follow a common n-gram), suffix, and first common n-gram, so a pair
+comes up about once and not once for each n-gram that it shares (each row carries up to
+``BEFORE`` of the shared n-grams before its own; a repeated pair is only dropped later).
+
+The suffix filter halves the hash space again and again; where the parts of two sets hold different
+numbers of n-grams the sets differ, which bounds their distance from below. Rows of the join
+carry the parities of the ``DIGEST`` parts of the eighth halving; verify() halves until parts
+hold about two n-grams, compares the counts, and intersects whole sets only after that. Each pair
+is verified once.
 
 ``jaccard_links`` returns every verified pair of class representatives, the members of the
-classes and the number of links of each document; op1 takes its components from these pairs.
-``jaccard_components`` is for callers that want components only (the pipeline): pairs inside a
-component that is already known are skipped. In each of ``ROUNDS`` rounds a document meets a few neighbours in the lists of
+classes and the number of links of each document; op1 takes its rows from it. The links of
+near copies of one text, all different, are as many as the square of their number: so is that result.
+``jaccard_components`` is for callers that want components only (the pipeline) and doesn't grow
+so: pairs inside a component that is already known are skipped. In each of ``ROUNDS`` rounds a document meets a few neighbours in the lists of
 its prefix n-grams (first by size, then in random orders), of other components only, and is
 verified against the one that it shares most n-grams with; the components are merged. What
 is left then, all candidates between different components, is verified whole. Near copies of
 one text thus cost a few verifications each, not one a pair. In that last step the largest
-component of an n-gram is not joined with itself, and the suffix filter is applied while it is
-joined, with the parities of ``DIGEST`` ranges that each row carries.
+component of an n-gram is not joined with itself.
 
 Defined results: words are runs of bytes other than ASCII white space, with A-Z lower-cased;
 a text of fewer words than n has its whole sequence as its one n-gram; null texts and texts
@@ -38,30 +44,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import materialise, table
+from .common import Cache, materialise, table
 from .components import components
 
 WORDS, PERCENT = 5, 80
 SKETCH_ROWS, SKETCH_COLUMNS, SKETCH_BLOCK, SKETCH_SLOTS = 2, 1 << 17, 1 << 12, 8
-ROUNDS = 5
-#: Ranges of the short parities, four 64-bit numbers.
-DIGEST = 256
+ROUNDS = 2
+#: Parts of the hash space with a parity in each row of the join, four 64-bit numbers; shared n-grams that a row carries.
+DIGEST, BEFORE = 256, 32
 SHORT = ["d0", "d1", "d2", "d3"]
 #: Rows of ids that a broadcast may have; beyond it the same join is shuffled.
 BROADCAST_IDS = 2_000_000
-CACHE_ENTRIES = 400_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _WordHashes(dict):
+class _WordHashes(Cache):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = h
-        return h
+        return self.keep(word, xxhash.xxh3_64_intdigest(word))
 
 
 @functools.lru_cache(1)
@@ -91,41 +92,34 @@ def _columns(h: np.ndarray, row: int) -> np.ndarray:
     return (h >> np.uint64(20 * row)).astype(np.int64) & (SKETCH_COLUMNS - 1)
 
 
-def parity(grams: np.ndarray) -> bytes:
-    """Parities of the counts of n-grams by hash range; a power of two of ranges, at least twice the n-grams."""
-    ranges = 1 << min(24, max(6, (2 * len(grams) - 1).bit_length()))
-    return np.packbits(np.bincount((grams >> np.uint64(13)).astype(np.int64) & (ranges - 1), minlength=ranges) & 1, bitorder="little").tobytes()
-
-
 def digest(grams: np.ndarray) -> np.ndarray:
-    """Parities of the counts of n-grams by DIGEST hash ranges."""
-    return np.packbits(np.bincount((grams >> np.uint64(13)).astype(np.int64) & (DIGEST - 1), minlength=DIGEST) & 1, bitorder="little").view("<i8")
+    """Parities of the numbers of n-grams in the DIGEST parts of the hash space."""
+    return np.packbits(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=DIGEST) & 1, bitorder="little").view("<i8")
 
 
-def least_difference(x: bytes, y: bytes) -> int:
-    """Of two parities: n-grams that one set has and the other has not, at least. The longer one is folded."""
-    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """N-grams that just one of two ascending sets has, at least: by their numbers in halves of halves of the hash space."""
+    depth = max(1, min(len(x), len(y)).bit_length() - 1)
+    cuts = np.arange(1, 1 << depth, dtype=np.uint64) << np.uint64(64 - depth)
+    counts = [np.diff(np.searchsorted(s, cuts), prepend=0, append=len(s)) for s in (x, y)]
+    return int(np.abs(counts[0] - counts[1]).sum())
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-DESCRIBED = ["doc_id", "n", "k1", "k2", "parity", *SHORT, "counts"]
+DESCRIBED = ["doc_id", "n", "k1", "k2", *SHORT, "counts"]
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (doc_id, n, k1, k2, parity) and, with a null n, of sketch counters (k1: slot, k2: block, counts)."""
+    """Rows of documents (doc_id, n, k1, k2, d0 to d3) and, with a null n, of sketch counters (k1: slot, k2: block, counts)."""
 
     def run(batches):
         import xxhash
         from pyspark import TaskContext
 
+        _hashes().use()
         counts = np.zeros((SKETCH_ROWS, SKETCH_COLUMNS), np.int64)
         for batch in batches:
             for part in slices(batch):
@@ -137,18 +131,18 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 keys = np.array([(d >> 64, d & (2**64 - 1)) for d in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], np.uint64).reshape(-1, 2).view(np.int64)
                 short = np.array([digest(s) for s in sets], np.int64).reshape(-1, len(SHORT))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([parity(s) for s in sets], pa.binary()), *map(pa.array, np.ascontiguousarray(short.T)), pa.nulls(len(sets), pa.binary())],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *map(pa.array, np.ascontiguousarray(short.T)), pa.nulls(len(sets), pa.binary())],
                     names=DESCRIBED,
                 )
         flat = np.minimum(counts, 2**32 - 1).astype("<u4").reshape(-1, SKETCH_BLOCK)
         slot = TaskContext.get().partitionId() % SKETCH_SLOTS
         full = np.flatnonzero(flat.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array([slot] * len(full), pa.int64()), pa.array(full), pa.nulls(len(full), pa.binary()), *[pa.nulls(len(full), pa.int64())] * len(SHORT), pa.array([flat[i].tobytes() for i in full], pa.binary())],
+            [pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array([slot] * len(full), pa.int64()), pa.array(full), *[pa.nulls(len(full), pa.int64())] * len(SHORT), pa.array([flat[i].tobytes() for i in full], pa.binary())],
             names=DESCRIBED,
         )
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, parity binary, d0 long, d1 long, d2 long, d3 long, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, d0 long, d1 long, d2 long, d3 long, counts binary")
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
@@ -170,6 +164,7 @@ def prefixes(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
 
     def run(batches):
         level = levels.value
+        _hashes().use()
         for batch in batches:
             for part in slices(batch):
                 gram, ids, size, at = [], [], [], []
@@ -189,61 +184,51 @@ def prefixes(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "gram long, id long, n int, at int")
 
 
-def within(small: Column, large: Column, percent: int) -> Column:
-    return F.least(small, large) * 100 >= F.greatest(small, large) * percent
-
-
 def overlap_needed(na: Column, nb: Column, percent: int) -> Column:
     """Least common n-grams of sets of these sizes: ceil(t (na + nb) / (1 + t))."""
     return F.ceil((na + nb) * percent / F.lit(100.0 + percent) - 1e-9)
 
 
-def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows (a, na, at_a, ca, b, nb, at_b, cb), one for each common prefix n-gram, by the positional filter."""
-    first = rows.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.min(F.col("at_a").cast("long") * (1 << 32) + F.col("at_b")).alias("first"), F.count(F.lit(1)).alias("shared"))
-    at_a, at_b = F.shiftright("first", 32), F.col("first").bitwiseAND(0xFFFFFFFF)
-    after = F.least(F.col("na") - at_a, F.col("nb") - at_b)
-    return first.where(after >= overlap_needed(F.col("na"), F.col("nb"), percent)).select("a", "b", "ca", "cb", "na", "nb", "shared")
-
-
-def ordered(x: str, y: str) -> list[Column]:
-    """Columns of a pair with the smaller id as a."""
+def possible(x: str, y: str, percent: int) -> Column:
+    """Whether joined rows of a common n-gram may be a pair: length, positional and suffix filter. A row without digest passes the last."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    less = c(x, "id") < c(y, "id")
-    pick = lambda name, first: F.when(less if first else ~less, c(x, name)).otherwise(c(y, name))
-    return [pick(name, first).alias(to + side) for side, first in (("a", True), ("b", False)) for name, to in (("id", ""), ("n", "n"), ("at", "at_"), ("component", "c"))]
+    nx, ny = c(x, "n").cast("long"), c(y, "n").cast("long")
+    needed = overlap_needed(nx, ny, percent)
+    length = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
+    position = F.least(nx - c(x, "at"), ny - c(y, "at")) >= needed
+    apart = sum((F.bit_count(c(x, d).bitwiseXOR(c(y, d))) for d in SHORT), F.lit(0))
+    return length & position & F.coalesce(apart <= nx + ny - 2 * needed, F.lit(True))
 
 
-def suffix_filter(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose parities allow the overlap they need."""
+def met_before(x: str, y: str) -> Column:
+    """Whether joined rows have a common n-gram before this one, as far as they carry them."""
+    return F.coalesce(F.arrays_overlap(F.col(f"{x}.before"), F.col(f"{y}.before")), F.lit(False))
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 4096):
-                sizes = part.column("na").to_numpy() + part.column("nb").to_numpy()
-                most = sizes - 2 * -(-percent * sizes // (100 + percent))
-                least = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(part.column("pa"), part.column("pb"))], int)
-                yield part.filter(pa.array(least <= most)).select(PAIR)
 
-    side = lambda k: facts.select(F.col("id").alias(k), F.col("parity").alias(f"p{k}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select(*PAIR, F.col("na").cast("long"), F.col("nb").cast("long"), "pa", "pb")
-    return met.mapInArrow(run, "a long, b long, ca long, cb long, shared long").dropDuplicates(["a", "b"])
+def ordered(x: str, y: str) -> list[Column]:
+    """Columns of a pair with the smaller id as a."""
+    less = F.col(f"{x}.id") < F.col(f"{y}.id")
+    pick = lambda name, first: F.when(less if first else ~less, F.col(f"{x}.{name}")).otherwise(F.col(f"{y}.{name}"))
+    return [pick(name, first).alias(to + side) for side, first in (("a", True), ("b", False)) for name, to in (("id", ""), ("component", "c"))]
 
 
-PAIR = ["a", "b", "ca", "cb", "shared"]
+PAIR = ["a", "b", "ca", "cb"]
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): components of the pairs (a, b) whose sets are similar enough."""
+    """(u, v): components ca and cb of the pairs (a, b) whose sets are similar enough."""
+
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        most = len(x) + len(y) - 2 * -(-percent * (len(x) + len(y)) // (100 + percent))
+        if least_apart(x, y) > most:
+            return False
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                keep = []
-                for x, y in zip(part.column("sa"), part.column("sb")):
-                    x, y = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep = [similar(*(np.frombuffer(z.as_buffer(), "<u8") for z in both)) for both in zip(part.column("sa"), part.column("sb"))]
                 yield pa.RecordBatch.from_arrays([part.column("ca"), part.column("cb")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("sb")), "b")
@@ -263,38 +248,43 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, ...]:
-    """Described rows, those with links, members (doc_id, id, n) of classes, texts of representatives, their shared prefix n-grams, classes of one doc_id."""
+    """Described rows, members (doc_id, id, n) of classes, texts of representatives, their shared prefix n-grams, classes of one doc_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = materialise(describe(docs, n))
     levels = spark.sparkContext.broadcast(sketch(described))
-    rows = described.where(F.col("n").isNotNull()).select("doc_id", "n", "k1", "k2", "parity", *SHORT)
+    rows = described.where(F.col("n").isNotNull()).select("doc_id", "n", "k1", "k2", *SHORT)
     known = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = materialise(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")))
+    classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
     named = materialise(known.join(classes, ["k1", "k2"]).select("doc_id", "id", "n"))
     copies = materialise(named.groupBy("doc_id").agg(F.max(F.when(F.col("doc_id") == F.col("id"), 1).otherwise(0)).alias("own")).where("own = 0").select("doc_id"))
     texts = docs.where(F.col("doc_id").isNotNull()).join(bounded(copies), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "text")
 
-    lists = Window.partitionBy("gram")
-    shared = prefixes(texts, levels, n, percent).withColumn("docs", F.count(F.lit(1)).over(lists)).where("docs > 1")
-    shared = materialise(shared.select("gram", "id", "n", "at"))
+    shared = prefixes(texts, levels, n, percent).withColumn("docs", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("docs > 1")
+    # A doc_id of several rows has no single digest, nor one order of its n-grams: its rows pass these filters.
+    single = known.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"), *[F.min(d).alias(d) for d in SHORT]).where("rows = 1").drop("rows")
+    placed = shared.select("gram", "id", "n", "at").join(single, "id", "left")
+    before = F.collect_list("gram").over(Window.partitionBy("id").orderBy("at").rowsBetween(-BEFORE, -1))
+    posted = materialise(placed.withColumn("before", F.when(F.col("d0").isNotNull(), before)))
+    levels.unpersist()
     same_id = named.groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v").select("u", "v")
-    return rows, known, named, texts, shared, same_id
+    return rows, named, texts, posted, same_id
 
 
 def sets_of(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(id, grams): the sets of the documents of pairs, written once."""
+
     def run(batches):
+        _hashes().use()
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(t, n).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["id", "grams"])
 
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    return texts.join(bounded(ids), "id", "left_semi").mapInArrow(run, "id long, grams binary")
+    return materialise(texts.join(bounded(ids), "id", "left_semi").mapInArrow(run, "id long, grams binary"))
 
 
-def different_ranges() -> Column:
-    """Of joined rows x and y with their short parities: ranges of different parity."""
-    return sum((F.bit_count(F.col(f"x{d}").bitwiseXOR(F.col(f"y{d}"))) for d in SHORT), F.lit(0))
+ROW = ["id", "n", "at", *SHORT, "before"]
 
 
 def with_components(rows: DataFrame, named: DataFrame, labels: DataFrame) -> DataFrame:
@@ -312,15 +302,11 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
     n_links): rows that a document is linked to, those of its own set and of linked
     classes, counted for each of its classes. components (doc_id, n_shingles, component_id).
     """
-    rows, known, named, texts, shared, same_id = prepared(docs, n, percent)
-    short = shared.withColumn("component", F.col("id")).join(known.select(F.col("doc_id").alias("id"), *SHORT).dropDuplicates(["id"]), "id")
-    if named.count() > named.select("doc_id").distinct().count():  # a doc_id of several sets has no single parity
-        short = short.select("gram", "id", "n", "at", "component", *[F.lit(0).cast("long").alias(d) for d in SHORT])
-    side = lambda k: short.select("gram", F.struct("id", "n", "at", "component").alias(k), *[F.col(d).alias(k + d) for d in SHORT])
-    nx, ny = F.col("x.n"), F.col("y.n")
-    met = side("x").join(side("y"), "gram").where((F.col("x.id") < F.col("y.id")) & within(nx, ny, percent) & (different_ranges() <= nx + ny - 2 * overlap_needed(nx, ny, percent)))
-    found = candidates(met.select(*ordered("x", "y")), percent)
-    found = materialise(suffix_filter(found, known.select(F.col("doc_id").alias("id"), "parity"), percent))
+    rows, named, texts, posted, same_id = prepared(docs, n, percent)
+    side = lambda k: posted.select("gram", F.struct(*ROW).alias(k))
+    met = side("x").join(side("y"), "gram").where((F.col("x.id") < F.col("y.id")) & possible("x", "y", percent) & ~met_before("x", "y"))
+    found = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).dropDuplicates(["a", "b"])
+    found = materialise(found.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
     pairs = materialise(verify(found, sets_of(found, texts, n), percent))
 
     sizes = named.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
@@ -334,53 +320,46 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
-    rows, known, named, texts, shared, same_id = prepared(docs, n, percent)
-    facts = known.select(F.col("doc_id").alias("id"), "parity")
+    rows, named, texts, posted, same_id = prepared(docs, n, percent)
     lists = Window.partitionBy("gram")
-    every = named.select("id").distinct()
-    labels = merged(every.withColumn("component", F.col("id")), same_id)
+    labels = merged(named.select("id").distinct().withColumn("component", F.col("id")), same_id)
 
-    def step(met: DataFrame, tried: DataFrame | None, one_each: bool) -> DataFrame:
-        """Verifies candidates (x, y) that pass the filters; merges labels; returns the pairs that it tried."""
+    def step(found: DataFrame) -> DataFrame:
+        """Verifies the pairs found; merges labels; returns the pairs that it tried."""
         nonlocal labels
-        found = candidates(met.where((F.col("x.id") != F.col("y.id")) & within(F.col("x.n"), F.col("y.n"), percent)).select(*ordered("x", "y")), percent)
-        if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        found = suffix_filter(found, facts, percent)
-        if one_each:
-            best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-            found = found.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
         found = materialise(found)
         labels = merged(labels, verify(found, sets_of(found, texts, n), percent))
         return found.select("a", "b")
 
-    mine = F.struct("id", "n", "at", "component").alias("y")
+    mine = F.struct(*ROW, "component").alias("y")
     tried = None
     for turn in range(ROUNDS):
         order = lists.orderBy("n", "id") if turn == 0 else lists.orderBy(F.xxhash64("gram", "id", F.lit(turn)), "id")
-        near = shared.join(labels, "id").select(mine, F.lag(mine).over(order).alias("x")).where("x.component <> y.component")
-        new = step(near, tried, True)
-        if not new.take(1):
-            break
+        near = posted.join(labels, "id").select(mine, F.lag(mine).over(order).alias("x"))
+        near = near.where((F.col("x.component") != F.col("y.component")) & possible("x", "y", percent)).select(*ordered("x", "y"))
+        near = near.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("shared"))
+        if tried is not None:
+            near = near.join(tried, ["a", "b"], "left_anti")
+        best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+        new = step(near.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(*PAIR))
         tried = new if tried is None else tried.unionByName(new)
 
-    placed = materialise(shared.join(labels, "id"))
+    placed = materialise(posted.join(labels, "id"))
     sizes = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("gram").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")).where("parts > 1").select("gram", "main")
     inside = materialise(placed.join(mixed, "gram"))
-    inside = inside.join(known.select(F.col("doc_id").alias("id"), *SHORT), "id")
-    side = lambda k, df: df.select("gram", "main", F.struct("id", "n", "at", "component").alias(k), *[F.col(d).alias(k + d) for d in SHORT])
+    side = lambda k, df: df.select("gram", "main", F.struct(*ROW, "component").alias(k))
     crossed = side("x", inside.where("component <> main")).join(side("y", inside).drop("main"), "gram")
-    nx, ny = F.col("x.n"), F.col("y.n")
-    possible = within(nx, ny, percent) & (different_ranges() <= nx + ny - 2 * overlap_needed(nx, ny, percent))
-    apart = (F.col("x.component") != F.col("y.component")) & possible
-    step(crossed.where(apart & ((F.col("y.component") == F.col("main")) | (F.col("x.id") < F.col("y.id")))), tried, False)
+    apart = (F.col("x.component") != F.col("y.component")) & possible("x", "y", percent) & ~met_before("x", "y")
+    pairs = crossed.where(apart & ((F.col("y.component") == F.col("main")) | (F.col("x.id") < F.col("y.id")))).select(*ordered("x", "y")).dropDuplicates(["a", "b"])
+    step(pairs.join(tried, ["a", "b"], "left_anti"))
 
     return with_components(rows, named, labels)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_links(table(spark, sf_dir, "documents"), n=3, percent=90)[-1]
+    _, _, links, placed = jaccard_links(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return placed.join(links, "doc_id", "left").select(*placed.columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 OP1_SQL = r"""
@@ -395,5 +374,6 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 lk AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, lk.b FROM reach r JOIN lk ON r.other = lk.a),
 c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM lk GROUP BY a) l USING (doc_id)
 """

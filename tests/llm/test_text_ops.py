@@ -74,6 +74,31 @@ def test_bpe_equals_the_library():
         assert m.decode(ids) == t.encode() and "".join(pieces) == t and (not t or ends[-1] == len(t))
 
 
+def test_classes_of_all_code_points_equal_the_library():
+    import public_tokenizers as P
+    import tiktoken
+
+    e = reference_encoding()
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    table = bpe._class_table()
+    for kind, pattern in ((bpe.LETTER, r"\p{L}"), (bpe.NUMBER, r"\p{N}"), (bpe.BLANKS, r"\s")):
+        only = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=e._mergeable_ranks, special_tokens={})
+        known = set(map(ord, only.decode_bytes(only.encode_ordinary(every)).decode()))
+        assert known == {c for c in np.flatnonzero(table == kind).tolist() if not 0xD800 <= c < 0xE000}
+    assert P.PATTERN == e._pat_str
+
+
+def test_registered_bpe_equals_the_library(spark, sf):
+    e = reference_encoding()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = bpe.op10_bpe(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = e.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 def test_bpe_rows(odd, none):
     encoded = bpe.encode(odd)
     assert "score" in encoded.columns and encoded.columns.count("ids") == 1
@@ -209,15 +234,34 @@ def test_prefix_shares_a_gram_of_every_similar_pair():
             assert 1 <= k <= n and n - k + 1 >= -(-percent * n // 100)
 
 
-def test_parity_bounds_the_difference():
+def test_suffix_filter_bounds_the_difference():
     rng = np.random.default_rng(0)
     for _ in range(200):
-        a = rng.integers(0, 2**63, rng.integers(0, 300)).astype(np.uint64)
-        b = np.unique(np.concatenate([a[: len(a) // 2], rng.integers(0, 2**63, rng.integers(0, 900)).astype(np.uint64)]))
+        a = rng.integers(0, 2**64, rng.integers(1, 300), np.uint64)
+        b = np.unique(np.concatenate([a[: len(a) // 2], rng.integers(0, 2**64, rng.integers(1, 900), np.uint64)]))
         a = np.unique(a)
         apart = len(np.setxor1d(a, b))
-        assert ngram_join.least_difference(ngram_join.parity(a), ngram_join.parity(b)) <= apart
+        assert ngram_join.least_apart(a, b) == ngram_join.least_apart(b, a) <= apart and ngram_join.least_apart(a, a) == 0
         assert np.bitwise_count((ngram_join.digest(a) ^ ngram_join.digest(b)).view(np.uint64)).sum() <= apart
+    far = [np.unique(rng.integers(0, 2**64, 400, np.uint64)) for _ in range(2)]
+    assert ngram_join.least_apart(*far) > 2 * 400 * 20 / 180  # unrelated sets are told apart at 0.8
+
+
+def test_pairs_of_repeated_ids_and_long_shared_prefixes(spark, monkeypatch):
+    """A doc_id of several texts, repeated rows, and pairs whose common n-grams are more than a row carries."""
+    monkeypatch.setattr(ngram_join, "BEFORE", 2)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(30):
+        own = list(base)
+        own[i * 7] = f"e{i}"
+        rows.append((i % 20, " ".join(own)))
+    rows += rows[:5] + [(100 + i, f"alone {i} " * 9) for i in range(5)]
+    pairs, members, _, placed = ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 3, 90)
+    assert {x["component_id"] for x in placed.collect() if x["doc_id"] < 20} == {0}
+    assert sorted((x["doc_id"], x["component_id"]) for x in placed.collect() if x["doc_id"] >= 100) == [(100 + i, 100 + i) for i in range(5)]
+    assert {(x["u"], x["v"]) for x in pairs.collect()} >= {(i, j) for i in range(20) for j in range(i + 1, 20)}
+    assert {x["component_id"] for x in ngram_join.jaccard_components(spark.createDataFrame(rows[:35], "doc_id bigint, text string"), 3, 90).collect()} == {0}
 
 
 def test_mix_near_targets(spark, odd, none):
