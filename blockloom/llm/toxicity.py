@@ -2,21 +2,23 @@
 
 Examples are labelled documents whose crc32(doc_id) mod 5 is not 0, at most
 ``EXAMPLES_PER_CLASS`` of each class (those with the smallest hash of doc_id; the bound of the
-sample). Features are all words of the examples and the first 4 to 6 letters of longer words;
-none is left out. Vectors are (1 + ln tf) * idf * (1 + G2), of length 1, so an inner product is
-the cosine. G2 is the likelihood ratio of a feature's counts in the two classes, about 1 for one
-that has nothing to do with them: plain TF-IDF is led by the many words that say nothing.
-
-The inverted index holds the examples in doc blocks with the largest weight of each feature
-in each block. A document adds up the bounds of all blocks, scores the ``FIRST_BLOCKS`` of the
-largest bounds, then all others whose bound reaches the k-th best cosine: the
-k nearest are exact. Votes are weighted by cosine and by what an example stands for in its
-class. Leave-one-out votes of the examples themselves, in bins made monotone, calibrate
-votes to scores; a document without any word of the examples gets the rate of toxic
-examples among examples like it. The nearest examples are returned as evidence.
+sample). Features are all words of the examples, lower-cased and without outer punctuation;
+none is left out and none is cut. Vectors are (1 + ln tf) * idf * sqrt(1 + G2), of length 1, so an inner
+product is the cosine. G2 is the likelihood ratio of a word's counts in the two classes, about 1 for
+one that has nothing to do with them: plain TF-IDF is led by the many words that say nothing.
+
+The inverted index holds the examples in blocks of alike ones (of one class, with the same of the
+commonest words), with the largest weight of each word in each block. A document adds up
+the bounds of all blocks, scores the ``FIRST_BLOCKS`` of the largest bounds, then all others
+whose bound reaches the k-th best cosine: the k nearest are exact. Votes are weighted by cosine
+and by what an example stands for in its class. Leave-one-out votes of the examples
+themselves, in bins made monotone, calibrate votes to scores; a document without any word of
+the examples gets the rate of toxic examples among examples like it. The nearest examples are
+returned as evidence.
 
 Defined results: a null or empty text has no features; a null doc_id is never an example
 and not held out; of several labels of a document the largest counts, null labels don't;
+of several texts of a document the least by code point is the example;
 without labelled rows every score is 0; ties among examples go to the smaller doc_id;
 repeated rows get equal scores; other columns are ignored. Labels, lang, source and doc_id
 are no inputs of a score.
@@ -35,29 +37,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import append, slices, with_fields
-from .common import table
+from .common import Cache, table
 
-EXAMPLES_PER_CLASS = 4000
-NEIGHBOURS, BLOCK, FIRST_BLOCKS, BINS = 15, 64, 8, 20
-PREFIXES = (4, 5, 6)
-WORD_CACHE = 300_000
+EXAMPLES_PER_CLASS = 2000
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, BINS = 15, 64, 6, 20
+#: Commonest words by which examples are ordered.
+COMMON_WORDS = 24
 EDGES = re.compile(r"^\W+|\W+$")
 
 
-def features_of(token: str) -> tuple[str, ...]:
-    """Of a lower-cased token: the word without outer punctuation, and its beginnings."""
-    word = EDGES.sub("", token)[:40]
-    return (word, *(f"{word[:n]}~" for n in PREFIXES if len(word) > n)) if word else ()
+def word_of(token: str) -> str:
+    """A lower-cased token without outer punctuation."""
+    return EDGES.sub("", token)
 
 
-def count_features(text: str) -> Counter:
+def count_words(text: str) -> Counter:
     out: Counter = Counter()
     for token, n in Counter(text.lower().split()).items():
-        for f in features_of(token):
-            out[f] += n
+        if word := word_of(token):
+            out[word] += n
     return out
 
 
+class _Known(Cache):
+    """Numbers of the features of tokens, -1 for none."""
+
+    def __init__(self, feature: dict[str, int]):
+        self.feature = feature
+
+    def __missing__(self, token: str) -> int:
+        return self.keep(token, self.feature.get(word_of(token), -1))
+
+    def __reduce__(self):
+        return _Known, (self.feature,)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -74,27 +88,17 @@ class Model:
     def __init__(self, names: list[str], weight: list[float]):
         self.feature = {f: i for i, f in enumerate(names)}
         self.weight = np.array(weight, float)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self.feature)
         self.ids = self.labels = self.weights = np.zeros(0)
         self.blocks, self.prior, self.bare, self.bins = 0, 0.0, 0.0, None
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers, ascending, and how often each comes; both empty without words of the examples."""
-        known, feature = self.known, self.feature
-        if len(known) > WORD_CACHE:
-            known.clear()
-        found, times = [], []
-        for token, n in Counter(text.lower().split()).items():
-            hit = known.get(token)
-            if hit is None:
-                hit = known[token] = tuple(feature[f] for f in features_of(token) if f in feature)
-            found += hit
-            times += [n] * len(hit)
-        at, where = np.unique(np.array(found, np.int64), return_inverse=True)
-        return at, np.bincount(where, times, len(at)).astype(np.int64)
+        tokens = Counter(text.lower().split())
+        found = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        times = np.fromiter(tokens.values(), np.int64, len(tokens))
+        at, where = np.unique(found[found >= 0], return_inverse=True)
+        return at, np.bincount(where, times[found >= 0], len(at)).astype(np.int64)
 
     def weigh(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(tf)) * self.weight[at]
@@ -104,14 +108,17 @@ class Model:
         return self.weigh(*self.counts(text))
 
     def index(self, ids: list[int], labels: list[int], weights: list[float], vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Examples in ascending order of ids; those without features only count for the bare rate."""
+        """Examples in any order; those without features only count for the bare rate."""
         labels_, weights_ = np.array(labels, float), np.array(weights, float)
         full = np.array([len(v[0]) > 0 for v in vectors], bool)
         rate = lambda m: float((labels_ * weights_)[m].sum() / weights_[m].sum()) if weights_[m].sum() else None
         self.prior = rate(full | ~full) or 0.0
         bare = rate(~full)
         self.bare = self.prior if bare is None else bare
-        keep = np.flatnonzero(full)
+        df = np.bincount(np.concatenate([v[0] for v in vectors]), minlength=len(self.weight)) if full.any() else np.zeros(0)
+        common = np.argsort(-df, kind="stable")[:COMMON_WORDS]
+        alike = [(labels[i], np.isin(common, vectors[i][0]).tobytes(), ids[i]) for i in range(len(ids))]
+        keep = np.array(sorted(np.flatnonzero(full).tolist(), key=alike.__getitem__), np.int64)
         self.ids, self.labels, self.weights = np.array(ids, np.int64)[keep], labels_[keep], weights_[keep]
         self.blocks = -(-len(keep) // BLOCK)
         if not len(keep):
@@ -147,7 +154,7 @@ class Model:
             hit = np.flatnonzero(total)
             hit = hit[self.ids[hit] != but] if but is not None else hit
             docs, scores = np.concatenate([docs, hit]), np.concatenate([scores, total[hit]])
-            best = np.lexsort((docs, -scores))[:k]
+            best = np.lexsort((self.ids[docs], -scores))[:k]
             docs, scores = docs[best], scores[best]
             least = scores[-1] if len(scores) == k else 0.0
         return docs, scores
@@ -175,15 +182,16 @@ class Model:
                 out[-2:] = [[(a * m + b * n) / (m + n), m + n, i + j]]
         self.bins = np.concatenate([[r] * n for r, _, n in out])
 
-    def score(self, text: str) -> tuple[float, list[tuple[int, float, int]]]:
+    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
+        """Score of a text, its nearest examples (by number) and their cosines."""
         at, w = self.vector(text)
         if not len(at) or not len(self.ids):
-            return self.bare, []
+            return self.bare, np.zeros(0, int), np.zeros(0)
         docs, scores = self.nearest(at, w)
         v = self.vote(docs, scores)
         if self.bins is not None:
             v = float(np.interp(v, (np.arange(BINS) + 0.5) / BINS, self.bins))
-        return min(1.0, max(0.0, v)), [(int(self.ids[d]), float(s), int(self.labels[d])) for d, s in zip(docs, scores)]
+        return min(1.0, max(0.0, v)), docs, scores
 
 
 def examples(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS) -> tuple[DataFrame, dict[int, float]]:
@@ -202,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLAS
     def tokens(batches):
         for batch in batches:
             for part in slices(batch):
-                found = [(f, y) for t, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()) for f in count_features(t)]
+                found = [(f, y) for t, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()) for f in count_words(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], names=["feature", "toxic"])
 
     sample = sample.persist()
@@ -212,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLAS
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     share = (a + b) / (n1 + n0)
     g2 = 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))
-    weight = F.log((n1 + n0 + 1) / (a + b)) * (1 + F.greatest(g2, F.lit(0.0)))
+    weight = F.log((n1 + n0 + 1) / (a + b)) * F.sqrt(1 + F.greatest(g2, F.lit(0.0)))
     chosen = counts.select("feature", weight.alias("weight")).toArrow().sort_by("feature")
     model = Model(chosen.column("feature").to_pylist(), chosen.column("weight").to_numpy())
 
@@ -240,22 +248,31 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLAS
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score, predicted and evidence (doc_id, cosine and label of the nearest examples) to documents with text."""
+def score(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
+    """Adds score, predicted and, if asked for, evidence (doc_id, cosine and label of the nearest examples) to documents with text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+    of_example = ["doc_id", "cosine", "toxic"]
 
     def run(batches):
         m = shared.value
+        m.known.use()
         for batch in batches:
             for part in slices(batch):
                 found = [m.score(t or "") for t in part.column("text").to_pylist()]
-                s = [x for x, _ in found]
-                near = [[dict(zip(("doc_id", "cosine", "toxic"), e)) for e in es] for _, es in found]
-                yield append(part, {"score": pa.array(s, pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in s], pa.int32()), "evidence": pa.array(near, evidence)})
-
-    near = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
-    return docs.mapInArrow(run, with_fields(docs, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", near)))
+                s = np.array([x for x, _, _ in found], float)
+                out = {"score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))}
+                if evidence:
+                    near = np.concatenate([d for _, d, _ in found]).astype(np.int64)
+                    near = [m.ids[near].astype(np.int64), np.concatenate([c for _, _, c in found]), m.labels[near].astype(np.int32)] if len(near) else [np.zeros(0, t) for t in (np.int64, float, np.int32)]
+                    ends = pa.array(np.cumsum([0, *(len(d) for _, d, _ in found)]), pa.int32())
+                    out["evidence"] = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x) for x in near], names=of_example))
+                yield append(part, out)
+
+    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    if evidence:
+        kinds = (T.LongType(), T.DoubleType(), T.IntegerType())
+        fields.append(T.StructField("evidence", T.ArrayType(T.StructType([T.StructField(n, k) for n, k in zip(of_example, kinds)]))))
+    return docs.mapInArrow(run, with_fields(docs, *fields))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -338,7 +338,7 @@ def test_block_max_search_is_exact():
         q[at] = w
         want = np.sort(dense @ q)[::-1][: toxicity.NEIGHBOURS]
         docs, scores = m.nearest(at, w)
-        assert np.allclose(scores, want[want > 0]) and np.allclose(dense[docs] @ q, scores)
+        assert np.allclose(scores, want[want > 0]) and np.allclose(dense[m.ids[docs]] @ q, scores)
 
 
 def test_toxicity_searches_all_words(spark):
@@ -348,12 +348,66 @@ def test_toxicity_searches_all_words(spark):
     toxic = [(i, f"gronk fool w{i % 40}", 1) for i in free[300:340]] + [(i, f"zwatch snarl w{i % 40}", 1) for i in free[340:342]]
     rows = spark.createDataFrame(plain + toxic, "doc_id bigint, text string, toxic int")
     model = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
-    assert {w for _, t, _ in plain + toxic for w in t.split()} <= set(model.feature) and (model.weight > 0).all()
+    assert {w for _, t, _ in plain + toxic for w in t.split()} == set(model.feature) and (model.weight > 0).all()
     at, w = model.vector("plain words w3")
-    assert len(at) == sum(f in model.feature for t in ("plain", "words", "w3") for f in toxicity.features_of(t))
-    _, near = model.score("zwatch snarl")
-    assert {i for i, _, _ in near[:2]} == set(free[340:342]) and all(y == 1 for _, _, y in near[:2])
-    assert len(model.score("some plain words")[1]) == toxicity.NEIGHBOURS and model.score("unseen") == (model.bare, [])
+    assert len(at) == 3
+    _, near, _ = model.score("zwatch snarl")
+    assert set(model.ids[near[:2]]) == set(free[340:342]) and model.labels[near[:2]].tolist() == [1, 1]
+    assert len(model.score("some plain words")[1]) == toxicity.NEIGHBOURS and model.score("unseen")[0] == model.bare
+
+
+def test_toxicity_scores_equal_brute_force(spark, sf):
+    """Vectors, search, votes, leave-one-out calibration and scores against a plain version without index or blocks."""
+    import math
+
+    at = sf.replace("0.001", "0.01")
+    docs, labelled = (spark.read.parquet(f"{at}/{n}.parquet") for n in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in toxicity.op3_toxicity(spark, at).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    label = {r["doc_id"]: r["toxic"] for r in labelled.collect() if r["doc_id"] in texts and not held[r["doc_id"]]}
+    assert len(label) <= toxicity.EXAMPLES_PER_CLASS
+    words = {i: collections.Counter(w for t in texts[i].lower().split() if (w := re.sub(r"^\W+|\W+$", "", t))) for i in texts}
+    n = [sum(1 for y in label.values() if y == c) for c in (0, 1)]
+    count = [collections.Counter(w for i, y in label.items() if y == c for w in words[i]) for c in (0, 1)]
+    weight = {}
+    for w in count[0] | count[1]:
+        a, b = count[1][w], count[0][w]
+        share = (a + b) / sum(n)
+        g2 = 2 * sum(x * math.log(x / e) for x, e in ((a, n[1] * share), (b, n[0] * share), (n[1] - a, n[1] * (1 - share)), (n[0] - b, n[0] * (1 - share))) if x)
+        weight[w] = math.log((sum(n) + 1) / (a + b)) * math.sqrt(1 + max(g2, 0))
+
+    def vector(i):
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in words[i].items() if w in weight}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    vectors = {i: vector(i) for i in texts}
+
+    def vote(i):
+        cosines = [(sum(x * vectors[j][w] for w, x in vectors[i].items() if w in vectors[j]), j) for j in label if j != i or held[i]]
+        near = sorted(((c, j) for c, j in cosines if c > 0), key=lambda x: (-x[0], x[1]))[: toxicity.NEIGHBOURS]
+        return (sum(c * label[j] for c, j in near) + 1e-3 * n[1] / sum(n)) / (sum(c for c, _ in near) + 1e-3), near
+
+    bins = [[0.0, 0] for _ in range(toxicity.BINS)]
+    for i in label:
+        k = min(int(vote(i)[0] * toxicity.BINS), toxicity.BINS - 1)
+        bins[k][0] += label[i]
+        bins[k][1] += 1
+    pools = []
+    for k, (t, m) in enumerate(bins):
+        pools.append([t + (k + 0.5) / toxicity.BINS, m + 1, 1])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last)]
+    rates = [t / m for t, m, k in pools for _ in range(k)]
+    some = [i for i in sorted(texts) if held[i]][:60]
+    for i in some:
+        v, near = vote(i)
+        want = np.interp(v, (np.arange(toxicity.BINS) + 0.5) / toxicity.BINS, rates)
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["held_out"]
+        assert np.allclose([e["cosine"] for e in got[i]["evidence"]], [c for c, _ in near])
+    assert sum(len(r["evidence"]) > 0 for r in got.values()) >= 0.95 * sum(bool(t.split()) for t in texts.values())
 
 
 def test_toxicity_rows(spark, odd, none, labels):
