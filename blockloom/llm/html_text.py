@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import materialise, table
-from .ngram_join import M1, _hashes, _mix, bounded
+from .ngram_join import bounded, runs_of, words_of
 
 SHARD_PAGES, RUN, LEAST_PAGES = 256, 8, 3
 
@@ -165,11 +165,7 @@ def run_hashes(tokens: list[str], run: int = RUN) -> np.ndarray:
     """64-bit hashes of all runs of a token stream, in order."""
     if len(tokens) < run:
         return np.zeros(0, np.int64)
-    w = np.fromiter((_hashes()[t.encode("utf-8", "surrogatepass")] for t in tokens), np.uint64, len(tokens))
-    h = np.full(len(w) - run + 1, run, np.uint64)
-    for i in range(run):
-        h = _mix(h * M1 + w[i : len(w) - run + 1 + i])
-    return h.view(np.int64)
+    return runs_of(words_of([" ".join(tokens)])[0], run).view(np.int64)
 
 
 def parsed(page: str) -> tuple[list[tuple[str, int]], list[str], bool]:

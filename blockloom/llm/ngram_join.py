@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Cache, materialise, table
+from .common import SPACE_CHARS, materialise, table
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -52,22 +52,56 @@ SKETCH_ROWS, SKETCH_COLUMNS, SKETCH_BLOCK, SKETCH_SLOTS = 2, 1 << 17, 1 << 12, 8
 ROUNDS = 2
 #: Parts of the hash space with a parity in each row of the join, four 64-bit numbers; shared n-grams that a row carries.
 DIGEST, BEFORE = 256, 32
+#: Documents of a block of verification; bytes that are hashed at once; bytes of a word beyond which xxhash hashes it.
+BLOCK, PIECE, LONG_WORD = 64, 1 << 17, 64
 SHORT = ["d0", "d1", "d2", "d3"]
 #: Rows of ids that a broadcast may have; beyond it the same join is shuffled.
 BROADCAST_IDS = 2_000_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _WordHashes(Cache):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        return self.keep(word, xxhash.xxh3_64_intdigest(word))
-
-
 @functools.lru_cache(1)
-def _hashes() -> _WordHashes:
-    return _WordHashes()
+def _byte_codes() -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit number of each byte, A to Z as a to z, and which bytes are white space."""
+    b = np.arange(256, dtype=np.uint64)
+    lower = np.where((b >= 65) & (b <= 90), b + np.uint64(32), b)
+    return _mix((lower + np.uint64(1)) * M2), np.isin(b, np.frombuffer(SPACE_CHARS.encode(), np.uint8))
+
+
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    inverse = np.uint64(pow(int(M1), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (M1, inverse))
+
+
+def _sums(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For words from a to before b: the sums of their codes times powers that count from the word's start."""
+    power, inverse = _powers(PIECE + 1)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * power[: len(codes)], out=total[1:])
+    return (total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and starts of the words of bytes: differences of running sums of byte codes times powers; long words by xxhash."""
+    import xxhash
+
+    codes, spaces = _byte_codes()
+    inside = np.diff(~spaces[data], prepend=False, append=False)
+    starts, ends = np.flatnonzero(inside).reshape(-1, 2).T
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + PIECE)))
+        a, b = starts[i:j] - base, ends[i:j] - base
+        if b[-1] <= PIECE:  # else it is one long word
+            out[i:j] = _sums(codes[data[base : base + b[-1]]], a, b)
+        i = j
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes().lower())
+    return out, starts
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -75,17 +109,39 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * M1 ^ (h >> np.uint64(32))
 
 
+def runs_of(words: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of n words, or of all words where they are fewer."""
+    n = min(n, len(words))
+    h = np.full(len(words) - n + 1, n, np.uint64)
+    for i in range(n):
+        h = _mix(h * M1 + words[i : len(words) - n + 1 + i])
+    return h
+
+
+def words_of(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the hashes of its words, in order."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    words, starts = word_hashes(np.frombuffer(b"\n".join(raw), np.uint8))
+    edges = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)])).tolist()
+    return [words[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Of each text the distinct n-grams as ascending 64-bit hashes."""
+    words = words_of(texts)
+    runs, at, out = runs_of(np.concatenate([*words, np.zeros(n, np.uint64)]), n), 0, []
+    for w in words:
+        if len(w):
+            h = np.sort(runs[at : at + len(w) - n + 1] if len(w) >= n else runs_of(w, n))
+            out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += len(w)
+    return out
+
+
 def shingles(text: str | None, n: int) -> np.ndarray:
-    """The distinct n-grams of a text as ascending 64-bit hashes."""
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
-    k = min(n, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = _mix(h * M1 + w[i : len(w) - k + 1 + i])
-    return np.unique(h)
+    return shingle_sets([text], n)[0]
 
 
 def _columns(h: np.ndarray, row: int) -> np.ndarray:
@@ -119,11 +175,10 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
         import xxhash
         from pyspark import TaskContext
 
-        _hashes().use()
         counts = np.zeros((SKETCH_ROWS, SKETCH_COLUMNS), np.int64)
         for batch in batches:
             for part in slices(batch):
-                sets = [shingles(t, n) for t in part.column("text").to_pylist()]
+                sets = shingle_sets(part.column("text").to_pylist(), n)
                 if held := [s for s in sets if len(s)]:
                     every = np.concatenate(held)
                     for row in range(SKETCH_ROWS):
@@ -164,22 +219,20 @@ def prefixes(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
 
     def run(batches):
         level = levels.value
-        _hashes().use()
         for batch in batches:
             for part in slices(batch):
-                gram, ids, size, at = [], [], [], []
-                for doc_id, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                    s = shingles(text, n)
-                    if not len(s):
-                        continue
-                    k = prefix_length(len(s), percent)
-                    rank = functools.reduce(np.minimum, (level[row][_columns(s, row)] for row in range(SKETCH_ROWS)))
-                    gram.append(s[np.lexsort((s, rank))[:k]])
-                    ids.append(np.full(k, doc_id))
-                    size.append(np.full(k, len(s), np.int32))
-                    at.append(np.arange(k, dtype=np.int32))
+                sets = shingle_sets(part.column("text").to_pylist(), n)
+                every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                rank = functools.reduce(np.minimum, (level[row][_columns(every, row)] for row in range(SKETCH_ROWS)))
+                order = rank.astype(np.uint64) << np.uint64(57) | every >> np.uint64(7)
+                ends = np.cumsum([len(s) for s in sets]).tolist()
+                gram, sizes = [], [prefix_length(len(s), percent) if len(s) else 0 for s in sets]
+                for s, k, end in zip(sets, sizes, ends):
+                    if k:
+                        gram.append(s[np.argsort(order[end - len(s) : end], kind="stable")[:k]])
                 if gram:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([g.view(np.int64) for g in gram], ids, size, at)], names=["gram", "id", "n", "at"])
+                    columns = [np.concatenate(gram).view(np.int64), np.repeat(part.column("id").to_numpy(), sizes), np.repeat(np.array([len(s) for s in sets], np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["gram", "id", "n", "at"])
 
     return docs.mapInArrow(run, "gram long, id long, n int, at int")
 
@@ -216,7 +269,7 @@ PAIR = ["a", "b", "ca", "cb"]
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): components ca and cb of the pairs (a, b) whose sets are similar enough."""
+    """(u, v): components ca and cb of the pairs (a, b) of which two sets (id, grams) are similar enough."""
 
     def similar(x: np.ndarray, y: np.ndarray) -> bool:
         most = len(x) + len(y) - 2 * -(-percent * (len(x) + len(y)) // (100 + percent))
@@ -225,15 +278,23 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         common = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * common >= percent * (len(x) + len(y) - common)
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                keep = [similar(*(np.frombuffer(z.as_buffer(), "<u8") for z in both)) for both in zip(part.column("sa"), part.column("sb"))]
-                yield pa.RecordBatch.from_arrays([part.column("ca"), part.column("cb")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("sa")), "a")
-    return both.select("ca", "cb", "sa", "sb").mapInArrow(run, "u long, v long").distinct()
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        grams = {}
+        for i, g in zip(sets.column("id").to_pylist(), sets.column("grams")):
+            grams.setdefault(i, []).append(np.frombuffer(g.as_buffer(), "<u8"))
+        keep = [any(similar(x, y) for x in grams[a] for y in grams[b]) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())]
+        return pairs.select(["ca", "cb"]).rename_columns(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    # Pairs meet in blocks of documents, so that a set travels once a block and not once a pair: documents of one least neighbour, dealt by hash.
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    keys = ends.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("key"))
+    dealt = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    block = F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    blocks = materialise(keys.join(dealt, "key").select("id", block.alias("block")))
+    side = lambda k: blocks.select(F.col("id").alias(k), F.col("block").alias(f"b{k}"))
+    placed = materialise(pairs.join(side("a"), "a").join(side("b"), "b").select(*PAIR, F.xxhash64("ba", "bb").alias("block")))
+    needed = placed.select(F.col("block").alias("home"), F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+    return placed.groupBy("block").cogroup(needed.groupBy("home")).applyInArrow(run, "u long, v long").distinct()
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -275,10 +336,9 @@ def sets_of(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(id, grams): the sets of the documents of pairs, written once."""
 
     def run(batches):
-        _hashes().use()
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(t, n).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["id", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), n)], pa.binary())], names=["id", "grams"])
 
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     return materialise(texts.join(bounded(ids), "id", "left_semi").mapInArrow(run, "id long, grams binary"))
