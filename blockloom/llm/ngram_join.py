@@ -10,11 +10,11 @@ within t), position (what can follow a common n-gram), suffix, and first common
 comes up about once and not once for each n-gram that it shares (each row carries up to
 ``BEFORE`` of the shared n-grams before its own; a repeated pair is only dropped later).
 
-The suffix filter halves the hash space again and again; where the parts of two sets hold different
-numbers of n-grams the sets differ, which bounds their distance from below. Rows of the join
-carry the parities of the ``DIGEST`` parts of the eighth halving; verify() halves until parts
-hold about two n-grams, compares the counts, and intersects whole sets only after that. Each pair
-is verified once.
+The suffix filter halves the hash space again and again; where a part of two sets holds numbers of n-grams
+that differ in parity the sets differ there, which bounds their distance from below. Rows of the join
+carry the parities of ``DIGEST`` parts; before whole sets are compared, the parities of parts of about half
+an n-gram are. Facts of documents meet in blocks of pairs, so they travel once a block. Each pair is
+verified once.
 
 ``jaccard_links`` returns every verified pair of class representatives, the members of the
 classes and the number of links of each document; op1 takes its rows from it. The links of
@@ -150,26 +150,34 @@ def _columns(h: np.ndarray, row: int) -> np.ndarray:
 
 def digest(grams: np.ndarray) -> np.ndarray:
     """Parities of the numbers of n-grams in the DIGEST parts of the hash space."""
-    return np.packbits(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=DIGEST) & 1, bitorder="little").view("<i8")
+    return np.packbits(np.bincount((grams >> np.uint64(13)).astype(np.int64) & (DIGEST - 1), minlength=DIGEST) & 1, bitorder="little").view("<i8")
 
 
-def least_apart(x: np.ndarray, y: np.ndarray) -> int:
-    """N-grams that just one of two ascending sets has, at least: by their numbers in halves of halves of the hash space."""
-    depth = max(1, min(len(x), len(y)).bit_length() - 1)
-    cuts = np.arange(1, 1 << depth, dtype=np.uint64) << np.uint64(64 - depth)
-    counts = [np.diff(np.searchsorted(s, cuts), prepend=0, append=len(s)) for s in (x, y)]
-    return int(np.abs(counts[0] - counts[1]).sum())
+def parity(grams: np.ndarray) -> bytes:
+    """The same for halves of halves down to about half an n-gram a part."""
+    parts = 1 << min(24, max(6, (2 * len(grams) - 1).bit_length()))
+    return np.packbits(np.bincount((grams >> np.uint64(13)).astype(np.int64) & (parts - 1), minlength=parts) & 1, bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Of two parities: n-grams that just one of the sets has, at least. The finer one is folded."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-DESCRIBED = ["doc_id", "n", "k1", "k2", *SHORT, "counts"]
+DESCRIBED = ["doc_id", "n", "k1", "k2", "parity", *SHORT, "counts"]
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (doc_id, n, k1, k2, d0 to d3) and, with a null n, of sketch counters (k1: slot, k2: block, counts)."""
+    """Rows of documents (doc_id, n, k1, k2, parity, d0 to d3) and, with a null n, of sketch counters (k1: slot, k2: block, counts)."""
 
     def run(batches):
         import xxhash
@@ -186,18 +194,18 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 keys = np.array([(d >> 64, d & (2**64 - 1)) for d in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], np.uint64).reshape(-1, 2).view(np.int64)
                 short = np.array([digest(s) for s in sets], np.int64).reshape(-1, len(SHORT))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *map(pa.array, np.ascontiguousarray(short.T)), pa.nulls(len(sets), pa.binary())],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([parity(s) for s in sets], pa.binary()), *map(pa.array, np.ascontiguousarray(short.T)), pa.nulls(len(sets), pa.binary())],
                     names=DESCRIBED,
                 )
         flat = np.minimum(counts, 2**32 - 1).astype("<u4").reshape(-1, SKETCH_BLOCK)
         slot = TaskContext.get().partitionId() % SKETCH_SLOTS
         full = np.flatnonzero(flat.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array([slot] * len(full), pa.int64()), pa.array(full), *[pa.nulls(len(full), pa.int64())] * len(SHORT), pa.array([flat[i].tobytes() for i in full], pa.binary())],
+            [pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array([slot] * len(full), pa.int64()), pa.array(full), pa.nulls(len(full), pa.binary()), *[pa.nulls(len(full), pa.int64())] * len(SHORT), pa.array([flat[i].tobytes() for i in full], pa.binary())],
             names=DESCRIBED,
         )
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, d0 long, d1 long, d2 long, d3 long, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, parity binary, d0 long, d1 long, d2 long, d3 long, counts binary")
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
@@ -268,24 +276,20 @@ def ordered(x: str, y: str) -> list[Column]:
 PAIR = ["a", "b", "ca", "cb"]
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): components ca and cb of the pairs (a, b) of which two sets (id, grams) are similar enough."""
+def passing(pairs: DataFrame, facts: DataFrame, test) -> DataFrame:
+    """Pairs of which two facts (id, fact binary) pass test(x, y).
 
-    def similar(x: np.ndarray, y: np.ndarray) -> bool:
-        most = len(x) + len(y) - 2 * -(-percent * (len(x) + len(y)) // (100 + percent))
-        if least_apart(x, y) > most:
-            return False
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * common >= percent * (len(x) + len(y) - common)
+    Pairs meet in blocks of documents, so that a fact travels once a block and not once a pair:
+    documents of one least neighbour, dealt by hash.
+    """
 
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        grams = {}
-        for i, g in zip(sets.column("id").to_pylist(), sets.column("grams")):
-            grams.setdefault(i, []).append(np.frombuffer(g.as_buffer(), "<u8"))
-        keep = [any(similar(x, y) for x in grams[a] for y in grams[b]) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())]
-        return pairs.select(["ca", "cb"]).rename_columns(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    def run(pairs: pa.Table, facts: pa.Table) -> pa.Table:
+        of = {}
+        for i, x in zip(facts.column("id").to_pylist(), facts.column("fact")):
+            of.setdefault(i, []).append(x.as_buffer())
+        keep = [any(test(x, y) for x in of[a] for y in of[b]) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())]
+        return pairs.select(PAIR).filter(pa.array(keep, pa.bool_()))
 
-    # Pairs meet in blocks of documents, so that a set travels once a block and not once a pair: documents of one least neighbour, dealt by hash.
     ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     keys = ends.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("key"))
     dealt = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
@@ -293,8 +297,32 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     blocks = materialise(keys.join(dealt, "key").select("id", block.alias("block")))
     side = lambda k: blocks.select(F.col("id").alias(k), F.col("block").alias(f"b{k}"))
     placed = materialise(pairs.join(side("a"), "a").join(side("b"), "b").select(*PAIR, F.xxhash64("ba", "bb").alias("block")))
-    needed = placed.select(F.col("block").alias("home"), F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
-    return placed.groupBy("block").cogroup(needed.groupBy("home")).applyInArrow(run, "u long, v long").distinct()
+    needed = placed.select(F.col("block").alias("home"), F.explode(F.array("a", "b")).alias("id")).distinct().join(facts.select("id", "fact"), "id")
+    return materialise(placed.groupBy("block").cogroup(needed.groupBy("home")).applyInArrow(run, "a long, b long, ca long, cb long"))
+
+
+def verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(u, v): components ca and cb of the pairs (a, b) whose sets are similar enough; facts (id, n, parity) and texts (id, text) of all documents."""
+
+    def near(x, y) -> bool:
+        (m, k), x, y = (int.from_bytes(z[:8], "big") for z in (x, y)), x[8:], y[8:]
+        return least_difference(x, y) <= m + k - 2 * -(-percent * (m + k) // (100 + percent))
+
+    def similar(x, y) -> bool:
+        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    def grams(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), n)], pa.binary())], names=["id", "fact"])
+
+    size = F.unhex(F.lpad(F.hex("n"), 16, "0"))
+    pairs = passing(pairs, facts.select("id", F.concat(size, F.col("parity")).alias("fact")), near)
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = materialise(texts.join(bounded(ids), "id", "left_semi").mapInArrow(grams, "id long, fact binary"))
+    return passing(pairs, sets, similar).select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -309,7 +337,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, ...]:
-    """Described rows, members (doc_id, id, n) of classes, texts of representatives, their shared prefix n-grams, classes of one doc_id."""
+    """Described rows, their facts (id, n, parity), members (doc_id, id, n) of classes, texts of representatives, their shared prefix n-grams, classes of one doc_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = materialise(describe(docs, n))
@@ -328,20 +356,9 @@ def prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, ...]:
     before = F.collect_list("gram").over(Window.partitionBy("id").orderBy("at").rowsBetween(-BEFORE, -1))
     posted = materialise(placed.withColumn("before", F.when(F.col("d0").isNotNull(), before)))
     levels.unpersist()
+    facts = described.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "n", "parity")
     same_id = named.groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v").select("u", "v")
-    return rows, named, texts, posted, same_id
-
-
-def sets_of(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(id, grams): the sets of the documents of pairs, written once."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), n)], pa.binary())], names=["id", "grams"])
-
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    return materialise(texts.join(bounded(ids), "id", "left_semi").mapInArrow(run, "id long, grams binary"))
+    return rows, facts, named, texts, posted, same_id
 
 
 ROW = ["id", "n", "at", *SHORT, "before"]
@@ -362,12 +379,12 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
     n_links): rows that a document is linked to, those of its own set and of linked
     classes, counted for each of its classes. components (doc_id, n_shingles, component_id).
     """
-    rows, named, texts, posted, same_id = prepared(docs, n, percent)
+    rows, facts, named, texts, posted, same_id = prepared(docs, n, percent)
     side = lambda k: posted.select("gram", F.struct(*ROW).alias(k))
     met = side("x").join(side("y"), "gram").where((F.col("x.id") < F.col("y.id")) & possible("x", "y", percent) & ~met_before("x", "y"))
     found = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).dropDuplicates(["a", "b"])
     found = materialise(found.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
-    pairs = materialise(verify(found, sets_of(found, texts, n), percent))
+    pairs = materialise(verify(found, facts, texts, n, percent))
 
     sizes = named.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -380,7 +397,7 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
-    rows, named, texts, posted, same_id = prepared(docs, n, percent)
+    rows, facts, named, texts, posted, same_id = prepared(docs, n, percent)
     lists = Window.partitionBy("gram")
     labels = merged(named.select("id").distinct().withColumn("component", F.col("id")), same_id)
 
@@ -388,7 +405,7 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
         """Verifies the pairs found; merges labels; returns the pairs that it tried."""
         nonlocal labels
         found = materialise(found)
-        labels = merged(labels, verify(found, sets_of(found, texts, n), percent))
+        labels = merged(labels, verify(found, facts, texts, n, percent))
         return found.select("a", "b")
 
     mine = F.struct(*ROW, "component").alias("y")
