@@ -1,25 +1,28 @@
 """Main text of HTML pages: structure of the page, and a suffix array over the pages of its host.
 
-Pages of a host are dealt into shards of about ``SHARD_PAGES`` (a large host has many, so no group
-grows with it). A shard concatenates the token streams of its pages, all blocks of them, and
-sorts the suffixes by their first ``RUN`` tokens (prefix doubling). Neighbours of equal rank are
-repeated substrings; where one occurs on at least ``LEAST_PAGES`` pages of different content of
-the host, the tokens it covers are boilerplate. Longer repeats are covered by their overlapping
-runs. What remains are unique runs. For a host of several shards the pages of each run are
-counted over the whole host by 64-bit hashes of the runs, and the runs found are given back to
-its shards; that is left out where all pages of the host mark their article, which no count changes.
+Pages of a host are dealt into shards of about ``SHARD_PAGES`` pages and ``SHARD_BYTES`` (a large host has many, so no group
+grows with it). A shard concatenates the token streams of its pages, all blocks that are no part of a
+marked article, and sorts the suffixes by their first ``RUN`` tokens (prefix doubling). Neighbours of
+equal rank have a common prefix of at least that: repeated substrings. Where one occurs on at least ``LEAST_PAGES`` pages of
+different content of the host, the tokens it covers are boilerplate. Which tokens repeats of ``RUN`` or more
+tokens cover doesn't depend on how long they are, as every part of ``RUN`` tokens of a longer repeat is one: the
+suffixes need no further sorting. What remains are unique runs. For a host of several shards the pages
+of each run are counted over the whole host by 64-bit hashes of the runs, and the runs found are given back to
+its shards; that is left out where no page of the host has a block to decide on.
 
 Repetition alone can't give right results: menus and footers may be unique to a page, and an
 article may be copied or quoted across a host. So the structure decides first: scripts,
 styles, navigation, page headers, footers, asides, forms, adverts, notices and comments (by
-element, role and words of class and id) are dropped; where a page marks its article
-(``article`` or ``main``), just that is kept, and repeats inside it are kept too. Elsewhere covered
-runs of at least ``RUN`` tokens of a block and blocks covered as a whole are removed; all other
-tokens stay, however few are left of a block.
+element, role and names of class and id) are dropped; what a page marks as its article
+(``article`` or ``main``) is kept, repeats too. The array decides on all other blocks, beside an article
+and on pages without one: covered runs of at least ``RUN`` tokens of a block and blocks covered as a whole are removed; all
+other tokens stay, however few are left of a block. Where names of classes would leave nothing of a page, they
+don't count.
 
 Defined results: a null or empty html has an empty text; a null url or one without a host
-belongs to the host ''; broken markup never fails (an unclosed element ends with its
-parent, an unclosed comment, script or style with the page); repeated rows count as one page
+belongs to the host ''; broken markup never fails and takes linear time (an unclosed element ends with its
+parent, an unclosed comment, script or style with the page, a tag with an unclosed quote at the next >, a
+tag without end is text); repeated rows count as one page
 for repetition and each give a row; empty tables give no rows; other columns are ignored.
 """
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,30 +41,51 @@ from .bpe import slices
 from .common import materialise, table
 from .ngram_join import bounded, runs_of, words_of
 
-SHARD_PAGES, RUN, LEAST_PAGES = 256, 8, 3
+SHARD_PAGES, SHARD_BYTES, RUN, LEAST_PAGES = 256, 16 << 20, 8, 3
+#: Open elements that a new block looks through for one that it ends.
+LOOK_BACK = 64
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
+MARK = re.compile(r"[>\"']")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WORDS_OF = re.compile(r"[^a-z0-9]+")
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "object", "math", "canvas"}
+PARTS = re.compile(r"[^a-z0-9]+")
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "object", "canvas"}
+RAW_END = {tag: re.compile(rf"</{tag}", re.I | re.A) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = set("head nav footer aside form menu dialog button select fieldset label figcaption audio video map".split())
+DROPPED = set("head nav footer aside form menu dialog button select fieldset label audio video map".split())
 ARTICLE = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar", "alertdialog"}
-#: Words of class or id. Around an article the first may just describe a layout.
+#: Names of class or id, or their last parts. Around an article the first may just describe a layout.
 LAYOUT = set("sidebar nav navbar navigation menu header footer banner masthead topbar widget widgets".split())
 UNWANTED = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert disclaimer breadcrumb breadcrumbs "
     "comment comments commentlist replies reply disqus discussion respond share sharing social related recommended newsletter subscribe subscription popup modal overlay login signin signup pager pagination toolbar skip copyright hidden".split()
 )
+#: These also as first parts, and first parts of names that say the contrary.
+FIRST = set("ad ads advert advertisement sponsored cookie cookies gdpr consent comment comments newsletter breadcrumb breadcrumbs".split())
+CONTRARY = set("no not non has with without hide toggle js".split())
 #: Elements that end when a block begins beside them.
 SELF_CLOSING = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr", "tbody", "tfoot"}}
 KEEP, SOFT, HARD = range(3)
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> int:
-    """How an element is to be dropped; inside: it is part of an article."""
+def _named(names: str) -> int:
+    """How an element of these class names or ids is to be dropped."""
+    how = KEEP
+    for name in names.split():
+        parts = [x for x in PARTS.split(name) if x]
+        if not parts or parts[0] in CONTRARY and len(parts) > 1:
+            continue
+        if parts[-1] in UNWANTED or parts[0] in FIRST:
+            return HARD
+        if parts[-1] in LAYOUT:
+            how = SOFT
+    return how
+
+
+def _unwanted(tag: str, attributes: str, inside: bool, named: bool) -> int:
+    """How an element is to be dropped; inside: it is part of an article; named: its class and id count."""
     if tag in DROPPED or tag == "header" and not inside:
         return HARD
     if not attributes or attributes.isspace():
@@ -70,86 +95,118 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> int:
         return HARD
     if found.get("role") in ROLES:
         return HARD
-    if tag in ("html", "body"):
+    if not named or tag in ("html", "body"):
         return KEEP
-    names = set(WORDS_OF.split(f"{found.get('class', '')} {found.get('id', '')}"))
-    if names & UNWANTED:
-        return HARD
-    return SOFT if names & LAYOUT and tag not in ARTICLE else KEEP
-
-
-def blocks(page: str) -> list[tuple[str, int]]:
-    """Blocks of a page in order: text, and 0 dropped, 1 kept, 2 kept as part of a marked article."""
+    how = _named(f"{found.get('class', '')} {found.get('id', '')}")
+    return KEEP if how == SOFT and (inside or tag in ARTICLE) else how
+
+
+def tokens_of(page: str):
+    """Of a page in order: (None, text), (name, attributes) of start tags and ("/" + name, "") of end tags, without comments and raw elements. Linear in its length."""
+    at, end, last = 0, len(page), page.rfind(">")
+    quotes = True  # until a quoted value was found without end
+    while at < end:
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = end if stop < 0 else stop
+            yield None, page[at:stop]
+            at = stop
+        elif at > last:  # no tag ends any more
+            yield None, page[at:]
+            return
+        elif page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = end if stop < 0 else stop + 3
+        elif page.startswith(("<!", "<?"), at):
+            at = page.find(">", at) + 1
+        elif not (m := NAME.match(page, at + 1 + (closing := page.startswith("/", at + 1)))):
+            yield None, "<"
+            at += 1
+        else:
+            stop = m.end()
+            while quotes and (found := MARK.search(page, stop)) and found[0] != ">":
+                stop = page.find(found[0], found.end()) + 1
+                quotes = stop > 0
+            if quotes and not found:
+                quotes = False
+            stop = found.start() if quotes else page.find(">", m.end())
+            tag = m[0].lower()
+            at = stop + 1
+            if closing:
+                yield "/" + tag, ""
+            elif tag not in RAW:
+                yield tag, page[m.end() : stop]
+            elif page[stop - 1] != "/":
+                close = RAW_END[tag].search(page, at)
+                at = close.start() if close else end
+
+
+def blocks(page: str, named: bool = True) -> list[tuple[str, int]]:
+    """Blocks of a page in order: text, and 0 dropped, 1 to be decided on, 2 part of a marked article."""
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int, bool]] = []
-    drop, article = KEEP, False
+    opened: Counter = Counter()
+    drop, article, by_name = KEEP, False, False
 
     def flush() -> None:
         if text and (joined := " ".join("".join(text).split())):
             out.append((joined, 0 if drop else 2 if article else 1))
         text.clear()
 
-    def settle() -> None:
+    def last(tag: str) -> int:
+        i = len(stack) - 1
+        while stack[i][0] != tag:
+            i -= 1
+        return i
+
+    def cut(i: int) -> None:
         nonlocal drop, article
+        for name, _, _ in stack[i:]:
+            opened[name] -= 1
+        del stack[i:]
         drop, article = stack[-1][1:] if stack else (KEEP, False)
 
-    at, end, lower = 0, len(page), None
-    while at < end and (m := MARKUP.match(page, at)):
-        at = m.end()
-        if m[7] is not None:
-            text.append(entities.unescape(m[7]) if "&" in m[7] else m[7])
-            continue
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+    for tag, rest in tokens_of(page):
+        if tag is None:
+            text.append(entities.unescape(rest) if "&" in rest else rest)
             continue
-        if m[1] or m[4]:
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush()
-                    del stack[i:]
-                    settle()
-                    break
-            continue
-        attributes = m[3] or m[6] or ""
-        if tag in RAW:
-            if not attributes.endswith("/"):
-                lower = page.lower() if lower is None else lower
-                if len(lower) != end:  # lower-casing changed the length
-                    lower = "".join(c.lower() if c < "\x80" else c for c in page)
-                stop = lower.find(f"</{tag}", at)
-                at = end if stop < 0 else stop
+            if opened[tag]:
+                flush()
+                cut(last(tag))
             continue
         if tag == "br":
             text.append(" ")
         if tag in BLOCKS:
             flush()
-            if tag == "body":
-                stack[:] = [s for s in stack if s[0] != "head"]
-                settle()
-            for i in range(len(stack) - 1, -1, -1):
+            while tag == "body" and opened["head"]:
+                cut(last("head"))
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - LOOK_BACK), -1):
                 name = stack[i][0]
                 if name in SELF_CLOSING:
                     if tag in SELF_CLOSING[name]:
-                        del stack[i:]
-                        settle()
+                        cut(i)
                         break
                 elif name in BLOCKS:
                     break
         if tag in VOID:
             continue
-        how = _unwanted(tag, attributes, article)
+        how = _unwanted(tag, rest, article, named)
+        by_name = by_name or how != KEEP and named
         if how or tag in BLOCKS or tag in DROPPED:
             if how and tag not in BLOCKS:
                 flush()
-            if tag in ARTICLE and how == KEEP and drop != HARD:
-                stack.append((tag, KEEP, True))
-            else:
-                stack.append((tag, max(drop, how), article))
-            settle()
+            begins = tag in ARTICLE and how == KEEP and drop != HARD
+            stack.append((tag, KEEP, True) if begins else (tag, max(drop, how), article))
+            opened[tag] += 1
+            drop, article = stack[-1][1:]
     flush()
+    if by_name and not any(kind for _, kind in out):
+        return blocks(page, False)
     return out
 
 
@@ -169,19 +226,18 @@ def run_hashes(tokens: list[str], run: int = RUN) -> np.ndarray:
 
 
 def parsed(page: str) -> tuple[list[tuple[str, int]], list[str], bool]:
-    """Blocks of a page, its token stream, and whether it marks an article."""
+    """Blocks of a page, the token stream of those outside of a marked article, and whether any of them is to be decided on."""
     found = blocks(page)
-    return found, [t for text, _ in found for t in text.split(" ")], any(kind == 2 for _, kind in found)
+    return found, [t for text, kind in found if kind != 2 for t in text.split(" ")], any(kind == 1 for _, kind in found)
 
 
-def repeated(pages: list[list[str]], run: int = RUN, least_pages: int = LEAST_PAGES, least_share: float = 0.0) -> list[np.ndarray]:
+def repeated(pages: list[list[str]], run: int = RUN, least_pages: int = LEAST_PAGES) -> list[np.ndarray]:
     """For token streams of pages of different content, where a repeated substring covers the tokens."""
     number: dict[str, int] = {}
     streams = [np.array([number.setdefault(t, len(number)) for t in p], np.int64) for p in pages]
     sizes = np.array([len(s) for s in streams])
-    need = max(least_pages, int(np.ceil(least_share * len(pages))))
     covered = [np.zeros(n, bool) for n in sizes]
-    if len(pages) < need or not sizes.sum():
+    if len(pages) < least_pages or not sizes.sum():
         return covered
     # A border after each page, different from all tokens and all other borders.
     tokens = np.concatenate([x for i, s in enumerate(streams) for x in (s, [len(number) + i])])
@@ -198,7 +254,7 @@ def repeated(pages: list[list[str]], run: int = RUN, least_pages: int = LEAST_PA
     first = np.flatnonzero(np.diff(r, prepend=-1))
     fresh = np.diff(r, prepend=-1) != 0
     distinct = np.add.reduceat(fresh | (np.diff(p, prepend=-1) != 0), first)
-    starts = order[np.repeat(distinct >= need, np.diff(np.append(first, len(r))))]
+    starts = order[np.repeat(distinct >= least_pages, np.diff(np.append(first, len(r))))]
     hit = covering(starts, len(tokens), run)
     ends = np.cumsum(sizes + 1)
     return [hit[e - n - 1 : e - 1] for e, n in zip(ends, sizes)]
@@ -224,18 +280,17 @@ def main_texts(pages: list[str], frequent: np.ndarray | None = None) -> list[str
     else:
         hits = [covering(np.flatnonzero(np.isin(run_hashes(stream), frequent)), len(stream), RUN) for _, stream, _ in read]
     texts = {}
-    for page, (found, _, marked), hit in zip(different, read, hits):
+    for page, (found, _, _), hit in zip(different, read, hits):
         out, at = [], 0
         for text, kind in found:
+            if kind == 2:
+                out.append(text)
+                continue
             tokens = text.split(" ")
             here = hit[at : at + len(tokens)]
             at += len(tokens)
-            if kind == 2:
-                out.append(text)
-            elif kind == 1 and not marked:
-                left = unique_runs(tokens, here)
-                if left:
-                    out.append(" ".join(left))
+            if kind == 1 and (left := unique_runs(tokens, here)):
+                out.append(" ".join(left))
         texts[page] = "\n\n".join(out)
     return [texts[p] for p in pages]
 
@@ -244,7 +299,8 @@ def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of pages (page_id, url, html)."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host)
-    shards = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / shard_pages).alias("shards"))
+    most = F.greatest(F.count(F.lit(1)) / shard_pages, F.sum(F.octet_length("html")) / SHARD_BYTES)
+    shards = rows.groupBy("host").agg(F.ceil(most).alias("shards"))
     dealt = rows.join(bounded(shards), "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
 
     def texts_of(group: pa.Table, frequent: np.ndarray | None) -> pa.Table:
@@ -260,33 +316,30 @@ def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
 
 
 def frequent_runs(dealt: DataFrame) -> DataFrame:
-    """(host, shard, run) of dealt pages (host, shard, html): runs on at least LEAST_PAGES pages of the host that a page without article of the shard has."""
+    """(host, shard, run) of dealt pages (host, shard, html): runs on at least LEAST_PAGES pages of the host that a page of the shard with blocks to decide on has."""
 
     def open_hosts(batches):
         for batch in batches:
             for part in slices(batch):
-                open_ = [not parsed(p)[2] for p in part.column("html").to_pylist()]
+                open_ = [parsed(p)[2] for p in part.column("html").to_pylist()]
                 yield part.select(["host"]).filter(pa.array(open_, pa.bool_()))
 
     def runs(batches):
         for batch in batches:
             for part in slices(batch):
-                found = []
-                for page in part.column("html").to_pylist():
-                    _, stream, marked = parsed(page)
-                    found.append((np.unique(run_hashes(stream)), marked))
-                at = np.repeat(np.arange(len(found)), [len(r) for r, _ in found])
-                run = np.concatenate([r for r, _ in found]) if found else np.zeros(0, np.int64)
-                marked = pa.array([m for _, m in found], pa.bool_()).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([part.column("host").take(pa.array(at)), part.column("shard").take(pa.array(at)), pa.array(run), marked], names=["host", "shard", "run", "marked"])
+                read = [parsed(p) for p in part.column("html").to_pylist()]
+                found = [np.unique(run_hashes(stream)) for _, stream, _ in read]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(r) for r in found]))
+                open_ = pa.array([o for _, _, o in read], pa.bool_()).take(at)
+                yield pa.RecordBatch.from_arrays([part.column("host").take(at), part.column("shard").take(at), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), open_], names=["host", "shard", "run", "open"])
 
     hosts = materialise(dealt.select("host", "html").mapInArrow(open_hosts, "host string").distinct())
     pages = dealt.join(bounded(hosts), "host", "left_semi")
-    schema = "host string, shard long, run long, marked boolean"
+    schema = "host string, shard long, run long, open boolean"
     # Pages of the same content count once, wherever they were dealt.
-    once = pages.groupBy("host", "html").agg(F.min("shard").alias("shard"))
+    once = pages.groupBy("host", F.sha2("html", 256).alias("key")).agg(F.min("shard").alias("shard"), F.min("html").alias("html"))
     counts = once.select("host", "shard", "html").mapInArrow(runs, schema).groupBy("host", "run").agg(F.count(F.lit(1)).alias("pages"))
-    needed = pages.select("host", "shard", "html").mapInArrow(runs, schema).where(~F.col("marked")).select("host", "shard", "run").distinct()
+    needed = pages.select("host", "shard", "html").mapInArrow(runs, schema).where("open").select("host", "shard", "run").distinct()
     return needed.join(counts.where(F.col("pages") >= LEAST_PAGES), ["host", "run"]).select("host", "shard", "run")
 
 

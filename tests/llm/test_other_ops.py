@@ -1,5 +1,6 @@
 """Pages, archives, vectors, the pipeline and the registered queries."""
 
+import collections
 import io
 import struct
 import zipfile
@@ -85,11 +86,101 @@ def test_html_structure():
     <p>Real  text\none&nbsp;two.<p>Second &lt;b&gt; <b>bo</b>ld</div><p class="notice">This site uses</p><p>After<div class="comments"><p>nice</div><form><input>go</form>
     <script>x("<p>no</p>")</script><!-- <p>no</p> --><style>p{}</style><div style="display: none">no</div><aside>no</aside><footer>no</body>"""
     assert [t for t, kind in html_text.blocks(page) if kind] == ["Real text one two.", "Second <b> bold", "After"]
-    assert html_text.main_texts(["<nav>x</nav><main><h1>H</h1><p>P<br>Q</p><div class=ads>ad</div></main><p>outside"]) == ["H\n\nP Q"]
+    assert html_text.main_texts(["<nav>x</nav><main><h1>H</h1><p>P<br>Q</p><div class=ads>ad</div></main><p>outside"]) == ["H\n\nP Q\n\noutside"]
     for broken in ("<", "<p", "<!--", "<script>", "</p></div>", "<a href='x", "&#xffffff; &bad;", "<article><p>x</article></article>"):
         html_text.main_texts([broken])
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<div class="content hidden-print"><p>Only text</div>', "Only text"),
+        ('<div class="no-sidebar"><p>Only text</div>', "Only text"),
+        ('<div class="comments"><p>Only text</div>', "Only text"),
+        ('<div class="comments"><p>nice</div><p>Text', "Text"),
+        ('<article><p class="share-prices">Prices</p><figure><figcaption>Caption</figcaption></figure><p>x <math><mi>y</mi></math> z</article>', "Prices\n\nCaption\n\nx y z"),
+        ('<article>a<div class="site-footer">no</div><div class="ad-slot wide">no</div></article>', "a\n\nno"),
+        ('<div class="page-header">no</div><p>yes<div id="main-menu">no</div>', "yes"),
+        ("<p>a < b and <3 <a href='x>y'>link</a>", "a < b and <3 link"),
+    ],
+)
+def test_names_of_classes(page, want):
+    assert html_text.main_texts([page]) == [want]
+
+
+UNITS = ["<a href='x ", '<p "', "<div>", "<a '><a ''>", "<a '\"><a \"'>", "<", "</b>", "<!--", "<span class=ad>", "<!", "<a b=\" c='", "&amp", "<head><body>", "<script", "<li>"]
+
+
+@pytest.mark.parametrize("unit", UNITS)
+def test_broken_markup_takes_linear_time(unit):
+    import time
+
+    for tail in ("", ">", "</b>" * 100_000, "<div></div>" * 40_000):
+        page = unit * ((1 << 20) // len(unit) // (2 if len(tail) > 1 else 1)) + tail
+        start = time.thread_time()
+        list(html_text.blocks(page))
+        assert time.thread_time() - start < 10  # under 2 s here; a quadratic scan takes minutes
+
+
+def test_the_array_alone_decides_beside_articles():
+    """An unmarked footer and an unmarked line beside articles go as they repeat; what is unique there stays, and so do repeats inside articles."""
+    foot = "all rights are reserved by the people who make this fine site"
+    quoted = "a passage that three articles quote word for word from one old book"
+    made = [f"<div>read more of our stories about the sea every day of {i}</div><article><p>story {i} begins</p><p>{quoted}</p></article><div>note {i} of the editor</div><div>{foot}</div>" for i in range(4)]
+    assert html_text.main_texts(made) == [f"{i}\n\nstory {i} begins\n\n{quoted}\n\nnote {i} of the editor" for i in range(4)]
+    assert foot in html_text.main_texts(made[:2])[0]
+
+
+def test_main_texts_equal_brute_force():
+    """Random hosts of pages with and without article: every token by the definition of a repeat."""
+    import random
+
+    r = random.Random(4)
+    pool = [" ".join(f"b{k}x{j}" for j in range(r.randint(2, 14))) for k in range(6)]
+    for _ in range(40):
+        made = []
+        for i in range(r.randint(1, 7)):
+            made.append([(r.choice([0, 1, 1, 2]), r.choice(pool) if r.random() < 0.6 else f"u{i} v{r.random()}") for _ in range(r.randint(0, 6))])
+        tag = {0: "nav", 1: "div", 2: "article"}
+        html = ["".join(f"<{tag[k]}>{t}</{tag[k]}>" for k, t in page) for page in made]
+        where = collections.defaultdict(set)
+        streams = [[t for k, text in page if k != 2 for t in text.split()] for page in made]
+        for h, s in zip(html, streams):
+            for i in range(len(s) - 7):
+                where[tuple(s[i : i + 8])].add(h)
+        want = []
+        for page, s in zip(made, streams):
+            hit = [any(len(where[tuple(s[j : j + 8])]) >= 3 for j in range(max(0, i - 7), min(i, len(s) - 8) + 1)) for i in range(len(s))]
+            out, at = [], 0
+            for k, text in page:
+                if k == 2:
+                    out.append(text)
+                    continue
+                words = text.split()
+                here = hit[at : at + len(words)]
+                at += len(words)
+                gone = [any(all(here[a : a + 8]) and len(here[a : a + 8]) == 8 for a in range(max(0, i - 7), i + 1)) for i in range(len(words))]
+                left = [] if all(here) else [w for w, g in zip(words, gone) if not g]
+                if k == 1 and left:
+                    out.append(" ".join(left))
+            want.append("\n\n".join(out))
+        assert html_text.main_texts(html) == want
+
+
+def test_registered_main_texts(spark, sf):
+    """Rows of the query against the article of each page, cut out by a plain pattern."""
+    import html
+    import re
+
+    made = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = html_text.op2_html_text(spark, sf).collect()
+    assert len(rows) == len(made)
+    for r in rows:
+        inside = re.search(r"<article>(.*)</article>", made[r["page_id"]], re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", p))).split()) for p in re.split(r"</?(?:p|h1)>", inside)]
+        assert r["text"] == "\n\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
 def test_repeats_of_a_host_go_and_unique_runs_stay():
     boiler = "please read our terms of use and the rules of this house before you write"
     made = [f"<div>{boiler}</div><div>article number {i} says {'abc'[i % 3]}{i} and more {i * i} of it</div>" for i in range(12)]
@@ -109,7 +200,7 @@ def test_suffix_runs_equal_brute_force():
         for p, s in enumerate(streams):
             for i in range(len(s) - run + 1):
                 where.setdefault(tuple(s[i : i + run]), set()).add(p)
-        for s, hit in zip(streams, html_text.repeated(streams, run, 3, 0.1)):
+        for s, hit in zip(streams, html_text.repeated(streams, run, 3)):
             want = np.zeros(len(s), bool)
             for i in range(len(s) - run + 1):
                 if len(where[tuple(s[i : i + run])]) >= 3:
