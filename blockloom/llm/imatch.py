@@ -5,7 +5,8 @@ N / ``RARE`` and N / ``FREQUENT``, a band of the inverse document frequency. It
 RARE times the mean number of distinct terms of a document, whatever N is; it is broadcast
 when a count shows it within ``BROADCAST_TERMS`` and joined by shuffle otherwise. A
 document's distinct terms in the lexicon are sorted and hashed, for the whole lexicon and
-for randomised subsets of it: 16 seeds at each of 3 rates. Small rates survive edits of long
+for randomised subsets of it: 16 seeds at each of 3 rates. The subsets of a term are bits of a mask
+that the lexicon holds, so they are drawn once a term and not once a document. Small rates survive edits of long
 documents, large ones describe short documents. The fingerprint joins those hashes as
 hexadecimal; a subset without terms of the document is "-". The likeness of two
 fingerprints is the share of equal hashes among the subsets that either document has terms
@@ -31,7 +32,8 @@ from .common import materialise, range_bounds, range_bucket, table, text_or_empt
 RARE, FREQUENT = 2000, 10
 SUBSETS = [(0, 1)] + [(seed, rate) for rate in (32, 128, 512) for seed in range(1, 17)]
 BROADCAST_TERMS = 4_000_000
-ROWS_PER_RANGE, RANGES = 4000, 4096
+#: Documents of a range, and ranges at most: beyond that they grow, and are sorted outside of memory.
+ROWS_PER_RANGE, RANGES = 1000, 32768
 
 
 def terms(text: Column) -> Column:
@@ -39,27 +41,30 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, rare: int = RARE, frequent: int = FREQUENT) -> DataFrame:
-    """(term): 64-bit hashes of the terms in the band, from the frequencies over all documents."""
+    """(term, mask): 64-bit hashes of the terms in the band, from the frequencies over all documents, and bits of the subsets after the first that hold them."""
     n = docs.count()
     counts = docs.select(F.explode(terms(text_or_empty())).alias("t")).groupBy(F.xxhash64("t").alias("term")).agg(F.count(F.lit(1)).alias("df"))
-    return counts.where((F.col("df") >= max(2, n / rare)) & (F.col("df") <= max(2, n / frequent))).select("term")
+    band = counts.where((F.col("df") >= max(2, n / rare)) & (F.col("df") <= max(2, n / frequent)))
+    drawn = lambda i, seed, rate: F.when(F.pmod(F.xxhash64("term", F.lit(seed)), F.lit(rate)) == 0, 1 << i).otherwise(0).cast("long")
+    return band.select("term", sum((drawn(i, *x) for i, x in enumerate(SUBSETS[1:])), F.lit(0).cast("long")).alias("mask"))
 
 
 def short(*columns: Column) -> Column:
     return F.shiftright(F.xxhash64(*columns), 32).cast("int")
 
 
-def subset_hashes(kept: Column, all_terms: Column, subsets=SUBSETS) -> Column:
-    """Array of one hash for each subset, null without terms. kept: sorted distinct term hashes in the lexicon."""
-    choices = F.array(*[F.struct(F.lit(seed).alias("seed"), F.lit(rate).alias("rate")) for seed, rate in subsets])
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    def hashed(choice: Column) -> Column:
-        members = F.filter(kept, lambda t: F.pmod(F.xxhash64(t, choice["seed"]), choice["rate"]) == 0)
-        return F.transform(F.array(members), lambda m: F.when(F.size(m) > 0, short(m)))[0]
 
+def subset_hashes(kept: Column, all_terms: Column) -> Column:
+    """Array of one hash for each subset, null without terms. kept: sorted distinct (term, mask) in the lexicon; all_terms: hash of all, null for none."""
     none = F.lit(None).cast("int")
-    fallback = F.array(F.when(F.size(all_terms) > 0, short(all_terms, F.lit("all"))), *[none] * (len(subsets) - 1))
-    return F.when(F.size(kept) > 0, F.transform(choices, hashed)).otherwise(fallback)
+    bits = F.array(*[F.lit(1 << i).cast("long") for i in range(len(SUBSETS) - 1)])
+    members = lambda some, bit: F.filter(some, lambda t: t["mask"].bitwiseAND(bit) != 0)
+    drawn = once(F.filter(kept, lambda t: t["mask"] != 0), lambda some: F.transform(bits, lambda bit: once(members(some, bit), lambda m: F.when(F.size(m) > 0, short(m)))))
+    return F.when(F.size(kept) > 0, F.concat(F.array(short(kept)), drawn)).otherwise(F.array(all_terms, *[none] * (len(SUBSETS) - 1)))
 
 
 def fingerprint(hashes: Column) -> Column:
@@ -119,13 +124,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     tagged = lambda c, tag: F.transform(terms(F.col(c)), lambda t: F.struct(F.lit(tag).alias("of"), F.xxhash64(t).alias("term")))
     each = rows.select("range", "rn", F.explode(F.concat(tagged("text", 0), tagged("edited", 1))).alias("x")).select("range", "rn", "x.of", "x.term")
     sets = each.join(kept_terms, "term").groupBy("range", "rn").agg(
-        F.sort_array(F.collect_list(F.when(F.col("of") == 0, F.col("term")))).alias("own"),
-        F.sort_array(F.collect_list(F.when(F.col("of") == 1, F.col("term")))).alias("changed"),
+        F.sort_array(F.collect_list(F.when(F.col("of") == 0, F.struct("term", "mask")))).alias("own"),
+        F.sort_array(F.collect_list(F.when(F.col("of") == 1, F.struct("term", "mask")))).alias("changed"),
     )
     facts = rows.select("range", "rn", "ghost", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[
-        F.when(F.size(terms(F.col(c))) > 0, F.array(F.xxhash64(F.sort_array(terms(F.col(c)))))).otherwise(F.array().cast("array<long>")).alias(f"all_{c}") for c in ("text", "edited")
+        once(terms(F.col(c)), lambda t: F.when(F.size(t) > 0, short(F.sort_array(t), F.lit("all")))).alias(f"all_{c}") for c in ("text", "edited")
     ])
-    none = F.array().cast("array<long>")
+    none = F.array().cast("array<struct<term:bigint,mask:bigint>>")
     both = facts.join(sets, ["range", "rn"], "left").select(
         *("range", "rn", "ghost", "doc_id", "n_chars", "edited_sha256"),
         subset_hashes(F.coalesce("own", none), F.col("all_text")).alias("fp"),

@@ -302,6 +302,73 @@ def test_fingerprints(spark, odd, none):
     assert alone["near_next"] == 1.0
 
 
+def brute_fingerprints(rows):
+    """Rows (doc_id, text) without nulls, unique ids: the expected rows of imatch.fingerprints by doc_id."""
+    import struct
+
+    import xxhash
+
+    h = lambda raw, seed=42: xxhash.xxh64_intdigest(raw, seed)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    long = lambda x, seed: h(struct.pack("<q", x), seed)
+    words = lambda t: list(dict.fromkeys(re.findall(r"[^\x20\x09-\x0D]+", t.lower())))
+    df = collections.Counter(w for _, t in rows for w in words(t))
+    n = len(rows)
+    band = {w for w, k in df.items() if max(2, n / imatch.RARE) <= k <= max(2, n / imatch.FREQUENT)}
+    int_ = lambda x, seed: h(struct.pack("<i", x), seed)
+
+    def mask(term):
+        return sum(1 << i for i, (seed, rate) in enumerate(imatch.SUBSETS[1:]) if signed(int_(seed, long(term, 42))) % rate == 0)
+
+    def hashed(members):
+        seed = 42
+        for term, m in members:
+            seed = long(m, long(term, seed))
+        return signed(seed) >> 32
+
+    def of(text):
+        kept = sorted((signed(h(w.encode())), mask(signed(h(w.encode())))) for w in words(text) if w in band)
+        if not kept:
+            every, seed = sorted(words(text)), 42
+            for w in every:
+                seed = h(w.encode(), seed)
+            return [signed(h(b"all", seed)) >> 32 if every else None] + [None] * (len(imatch.SUBSETS) - 1)
+        drawn = [[x for x in kept if x[1] >> i & 1] for i in range(len(imatch.SUBSETS) - 1)]
+        return [hashed(kept)] + [hashed(d) if d else None for d in drawn]
+
+    def alike(a, b):
+        known = [(x, y) for x, y in zip(a, b) if x is not None or y is not None]
+        return sum(x == y for x, y in known) / len(known) if known else 1.0
+
+    text = lambda a: ":".join("-" if x is None else f"{x & 0xFFFFFFFF:08x}" for x in a)
+    ordered = sorted(rows, reverse=True)
+    out = {}
+    for (i, t), (_, after) in zip(ordered, [*ordered[1:], ordered[0]]):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b, c = of(t), of(edited), of(after)
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), alike(a, b), alike(a, c))
+    return out
+
+
+def test_fingerprints_equal_brute_force_over_many_ranges(spark, sf, monkeypatch):
+    monkeypatch.setattr(imatch, "ROWS_PER_RANGE", 7)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    got = {r["doc_id"]: tuple(r)[1:] for r in imatch.fingerprints(docs).collect()}
+    want = brute_fingerprints(rows)
+    assert len(rows) > 14 and got.keys() == want.keys()
+    for i, w in want.items():
+        assert got[i][:4] == w[:4] and got[i][4:] == pytest.approx(w[4:]), i
+
+
+def test_fingerprints_of_words_out_of_the_band(spark):
+    rows = [(i, t) for i, t in enumerate(["", " \n", "only once here", "Again again", "again AGAIN again", "x y z", "z y x", "common a", "common b", "common c"])]
+    got = {r["doc_id"]: tuple(r)[1:] for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, w in brute_fingerprints(rows).items():
+        assert got[i] == pytest.approx(w), i
+
+
 def test_fingerprints_tell_edits_from_other_texts(spark, sf):
     r = imatch.fingerprints(spark.read.parquet(f"{sf}/documents.parquet")).agg(F.avg("near_edited"), F.avg("near_next")).first()
     assert r[0] > 5 * r[1]
