@@ -17,7 +17,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 #: Bytes that a cache of a Python worker may hold.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 96 << 20
 
 
 class Cache(dict):
@@ -42,6 +42,15 @@ class Cache(dict):
         self.clear()
         self.held = 0
 
+    def keep_all(self, new: dict[str, bytes]) -> None:
+        """Many short entries at once."""
+        size = sum(map(len, new)) + sum(map(len, new.values())) + 190 * len(new)
+        if self.held + size > CACHE_BYTES:
+            self.empty()
+        if size <= CACHE_BYTES:
+            self.held += size
+            self.update(new)
+
     def keep(self, key, value):
         size = sys.getsizeof(key) + sys.getsizeof(value) + 100
         if self.held + size > CACHE_BYTES:

@@ -2,10 +2,11 @@
 
 Writing: texts are encoded with a public tokenizer, the end id is appended, the ids are
 serialized (16-bit little-endian while the vocabulary fits, else 32-bit). A dictionary is
-trained with zstandard on the serialized ids of at most ``SAMPLE_DOCS`` documents (those with
-the smallest hash of their id, a documented bound) and has at most ``DICT_BYTES``. Documents are
+trained with zstandard on the serialized ids of at most ``SAMPLE_DOCS`` documents (of those of at most
+``SAMPLE_CHARS`` characters the ones with the smallest hash of their id, a documented bound) and has at most ``DICT_BYTES``. Documents are
 compressed one by one where they are encoded, so only compressed bytes are shuffled; ranges
-of doc_id become files, each written by one task in ascending doc_id order.
+of doc_id become files, each written by one task in ascending doc_id order, frame by frame: a task
+holds the index of its file, not its frames.
 
 File: 8 bytes magic, then the frames, then the index (for each document doc_id as int64, a
 flag for a null doc_id, byte offset and number of ids as int64, all little-endian), then a
@@ -40,15 +41,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import materialise, range_bounds, range_bucket, shared_dir, table
+from .common import Cache, materialise, range_bounds, range_bucket, shared_dir, table
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, 100_000, 112_640, 3
 MAGIC = b"BLOOMTK1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<i8"), ("n", "<i8")])
 FOOTER = "<qqq32s8s"
-ROWS_PER_FILE, FILES = 20_000, 4096
-#: Entries of the cache of words, and characters of the longest word in it.
-CACHE_ENTRIES, CACHED_CHARS = 900_000, 40
+#: Documents and characters of a file, and files at most: beyond that files grow.
+ROWS_PER_FILE, CHARS_PER_FILE, FILES = 20_000, 256 << 20, 32768
+#: Characters of the longest word in the cache.
+CACHED_CHARS = 40
 #: White space, other characters, then letters and digits. A pre-token never crosses from letters or
 #: digits to something else, nor into white space (which \x1c to \x1f aren't for the tokenizer).
 CHUNKS = re.compile("[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])*[^\\W_]+|[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])+|[^\\S\x1c-\x1f]+")
@@ -81,7 +83,7 @@ class Encoder:
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character of a byte-level token is a byte
         for token, i in vocabulary.items():
             self.length[i] = len(token)
-        self.known: dict[str, bytes] = {}  # by chunk; a word of letters and digits stands for the chunk of a space and the word
+        self.known = Cache()  # by chunk; a word of letters and digits stands for the chunk of a space and the word
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,9 +106,7 @@ class Encoder:
         new = [k for k in keys if k not in found]
         plain, other = [k for k in new if k.isalnum()], [k for k in new if not k.isalnum()]
         fresh = dict(zip(plain, self._spaced(plain))) | dict(zip(other, self._ids([k.removeprefix(BARE) for k in other])))
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        self.known.update((k, v) for k, v in fresh.items() if len(k) <= CACHED_CHARS)
+        self.known.keep_all({k: v for k, v in fresh.items() if len(k) <= CACHED_CHARS})
         return found | fresh
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -147,8 +147,8 @@ def open_fs(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(url)
 
 
-def write_bytes(url: str, *parts: bytes) -> None:
-    """Under a name of its own, then renamed: a task that runs again replaces the file as a whole."""
+def write_parts(url: str, parts) -> None:
+    """Bytes as they come, under a name of its own, then renamed: a task that runs again replaces the file as a whole."""
     fs, path = open_fs(url)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}"
@@ -158,11 +158,16 @@ def write_bytes(url: str, *parts: bytes) -> None:
     fs.move(own, path)
 
 
+def write_bytes(url: str, *parts: bytes) -> None:
+    write_parts(url, parts)
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, dict_bytes: int = DICT_BYTES, sample_docs: int = SAMPLE_DOCS) -> bytes:
-    """From at most sample_docs documents, those with the least hash of their id, each up to SAMPLE_CHARS characters."""
+    """From at most sample_docs documents of up to SAMPLE_CHARS characters, those with the least hash of their id."""
     import zstandard
 
-    rows = docs.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", F.length("text")).select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("t")).limit(sample_docs)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.where(F.length(text) <= SAMPLE_CHARS).orderBy(F.xxhash64(F.col("doc_id")), "doc_id", F.length("text")).select(text.alias("t")).limit(sample_docs)
     samples = rows.mapInArrow(lambda it: _serialized(it, tokenizer), "ids binary").toArrow().column(0).to_pylist()
     try:
         return zstandard.train_dictionary(dict_bytes, samples, level=LEVEL).as_bytes() if len(samples) > 16 else b""
@@ -172,6 +177,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, dict_bytes: int = DICT_BYT
 
 def _serialized(batches, tokenizer: str):
     ids_of = encoder(tokenizer)
+    ids_of.known.use()
     for batch in batches:
         for part in slices(batch):
             yield pa.RecordBatch.from_arrays([pa.array(ids_of([t or "" for t in part.column(0).to_pylist()]), pa.binary())], names=["ids"])
@@ -187,10 +193,12 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 0, tokenizer:
     digest = hashlib.sha256(dictionary).digest()
     write_bytes(f"{folder}/dictionary", dictionary)
     shared = docs.sparkSession.sparkContext.broadcast(dictionary)
-    bounds = range_bounds(docs, "doc_id", max(1, min(FILES, docs.count() // ROWS_PER_FILE)))
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    bounds = range_bounds(docs, "doc_id", max(1, min(FILES, max(size.rows // ROWS_PER_FILE, size.chars // CHARS_PER_FILE))))
 
     def compress(batches):
         ids_of = encoder(tokenizer)
+        ids_of.known.use()
         end = np.array([end_id], f"<u{ids_of.width}").tobytes()
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None, write_content_size=True)
         for batch in batches:
@@ -203,13 +211,19 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 0, tokenizer:
 
     def write(batches):
         for file, parts in _by_file(batches):
-            body, entries, at, width = [MAGIC], [], len(MAGIC), 2
-            for doc_id, n, frame, width in parts:
-                entries.append((doc_id or 0, doc_id is None, at, n))
-                body.append(frame)
-                at += len(frame)
-            url = f"{folder}/{file:05d}.tok"
-            write_bytes(url, *body, np.array(entries, ENTRY).tobytes(), struct.pack(FOOTER, at, len(entries), width, digest, MAGIC))
+            entries, url = [], f"{folder}/{file:05d}.tok"
+
+            def body():
+                at, width = len(MAGIC), 2
+                yield MAGIC
+                for doc_id, n, frame, width in parts:
+                    entries.append((doc_id or 0, doc_id is None, at, n))
+                    at += len(frame)
+                    yield frame
+                yield np.array(entries, ENTRY).tobytes()
+                yield struct.pack(FOOTER, at, len(entries), width, digest, MAGIC)
+
+            write_parts(url, body())
             yield pa.RecordBatch.from_pylist([{"file": file, "url": url, "n_docs": len(entries), "n_ids": sum(e[3] for e in entries), "dictionary": f"{folder}/dictionary"}])
 
     n_files = len(bounds) + 1

@@ -137,6 +137,24 @@ def test_token_files(spark, odd, none):
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(none, common.shared_dir(spark))).count() == 0
 
 
+def test_registered_token_files_of_many_files(spark, sf, monkeypatch):
+    """Rows of the query, with starts over several files, against the library."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfiles, "ROWS_PER_FILE", 9)
+    t = Tokenizer.from_file(tokenfiles.default_tokenizer())
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    rows = {r["doc_id"]: r for r in tokenfiles.op8_tokenfiles(spark, sf).collect()}
+    assert len(docs) == len(rows) >= 27
+    at = 0
+    for i, text in docs:
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    manifest = tokenfiles.write_token_files(spark.read.parquet(f"{sf}/documents.parquet"), common.shared_dir(spark))
+    assert manifest.count() >= 3
+
+
 def test_edited_counts_equal_whole_counts(monkeypatch):
     monkeypatch.setattr(tokencounts, "LEAF", 4)
     m, r = bpe.merger(bpe.default_ranks()), random.Random(3)
