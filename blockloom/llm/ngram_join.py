@@ -20,10 +20,9 @@ verified once.
 classes and the number of links of each document; op1 takes its rows from it. The links of
 near copies of one text, all different, are as many as the square of their number: so is that result.
 ``jaccard_components`` is for callers that want components only (the pipeline) and doesn't grow
-so: pairs inside a component that is already known are skipped. In each of ``ROUNDS`` rounds a document meets a few neighbours in the lists of
-its prefix n-grams (first by size, then in random orders), of other components only, and is
-verified against the one that it shares most n-grams with; the components are merged. What
-is left then, all candidates between different components, is verified whole. Near copies of
+so: pairs inside a component that is already known are skipped. In each of ``ROUNDS`` rounds a document meets its neighbour in the list of
+each of its prefix n-grams (first by size, then in random orders), of other components only;
+the components of verified pairs are merged. What is left then, all candidates between different components, is verified whole. Near copies of
 one text thus cost a few verifications each, not one a pair. In that last step the largest
 component of an n-gram is not joined with itself.
 
@@ -51,7 +50,7 @@ WORDS, PERCENT = 5, 80
 SKETCH_ROWS, SKETCH_COLUMNS, SKETCH_BLOCK, SKETCH_SLOTS = 2, 1 << 17, 1 << 12, 8
 ROUNDS = 2
 #: Parts of the hash space with a parity in each row of the join, four 64-bit numbers; shared n-grams that a row carries.
-DIGEST, BEFORE = 256, 32
+DIGEST, BEFORE = 256, 4
 #: Documents of a block of verification; bytes that are hashed at once; bytes of a word beyond which xxhash hashes it.
 BLOCK, PIECE, LONG_WORD = 64, 1 << 17, 64
 SHORT = ["d0", "d1", "d2", "d3"]
@@ -276,29 +275,29 @@ def ordered(x: str, y: str) -> list[Column]:
 PAIR = ["a", "b", "ca", "cb"]
 
 
-def passing(pairs: DataFrame, facts: DataFrame, test) -> DataFrame:
-    """Pairs of which two facts (id, fact binary) pass test(x, y).
+def in_blocks(pairs: DataFrame) -> DataFrame:
+    """Pairs with a block, in which pairs of few documents meet: documents of one least neighbour, dealt by hash."""
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    keys = ends.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("key"))
+    dealt = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    block = F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    blocks = materialise(keys.join(dealt, "key").select("id", block.alias("block")))
+    side = lambda k: blocks.select(F.col("id").alias(k), F.col("block").alias(f"b{k}"))
+    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").select(*PAIR, F.xxhash64("ba", "bb").alias("block")))
 
-    Pairs meet in blocks of documents, so that a fact travels once a block and not once a pair:
-    documents of one least neighbour, dealt by hash.
-    """
+
+def passing(placed: DataFrame, facts: DataFrame, test) -> DataFrame:
+    """Pairs in blocks of which two facts (id, fact binary) pass test(x, y). A fact travels once a block and not once a pair."""
 
     def run(pairs: pa.Table, facts: pa.Table) -> pa.Table:
         of = {}
         for i, x in zip(facts.column("id").to_pylist(), facts.column("fact")):
             of.setdefault(i, []).append(x.as_buffer())
         keep = [any(test(x, y) for x in of[a] for y in of[b]) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())]
-        return pairs.select(PAIR).filter(pa.array(keep, pa.bool_()))
+        return pairs.select([*PAIR, "block"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    keys = ends.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("key"))
-    dealt = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    block = F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    blocks = materialise(keys.join(dealt, "key").select("id", block.alias("block")))
-    side = lambda k: blocks.select(F.col("id").alias(k), F.col("block").alias(f"b{k}"))
-    placed = materialise(pairs.join(side("a"), "a").join(side("b"), "b").select(*PAIR, F.xxhash64("ba", "bb").alias("block")))
     needed = placed.select(F.col("block").alias("home"), F.explode(F.array("a", "b")).alias("id")).distinct().join(facts.select("id", "fact"), "id")
-    return materialise(placed.groupBy("block").cogroup(needed.groupBy("home")).applyInArrow(run, "a long, b long, ca long, cb long"))
+    return materialise(placed.groupBy("block").cogroup(needed.groupBy("home")).applyInArrow(run, "a long, b long, ca long, cb long, block long"))
 
 
 def verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -319,7 +318,7 @@ def verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, n: int, percent
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), n)], pa.binary())], names=["id", "fact"])
 
     size = F.unhex(F.lpad(F.hex("n"), 16, "0"))
-    pairs = passing(pairs, facts.select("id", F.concat(size, F.col("parity")).alias("fact")), near)
+    pairs = passing(in_blocks(pairs), facts.select("id", F.concat(size, F.col("parity")).alias("fact")), near)
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = materialise(texts.join(bounded(ids), "id", "left_semi").mapInArrow(grams, "id long, fact binary"))
     return passing(pairs, sets, similar).select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()
@@ -413,12 +412,8 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     for turn in range(ROUNDS):
         order = lists.orderBy("n", "id") if turn == 0 else lists.orderBy(F.xxhash64("gram", "id", F.lit(turn)), "id")
         near = posted.join(labels, "id").select(mine, F.lag(mine).over(order).alias("x"))
-        near = near.where((F.col("x.component") != F.col("y.component")) & possible("x", "y", percent)).select(*ordered("x", "y"))
-        near = near.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("shared"))
-        if tried is not None:
-            near = near.join(tried, ["a", "b"], "left_anti")
-        best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-        new = step(near.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(*PAIR))
+        near = near.where((F.col("x.component") != F.col("y.component")) & possible("x", "y", percent)).select(*ordered("x", "y")).dropDuplicates(["a", "b"])
+        new = step(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
         tried = new if tried is None else tried.unionByName(new)
 
     placed = materialise(posted.join(labels, "id"))
