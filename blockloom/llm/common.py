@@ -17,7 +17,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 #: Bytes that a cache of a Python worker may hold.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 32 << 20
 
 
 class Cache(dict):
@@ -61,7 +61,19 @@ class Cache(dict):
         return value
 
 
+#: Rows and bytes of the Arrow batches that Python workers get: fixed values of Spark's defaults, and what replaces them.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets smaller Arrow batches for the session, where it has Spark's defaults: long texts would take several times 64 MB in each task, in the JVM and in Python."""
+    for name, default, value in BATCHES:
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
