@@ -26,7 +26,7 @@ GUESSES = ((10, 9), (40, 8), (100, 7), (200, 6), (400, 5))
 
 
 class CodecError(ValueError):
-    """A value that the format cannot hold, or bytes that it cannot be read from."""
+    """A value that the format cannot hold."""
 
 
 class InvalidWidth(CodecError):
@@ -37,24 +37,18 @@ class InvalidParameter(CodecError):
     pass
 
 
-class InvalidInput(CodecError):
-    pass
-
-
 @dataclass(frozen=True)
 class CodecConfig:
-    """Settings of an encoding; with_() gives changed copies, nothing is shared or freed."""
+    """Settings of a superblock plan; with_() gives changed copies."""
 
     level: int = 1
-    threads: int = 1
-    max_ns: int = 0
     shift: int | None = None
 
     def with_(self, **changes) -> "CodecConfig":
         new = replace(self, **changes)
         if new.shift is not None and not 0 <= new.shift < 16:
             raise InvalidParameter(f"a block shift of {new.shift}")
-        return replace(new, level=min(9, max(0, new.level)), threads=max(1, new.threads), max_ns=max(0, new.max_ns))
+        return replace(new, level=min(9, max(0, new.level)))
 
     def superblock_bytes(self, width: int, total: int | None = None) -> int:
         if not 1 <= width < MAX_SUPERBLOCK_BYTES // BLOCK_ELEMENTS:

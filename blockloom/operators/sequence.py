@@ -16,11 +16,12 @@ from ..functions.levels import BLOCK_ELEMENTS, ROW_BYTES
 from ..sources.shared import settle
 
 
-def index(df: DataFrame, order: list[str], value: Column, partitions: int | None = None) -> DataFrame:
-    """(idx, v) from 0 in the given order; rows that tie are in no particular order."""
+def index(df: DataFrame, order: list[str], value: Column, partitions: int | None = None, descending: tuple[str, ...] = ()) -> DataFrame:
+    """(idx, v) from 0 in the given order, of which some columns may descend; rows that tie are in no particular order."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [f"order_{i}" for i in range(len(order))]
-    dealt = df.select(*[F.col(o).alias(k) for o, k in zip(order, keys)], value.alias("v"))
+    names = [f"order_{i}" for i in range(len(order))]
+    dealt = df.select(*[F.col(o).alias(k) for o, k in zip(order, names)], value.alias("v"))
+    keys = [F.col(k).desc() if o in descending else F.col(k).asc() for o, k in zip(order, names)]
     dealt = dealt.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("v", F.monotonically_increasing_id().alias("at"))
     dealt = settle(dealt)
     dealt = dealt.select("v", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("inside"))
@@ -61,25 +62,27 @@ def merge(planes_: DataFrame, width: int = 8) -> DataFrame:
     return planes_.groupBy("idx").agg(F.sum(part).alias("v"))
 
 
-#: Streams of more bytes than this are differenced in independent lanes.
-LANE_BYTES, LANES = 2048, 4
+#: Elements of a superblock; superblocks of more bytes than LANE_BYTES are differenced in independent lanes.
+ELEMENTS, LANE_BYTES, LANES = 16_384, 2048, 4
 
 
-def _lanes(stream: DataFrame, total: int) -> Column:
-    if total <= LANE_BYTES:
-        return F.lit(0)
-    size = total // LANES
-    return F.least(F.floor(F.col("pos") / size), F.lit(LANES - 1))
+def streams(seq: DataFrame, width: int = 8, elements: int = ELEMENTS) -> DataFrame:
+    """(sb, pos, lane, b): of each superblock its planes one after another, cut into lanes; what is left over joins the last one."""
+    total = seq.count()
+    i, sb = F.col("idx"), F.floor(F.col("idx") / elements)
+    n = F.least(F.lit(elements).cast("bigint"), F.lit(total) - sb * elements)
+    pos = i % elements + F.col("plane") * n
+    lane = F.when(n * width <= LANE_BYTES, 0).otherwise(F.least(F.floor(pos / F.floor(n * width / LANES)), F.lit(LANES - 1)))
+    return planes(seq, width).select(sb.alias("sb"), pos.alias("pos"), lane.alias("lane"), "b")
 
 
-def delta(stream: DataFrame, total: int) -> DataFrame:
-    """(pos, d) of a byte stream (pos, b): differences modulo 256 in up to 4 lanes; what is left over joins the last one."""
-    w = Window.partitionBy("lane").orderBy("pos")
-    lanes = stream.withColumn("lane", _lanes(stream, total))
-    return lanes.select("pos", (F.col("b") - F.coalesce(F.lag("b").over(w), F.lit(0))).bitwiseAND(255).alias("d"))
+def delta(streams_: DataFrame) -> DataFrame:
+    """(sb, pos, lane, d): differences modulo 256 within each lane of each superblock."""
+    w = Window.partitionBy("sb", "lane").orderBy("pos")
+    return streams_.select("sb", "pos", "lane", (F.col("b") - F.coalesce(F.lag("b").over(w), F.lit(0))).bitwiseAND(255).alias("d"))
 
 
-def undo_delta(deltas: DataFrame, total: int) -> DataFrame:
-    """(pos, b): running sums modulo 256 in the same lanes."""
-    w = Window.partitionBy("lane").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.withColumn("lane", _lanes(deltas, total)).select("pos", F.sum("d").over(w).bitwiseAND(255).cast("int").alias("b"))
+def undo_delta(deltas: DataFrame) -> DataFrame:
+    """(sb, pos, lane, b): running sums modulo 256 in the same lanes."""
+    w = Window.partitionBy("sb", "lane").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return deltas.select("sb", "pos", "lane", F.sum("d").over(w).bitwiseAND(255).cast("int").alias("b"))

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.levels import BLOCK_ELEMENTS
+from ..functions.levels import BLOCK_ELEMENTS, ROW_BYTES
 from .sequence import bytes_array, placed
 
-SAME, RAW, NORMAL, NORMAL_RLE = 0, 1, 2, 3
+SAME, RAW, NORMAL, NORMAL_RLE, PARTIAL = 0, 1, 2, 3, 4
 
 
 def signed(b: Column) -> Column:
@@ -79,28 +79,39 @@ def row_choices(rows: DataFrame) -> DataFrame:
     return r.select("*", F.coalesce(runs, packed).cast("bigint").alias("header"), F.least(best, drle).cast("bigint").alias("size"))
 
 
-def plane_sizes(rows: DataFrame) -> DataFrame:
-    """(blk, plane, kind, size, bases_rle, others) of full blocks, from row statistics."""
+def plane_sizes(rows: DataFrame, width: int = 8) -> DataFrame:
+    """(blk, plane, kind, size, bases_rle, others, changes, n) of all blocks, from row statistics.
+
+    The last block may be partial: its whole rows are packed without runs, the bytes after them are kept as they are.
+    """
     chosen = row_choices(rows)
     w = Window.partitionBy("blk", "plane").orderBy("row")
     chosen = chosen.withColumn("changed", (F.col("base") != F.coalesce(F.lag("base").over(w), F.lit(0))).cast("bigint"))
+    whole = F.col("n") == ROW_BYTES
     sums = chosen.groupBy("blk", "plane").agg(
         F.sum("n").alias("n"),
         F.sum("size").alias("rows_size"),
         F.sum(((F.col("header") == 6) | (F.col("header") == 7) | (F.col("bits") == 8)).cast("bigint")).alias("others"),
         F.sum("changed").alias("changes"),
         (F.min("mn") == F.max("mx")).alias("same"),
-    ).where(F.col("n") == BLOCK_ELEMENTS)
+        F.sum(F.when(whole, F.col("plain")).otherwise(0)).alias("plain_size"),
+        F.count_if(whole).alias("whole_rows"),
+        F.coalesce(F.min(F.when(whole, F.col("mn"))) == F.max(F.when(whole, F.col("mx"))), F.lit(False)).alias("whole_same"),
+    )
     saved = (16 - F.col("others")) - (F.col("changes") + 2)
     total = 8 + F.col("rows_size") - F.greatest(saved, F.lit(0))
-    kind = F.when(F.col("same"), SAME).when(total > 256, RAW).when(saved > 0, NORMAL_RLE).otherwise(NORMAL)
-    size = F.when(F.col("same"), 1).otherwise(F.least(total, F.lit(256)))
-    return sums.select("blk", "plane", kind.cast("bigint").alias("kind"), size.cast("bigint").alias("size"), F.col("changes"), "others", (saved > 0).alias("bases_rle"))
+    full = F.col("n") == BLOCK_ELEMENTS
+    packed = F.when(F.col("whole_rows") == 0, 0).when(F.col("whole_same"), 1).otherwise(8 + F.col("plain_size"))
+    kind = F.when(~full, PARTIAL).when(F.col("same"), SAME).when(total > 256, RAW).when(saved > 0, NORMAL_RLE).otherwise(NORMAL)
+    size = F.when(~full, packed + F.col("n") - F.col("whole_rows") * ROW_BYTES).when(F.col("same"), 1).otherwise(F.least(total, F.lit(256)))
+    return sums.select("blk", "plane", kind.cast("bigint").alias("kind"), size.cast("bigint").alias("size"), F.col("changes"), "others", (full & (saved > 0)).alias("bases_rle"), "n")
 
 
 def block_sizes(planes: DataFrame, width: int = 8) -> DataFrame:
-    """(blk, size, raw_bytes) of full blocks."""
-    return planes.groupBy("blk").agg((F.sum("size") + (width + 1) // 2).alias("size")).withColumn("raw_bytes", F.lit(width * BLOCK_ELEMENTS).cast("bigint"))
+    """(blk, size, raw_bytes): the kinds of planes, a mark for a partial block, and the planes."""
+    n = F.max("n")
+    head = F.when(n >= ROW_BYTES, (width + 1) // 2).otherwise(0) + F.when(n < BLOCK_ELEMENTS, 1).otherwise(0)
+    return planes.groupBy("blk").agg((F.sum("size") + head).cast("bigint").alias("size"), F.sum("n").cast("bigint").alias("raw_bytes"))
 
 
 def early_abort(blocks: DataFrame, blocks_a_superblock: int, target: float, width: int = 8) -> DataFrame:

@@ -56,12 +56,10 @@ def previous(seq: DataFrame, name: str = "before") -> DataFrame:
     return met.select("idx", "v", F.when(F.col("first"), F.col("last")).otherwise(F.col("near")).alias(name))
 
 
-def sort(seq: DataFrame, descending: bool = False) -> DataFrame:
-    """Stable only in the sense that equal values are equal; nulls come first (last if descending)."""
-    if not descending:
-        return index(seq, ["v"], F.col("v"))
-    n = size(seq)
-    return sort(seq).select((F.lit(n - 1) - F.col("idx")).alias("idx"), "v")
+def sort(seq: DataFrame, descending: bool = False, key: Column | None = None) -> DataFrame:
+    """By value, or by a key (a struct to compare by several); stable: equal ones keep their order, also over many partitions. Nulls come first (last if descending)."""
+    keyed = seq.select((F.col("v") if key is None else key).alias("k"), "idx", "v")
+    return index(keyed, ["k", "idx"], F.col("v"), descending=("k",) if descending else ())
 
 
 def unique(seq: DataFrame) -> DataFrame:
@@ -87,9 +85,30 @@ def smallest(seq: DataFrame, k: int) -> DataFrame:
     return least.select((F.row_number().over(Window.orderBy("v")) - 1).cast("bigint").alias("idx"), "v")
 
 
-def nth(seq: DataFrame, k: int) -> DataFrame:
-    """The value that a sort would put at k."""
-    return sort(seq).where(F.col("idx") == k)
+def nth(seq: DataFrame, k: int, slack: float = 0.005) -> DataFrame:
+    """(idx, v): the value that a sort would put at k, of a sequence of numbers without nulls.
+
+    Approximate quantiles bound it, the values below are counted, and only those between are sorted.
+    """
+    n = size(seq)
+    if not 0 <= k < n:
+        return seq.limit(0)
+    at = [max(0.0, k / n - slack), min(1.0, (k + 1) / n + slack)]
+    low, high = seq.agg(F.percentile_approx("v", at, round(4 / slack)).alias("q")).first().q
+    low = None if at[0] == 0 else low
+    high = None if at[1] == 1 else high
+    least = F.lit(True) if low is None else F.col("v") >= low
+    most = F.lit(True) if high is None else F.col("v") <= high
+    below, inside = seq.agg(F.count_if(~least), F.count_if(least & most)).first()
+    if not below <= k < below + inside:  # the quantiles were too far off
+        return sort(seq).where(F.col("idx") == k)
+    counts = seq.where(least & most).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("v")) + below  # different values of about 2 * slack of all
+    return counts.select("v", "n", upto.alias("upto")).where((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)).select(F.lit(k).cast("bigint").alias("idx"), "v")
+
+
+def clear(seq: DataFrame) -> DataFrame:
+    return seq.limit(0)
 
 
 def insert(seq: DataFrame, position: int, other: DataFrame) -> DataFrame:
@@ -154,12 +173,11 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def shuffle(seq: DataFrame, seed: int) -> DataFrame:
-    """The same permutation for the same seed and size."""
-    keyed = seq.select(F.xxhash64("idx", F.lit(seed)).alias("k"), "idx", "v")
+    """The same permutation for the same seed and size: by the MD5 of seed and position."""
+    keyed = seq.select(F.md5(F.concat_ws(":", F.lit(seed), F.col("idx")).cast("binary")).alias("k"), "idx", "v")
     return index(keyed, ["k", "idx"], F.col("v"))
 
 
-def byte_footprint(planes: DataFrame, width: int, n: int) -> DataFrame:
-    """(raw_bytes, model_bytes) of the full blocks, from plane sizes."""
-    blocks = planes.select("blk").distinct().count()
-    return planes.agg((F.sum("size") + blocks * ((width + 1) // 2)).alias("model_bytes")).select(F.lit(blocks * 256 * width).cast("bigint").alias("raw_bytes"), "model_bytes")
+def byte_footprint(blocks: DataFrame) -> DataFrame:
+    """(raw_bytes, model_bytes) of a sequence, from block sizes."""
+    return blocks.agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("size").alias("model_bytes"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import levels
-from ..operators import sequence, stats, vector
+from ..operators import sequence, stats, strategy, vector
 from ..sources import blocktable
 
 LEVELS = list(range(10))
@@ -60,17 +60,19 @@ def _width_sql(spread: str, six: int) -> str:
 CHOICES = f"""
 w AS (SELECT *, {_width_sql('(mx - mn)', 8)} AS b0, {_width_sql('(dmx - dmn)', 6)} AS b1 FROM rs),
 p0 AS (SELECT *, least(b0, b1) AS bits, CASE WHEN b0 <= b1 THEN mn ELSE dmn END AS base FROM w),
-p1 AS (SELECT *, 2 * bits + CASE WHEN bits = 8 THEN 0 ELSE 1 END AS plain FROM p0),
+p1 AS (SELECT *, 2 * bits + CASE WHEN bits = 8 THEN 0 ELSE 1 END AS plain, n = 16 AS whole FROM p0),
 ch AS (SELECT *, CASE WHEN drle + 2 < least(plain, rle + 2) THEN 6 WHEN rle + 2 < plain THEN 7 WHEN bits = 8 THEN 15 WHEN b1 < b0 THEN bits + 8 ELSE bits END AS header,
        least(plain, rle + 2, drle + 2) AS size FROM p1)"""
 PLANES = """
 c0 AS (SELECT *, CASE WHEN base <> coalesce(lag(base) OVER (PARTITION BY blk, plane ORDER BY "row"), 0) THEN 1 ELSE 0 END AS changed FROM ch),
-c1 AS (SELECT blk, plane, sum(n) AS n, sum(size) AS rows_size, sum(CASE WHEN header IN (6, 7) OR bits = 8 THEN 1 ELSE 0 END) AS others, sum(changed) AS changes, min(mn) = max(mx) AS same
-       FROM c0 GROUP BY blk, plane HAVING sum(n) = 256),
-c2 AS (SELECT *, (16 - others) - (changes + 2) AS saved, 8 + rows_size - greatest((16 - others) - (changes + 2), 0) AS total FROM c1),
-pl AS (SELECT blk, plane, CAST(CASE WHEN same THEN 0 WHEN total > 256 THEN 1 WHEN saved > 0 THEN 3 ELSE 2 END AS BIGINT) AS kind,
-       CAST(CASE WHEN same THEN 1 ELSE least(total, 256) END AS BIGINT) AS size, CAST(changes AS BIGINT) AS changes, CAST(others AS BIGINT) AS others, saved > 0 AS bases_rle FROM c2)"""
-BLOCKS = "bl AS (SELECT blk, CAST(sum(size) + 4 AS BIGINT) AS size, CAST(2048 AS BIGINT) AS raw_bytes FROM pl GROUP BY blk)"
+c1 AS (SELECT blk, plane, sum(n) AS n, sum(size) AS rows_size, sum(CASE WHEN header IN (6, 7) OR bits = 8 THEN 1 ELSE 0 END) AS others, sum(changed) AS changes, min(mn) = max(mx) AS same,
+       coalesce(sum(plain) FILTER (whole), 0) AS plain_size, count(*) FILTER (whole) AS whole_rows, coalesce(min(mn) FILTER (whole) = max(mx) FILTER (whole), false) AS whole_same
+       FROM c0 GROUP BY blk, plane),
+c2 AS (SELECT *, (16 - others) - (changes + 2) AS saved, 8 + rows_size - greatest((16 - others) - (changes + 2), 0) AS total, n = 256 AS filled,
+       CASE WHEN whole_rows = 0 THEN 0 WHEN whole_same THEN 1 ELSE 8 + plain_size END + n - 16 * whole_rows AS partial FROM c1),
+pl AS (SELECT blk, plane, CAST(CASE WHEN NOT filled THEN 4 WHEN same THEN 0 WHEN total > 256 THEN 1 WHEN saved > 0 THEN 3 ELSE 2 END AS BIGINT) AS kind,
+       CAST(CASE WHEN NOT filled THEN partial WHEN same THEN 1 ELSE least(total, 256) END AS BIGINT) AS size, CAST(changes AS BIGINT) AS changes, CAST(others AS BIGINT) AS others, filled AND saved > 0 AS bases_rle, n FROM c2)"""
+BLOCKS = """bl AS (SELECT blk, CAST(sum(size) + CASE WHEN max(n) >= 16 THEN 4 ELSE 0 END + CASE WHEN max(n) < 256 THEN 1 ELSE 0 END AS BIGINT) AS size, CAST(sum(n) AS BIGINT) AS raw_bytes FROM pl GROUP BY blk)"""
 
 
 def sql(*parts: str, then: str) -> str:
@@ -106,25 +108,19 @@ def q03(spark, sf):
     return sequence.merge(sequence.planes(users(spark, sf)))
 
 
-_STREAM = "st AS (SELECT idx + plane * (SELECT count(*) FROM seq) AS pos, b FROM planes)"
-_LANE = "least(pos // ((SELECT count(*) FROM st) // 4), 3)"
+_COUNT = "least(16384, (SELECT count(*) FROM seq) - 16384 * (idx // 16384))"
+_STREAM = f"st AS (SELECT idx // 16384 AS sb, idx % 16384 + plane * {_COUNT} AS pos, 8 * {_COUNT} AS n, b FROM planes)"
+_LANE = "CASE WHEN n <= 2048 THEN 0 ELSE least(pos // (n // 4), 3) END"
 
 
-def _stream(spark, sf):
-    seq = micros(spark, sf)
-    n = seq.count()
-    return sequence.planes(seq).select((F.col("idx") + F.col("plane") * n).alias("pos"), "b"), 8 * n
-
-
-@query("q04_byte_delta", sql(TS, BYTES, _STREAM, then=f"SELECT pos, (b - coalesce(lag(b) OVER (PARTITION BY {_LANE} ORDER BY pos), 0)) & 255 AS d FROM st"))
+@query("q04_byte_delta", sql(TS, BYTES, _STREAM, then=f"SELECT sb, pos, CAST({_LANE} AS BIGINT) AS lane, (b - coalesce(lag(b) OVER (PARTITION BY sb, {_LANE} ORDER BY pos), 0)) & 255 AS d FROM st"))
 def q04(spark, sf):
-    return big(sequence.delta(*_stream(spark, sf)))
+    return big(sequence.delta(sequence.streams(micros(spark, sf))))
 
 
-@query("q05_delta_inverse", sql(TS, BYTES, _STREAM, then="SELECT pos, b FROM st"))
+@query("q05_delta_inverse", sql(TS, BYTES, _STREAM, then=f"SELECT sb, pos, CAST({_LANE} AS BIGINT) AS lane, b FROM st"))
 def q05(spark, sf):
-    stream, n = _stream(spark, sf)
-    return big(sequence.undo_delta(sequence.delta(stream, n), n))
+    return big(sequence.undo_delta(sequence.delta(sequence.streams(micros(spark, sf)))))
 
 
 @query("q06_row_min_max", sql(TS, BYTES, ROWS, then='SELECT blk, plane, "row", n, mn, mx FROM rs'))
@@ -239,10 +235,36 @@ def q21(spark, sf):
     return g.select("width", "level", "setting", levels.zstd_level(F.col("setting")).alias("zstd"))
 
 
-@query("q22_best_strategy")
+def _coded(name: str, by: str, value: str) -> str:
+    return f"""{name} AS (SELECT sb, CAST(ceil(round(sum(c * (log2(n) - log2(c))) / 8, 6)) + count(*) AS BIGINT) AS {name}, CAST(sum(c) AS BIGINT) AS raw_bytes
+FROM (SELECT sb, count(*) AS c, CAST(sum(count(*)) OVER (PARTITION BY {by}) AS DOUBLE) AS n FROM by_ GROUP BY {by}, {value}) GROUP BY sb)"""
+
+
+_BEST = [
+    "by_ AS (SELECT idx // {per} AS sb, plane, b, (b - coalesce(lag(b) OVER (PARTITION BY idx // {per}, plane ORDER BY idx), 0)) & 255 AS d FROM planes)",
+    _coded("entropy", "sb", "b"), _coded("pl_", "sb, plane", "b"), _coded("dl", "sb, plane", "d"), "bs AS (SELECT blk // {blocks} AS sb, sum(size) AS block FROM bl GROUP BY ALL)",
+    "sz AS (SELECT sb, entropy.raw_bytes, block, entropy, pl_ AS planes, dl AS planes_delta, CAST(least(entropy.raw_bytes, block, entropy, pl_, dl) AS BIGINT) AS csize FROM entropy JOIN bs USING (sb) JOIN pl_ USING (sb) JOIN dl USING (sb))",
+    "best AS (SELECT sb, CASE csize WHEN raw_bytes THEN 'copy' WHEN block THEN 'block' WHEN entropy THEN 'entropy' WHEN planes THEN 'planes' ELSE 'planes_delta' END AS strategy, raw_bytes, csize FROM sz)",
+]
+
+
+def _best(per: int) -> list[str]:
+    return [x.replace("{per}", str(per)).replace("{blocks}", str(per // 256)) for x in _BEST]
+
+
+@query("q22_best_strategy", sql(USER, BYTES, ROWS, CHOICES, PLANES, BLOCKS, *_best(16_384), then="SELECT sb, strategy, raw_bytes, csize FROM best"))
 def q22(spark, sf):
-    """The smallest of the six strategies of each superblock, by real sizes."""
-    return blocktable.strategies(users(spark, sf), width=8, level=4)
+    """The smallest of the modelled strategies of each superblock."""
+    return strategy.best(strategy.sizes(users(spark, sf)))
+
+
+_HEAD = "seq AS (SELECT (idx // 16384) * 1024 + idx % 16384 AS idx, v FROM whole WHERE idx % 16384 < 1024)"
+
+
+@query("q47_sampled_strategy", sql(TS.replace("seq AS", "whole AS"), _HEAD, BYTES, ROWS, CHOICES, PLANES, BLOCKS, *_best(1024), then="SELECT sb, strategy FROM best"))
+def q47(spark, sf):
+    """The strategy that the first sixteenth of each superblock speaks for."""
+    return strategy.sampled(micros(spark, sf))
 
 
 @query("q23_rate_level", """
@@ -250,7 +272,7 @@ WITH r(level, rate) AS (VALUES (9,1),(8,5),(7,7),(6,9),(5,20),(4,40),(3,60),(2,2
 o AS (SELECT o_orderkey, o_orderkey % 500 AS wanted FROM orders)
 SELECT o.o_orderkey, o.wanted, CAST(CASE WHEN o.wanted > 450 THEN 0 ELSE coalesce((SELECT max(r.level) FROM r WHERE r.rate >= o.wanted), 1) END AS BIGINT) AS level FROM o""")
 def q23(spark, sf):
-    """As-of lookup of the first rate not below the wanted one; beyond 1.5 times the last rate a copy (0)."""
+    """The level of the first rate not below the wanted one; beyond 1.5 times the last rate a copy (0)."""
     wanted = F.col("o_orderkey") % 500
     found = F.coalesce(*[F.when(wanted <= rate, level) for level, rate in levels.RATES], F.lit(levels.RATES[-1][0]))
     level = F.when(wanted > 1.5 * levels.RATES[-1][1], 0).otherwise(found)
@@ -357,8 +379,71 @@ def q41(spark, sf):
 
 @query("q42_codec_round_trip", sql(TS, then="SELECT idx, v FROM seq"))
 def q42(spark, sf):
-    """Encoded to a block table and decoded from it."""
-    return blocktable.round_trip(micros(spark, sf), width=8, level=3)
+    """Written as a block table, read and decoded."""
+    return blocktable.round_trip(micros(spark, sf))
+
+
+def _round_trip(name: str, table: str, order: list[str], value: str, in_sql: str, elements: int = blocktable.ELEMENTS) -> None:
+    """Registers the round trip of a column of another type, nulls included."""
+
+    @query(name, f"SELECT row_number() OVER (ORDER BY {', '.join(order)}) - 1 AS idx, {in_sql} AS v FROM {table}")
+    def run(spark, sf):
+        return blocktable.round_trip(sequence.index(_table(spark, sf, table), order, F.expr(value)), elements)
+
+
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+_round_trip("q48_round_trip_double", "lineitem", _LINE, "l_extendedprice", "l_extendedprice")
+_round_trip("q49_round_trip_timestamp", "events", ["event_id"], "ts", "ts")
+_round_trip("q50_round_trip_text", "documents", ["doc_id"], "text", "text", blocktable.FEW)
+_round_trip("q51_round_trip_nulls", "orders", ["o_orderkey"], "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END")
+_round_trip("q52_round_trip_small_int", "lineitem", _LINE, "CAST(l_linenumber AS TINYINT)", "CAST(l_linenumber AS TINYINT)")
+
+
+@query("q53_round_trip_records", f"SELECT row_number() OVER (ORDER BY {', '.join(_LINE)}) - 1 AS idx, l_quantity AS a, l_linenumber AS b, l_returnflag AS c FROM lineitem")
+def q53(spark, sf):
+    """Records of several fields."""
+    record = F.struct(F.col("l_quantity").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_returnflag").alias("c"))
+    return blocktable.round_trip(sequence.index(_table(spark, sf, "lineitem"), _LINE, record)).select("idx", "v.a", "v.b", "v.c")
+
+
+@query("q54_round_trip_floats", "SELECT row_number() OVER (ORDER BY vec_id, place) - 1 AS idx, v FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS place, unnest(embedding) AS v FROM embeddings)")
+def q54(spark, sf):
+    """All components of all vectors as one sequence of floats."""
+    each = _table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "v"))
+    return blocktable.round_trip(sequence.index(each, ["vec_id", "at"], F.col("v")))
+
+
+_BLOCKTABLE = """
+g AS (SELECT idx // 16384 AS sb_idx, min(idx) AS first_idx, count(*) AS n, min(v) AS v_min, max(v) AS v_max, arg_min(v, idx) AS a, arg_max(v, idx) AS z FROM seq GROUP BY ALL),
+l AS (SELECT *, CAST(trunc(CAST(z - a AS DOUBLE) / greatest(n - 1, 1)) AS BIGINT) AS step FROM g),
+o AS (SELECT l.sb_idx, max(s.v - l.a - (s.idx - l.first_idx) * l.step) - min(s.v - l.a - (s.idx - l.first_idx) * l.step) AS spread FROM l JOIN seq s ON s.idx // 16384 = l.sb_idx GROUP BY ALL),
+w AS (SELECT l.*, CASE WHEN v_max = v_min THEN 0 ELSE length(ltrim(bin(v_max - v_min), '0')) END AS bb, CASE WHEN spread = 0 THEN 0 ELSE length(ltrim(bin(spread), '0')) END AS bl FROM l JOIN o USING (sb_idx))"""
+
+
+@query("q55_block_table", sql(CUST, _BLOCKTABLE, then="SELECT sb_idx, first_idx, n AS n_elems, CASE WHEN least(bb, bl) >= 64 THEN 'copy' WHEN bb <= bl THEN 'base' ELSE 'line' END AS strategy, CAST(least(64, bb, bl) AS BIGINT) AS bits, v_min, v_max FROM w"))
+def q55(spark, sf):
+    """How each superblock of a column is kept."""
+    return blocktable.encode(customers(spark, sf)).select("sb_idx", "first_idx", "n_elems", "strategy", "bits", "v_min", "v_max")
+
+
+@query("q56_header_status", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 1) THEN 'short' WHEN o_orderkey % 7 = 2 THEN 'shift' WHEN o_orderkey % 7 = 3 THEN 'short' ELSE 'ok' END AS status FROM orders""")
+def q56(spark, sf):
+    """What reading a header says of whole, cut and wrong ones."""
+    k = F.col("o_orderkey") % 7
+    built = blocktable.header(F.when(k == 2, 9).when(k.isin(3, 4), 255).otherwise(k % 5), F.col("o_custkey") * 8, F.lit(4096))
+    cut = F.when(k == 0, F.lit(b"")).when(k == 1, F.substring(built, 1, 7)).when(k == 3, F.substring(built, 1, 11)).otherwise(built)
+    return _table(spark, sf, "orders").select("o_orderkey", blocktable.header_status(cut).alias("status"))
+
+
+@query("q57_sort_by_key", sql(CUST, then="SELECT row_number() OVER (ORDER BY v % 100, v DESC, idx) - 1 AS idx, v FROM seq"))
+def q57(spark, sf):
+    """Sorted by a comparator of two keys."""
+    return vector.sort(customers(spark, sf), key=F.struct(F.col("v") % 100, -F.col("v")))
+
+
+@query("q58_clear", sql(CUST, then="SELECT idx, v FROM seq WHERE false"))
+def q58(spark, sf):
+    return vector.clear(customers(spark, sf))
 
 
 @query("q43_push_pop", sql(CUST, then="SELECT idx, v FROM seq UNION ALL SELECT (SELECT count(*) FROM seq) + idx, v FROM seq WHERE idx < 45"))
@@ -369,11 +454,10 @@ def q43(spark, sf):
 
 @query("q44_footprint", sql(USER, BYTES, ROWS, CHOICES, PLANES, BLOCKS, then="SELECT CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(size) AS BIGINT) AS model_bytes FROM bl"))
 def q44(spark, sf):
-    seq = users(spark, sf)
-    return vector.byte_footprint(stats.plane_sizes(stats.row_stats(seq)), 8, 0)
+    return vector.byte_footprint(stats.block_sizes(stats.plane_sizes(stats.row_stats(users(spark, sf)))))
 
 
-@query("q45_shuffle")
+@query("q45_shuffle", sql(CUST, then="SELECT row_number() OVER (ORDER BY md5(concat_ws(':', 7, idx)), idx) - 1 AS idx, v FROM seq"))
 def q45(spark, sf):
     return vector.shuffle(customers(spark, sf), 7)
 

@@ -11,18 +11,14 @@ from ..operators import sequence, stats
 
 
 def sizes(columns: dict[str, DataFrame], width: int = 8) -> DataFrame:
-    """(name, blocks, raw_bytes, model_bytes, ratio, same, raw, normal, normal_rle) of sequences, over their full blocks."""
-    kinds = {"same": stats.SAME, "raw": stats.RAW, "normal": stats.NORMAL, "normal_rle": stats.NORMAL_RLE}
+    """(name, blocks, raw_bytes, model_bytes, ratio, same, raw, normal, normal_rle, partial) of sequences."""
+    kinds = {"same": stats.SAME, "raw": stats.RAW, "normal": stats.NORMAL, "normal_rle": stats.NORMAL_RLE, "partial": stats.PARTIAL}
 
     def one(name: str, seq: DataFrame) -> DataFrame:
         planes = stats.plane_sizes(stats.row_stats(seq, width))
-        per = planes.groupBy("blk").agg(F.sum("size").alias("size"), *[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()])
-        total = per.agg(
-            F.count(F.lit(1)).alias("blocks"),
-            (F.count(F.lit(1)) * 256 * width).alias("raw_bytes"),
-            (F.sum("size") + F.count(F.lit(1)) * ((width + 1) // 2)).alias("model_bytes"),
-            *[F.sum(n).alias(n) for n in kinds],
-        )
+        of_kind = planes.groupBy("blk").agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()])
+        per = stats.block_sizes(planes, width).join(of_kind, "blk")
+        total = per.agg(F.count(F.lit(1)).alias("blocks"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("size").alias("model_bytes"), *[F.sum(n).alias(n) for n in kinds])
         return total.select(F.lit(name).alias("name"), "blocks", "raw_bytes", "model_bytes", (F.col("raw_bytes") / F.col("model_bytes")).alias("ratio"), *kinds)
 
     return reduce(DataFrame.unionByName, [one(n, s) for n, s in columns.items()])

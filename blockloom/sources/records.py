@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def binary_records(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """(path, idx, record) of files of fixed-width records; an incomplete last record is left out. A file is one task's work."""
-
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                n = len(content) // width
-                for i in range(0, n, 100_000):
-                    k = min(n, i + 100_000)
-                    part = [content[j * width : (j + 1) * width] for j in range(i, k)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(i, k), pa.int64()), pa.array(part, pa.binary())], names=["path", "idx", "record"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, idx long, record binary")
+    """(idx, record) of files of records of width bytes, in the order of their paths.
+
+    Files are cut between records, so a large file is the work of many tasks. A file that doesn't end with a whole record
+    raises an error.
+    """
+    splits = spark.sparkContext.binaryRecords(path, width)
+    return spark.createDataFrame(splits.zipWithIndex().map(lambda x: (x[1], bytearray(x[0]))), "idx bigint, record binary")
 
 
 def numbers(spark: SparkSession, path: str) -> DataFrame:

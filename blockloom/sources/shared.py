@@ -14,6 +14,8 @@ def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = sc._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         base = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="blockloom-")
         if not found.isDefined():
             sc.setCheckpointDir(base)

@@ -6,19 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.levels import CodecConfig
 from ..operators.sequence import index
 from ..sources import blocktable
 
 
-def encode_stream(stream: DataFrame, order: list[str], value, path: str, checkpoint: str, width: int = 8, config: CodecConfig = CodecConfig()) -> StreamingQuery:
+def encode_stream(stream: DataFrame, order: list[str], value, path: str, checkpoint: str, elements: int = blocktable.ELEMENTS) -> StreamingQuery:
     """Appends block tables under path, one folder a micro-batch.
 
     A batch that runs again after a failure replaces its own folder, so each row is stored once.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        blocks = blocktable.encode(index(batch, order, value), width, config)
+        blocks = blocktable.encode(index(batch, order, value), elements)
         blocks.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/part={number}")
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -26,13 +25,7 @@ def encode_stream(stream: DataFrame, order: list[str], value, path: str, checkpo
 
 def decode_stream_table(spark, path: str) -> DataFrame:
     """(batch, idx, v) of what encode_stream() stored; idx counts within a batch."""
-    blocks = spark.read.parquet(path)
-    numbers = [r["batch"] for r in blocks.select("batch").distinct().orderBy("batch").collect()]  # a row a micro-batch
-    out = None
-    for n in numbers:
-        part = blocktable.decode(blocks.where(F.col("batch") == n)).withColumn("batch", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return blocktable.decode(spark.read.parquet(path), keep=("batch",))
 
 
 def windowed_sizes(stream: DataFrame, time: str, value: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
