@@ -5,8 +5,8 @@ are one class, represented by its smallest doc_id. N-grams are ordered from rare
 a count sketch over all documents (``SKETCH_ROWS`` rows of ``SKETCH_COLUMNS`` counters, a fixed
 size, so it is broadcast; any order gives the same links, rare-first gives few candidates). Two
 sets of similarity t or more share one of their first n - ceil(t n) + 1 n-grams in that order,
-so documents are joined on those, and the join itself applies the other filters: length (sizes
-within t), position (what can follow a common n-gram), suffix, and first common n-gram, so a pair
+so documents are joined on those. Rows whose n-gram has no other set of a size within t go first;
+the join itself applies the other filters: length (sizes within t), position (what can follow a common n-gram), suffix, and first common n-gram, so a pair
 comes up about once and not once for each n-gram that it shares (each row carries up to
 ``BEFORE`` of the shared n-grams before its own; a repeated pair is only dropped later).
 
@@ -296,7 +296,8 @@ def passing(placed: DataFrame, facts: DataFrame, test) -> DataFrame:
         keep = [any(test(x, y) for x in of[a] for y in of[b]) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())]
         return pairs.select([*PAIR, "block"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = placed.select(F.col("block").alias("home"), F.explode(F.array("a", "b")).alias("id")).distinct().join(facts.select("id", "fact"), "id")
+    needed = placed.select(F.col("block").alias("home"), F.col("a").alias("id")).unionByName(placed.select(F.col("block").alias("home"), F.col("b").alias("id"))).distinct()
+    needed = needed.join(facts.select("id", "fact"), "id")
     return materialise(placed.groupBy("block").cogroup(needed.groupBy("home")).applyInArrow(run, "a long, b long, ca long, cb long, block long"))
 
 
@@ -319,7 +320,7 @@ def verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, n: int, percent
 
     size = F.unhex(F.lpad(F.hex("n"), 16, "0"))
     pairs = passing(in_blocks(pairs), facts.select("id", F.concat(size, F.col("parity")).alias("fact")), near)
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     sets = materialise(texts.join(bounded(ids), "id", "left_semi").mapInArrow(grams, "id long, fact binary"))
     return passing(pairs, sets, similar).select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()
 
@@ -348,7 +349,10 @@ def prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, ...]:
     copies = materialise(named.groupBy("doc_id").agg(F.max(F.when(F.col("doc_id") == F.col("id"), 1).otherwise(0)).alias("own")).where("own = 0").select("doc_id"))
     texts = docs.where(F.col("doc_id").isNotNull()).join(bounded(copies), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "text")
 
-    shared = prefixes(texts, levels, n, percent).withColumn("docs", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("docs > 1")
+    # The length filter for whole lists: a row stays if the next smaller or larger set of its n-gram is near enough in size.
+    by_size = Window.partitionBy("gram").orderBy("n")
+    shared = prefixes(texts, levels, n, percent).select("*", F.lag("n").over(by_size).alias("smaller"), F.lead("n").over(by_size).alias("larger"))
+    shared = shared.where((F.col("smaller") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("larger") * percent))
     # A doc_id of several rows has no single digest, nor one order of its n-grams: its rows pass these filters.
     single = known.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"), *[F.min(d).alias(d) for d in SHORT]).where("rows = 1").drop("rows")
     placed = shared.select("gram", "id", "n", "at").join(single, "id", "left")
