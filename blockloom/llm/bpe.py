@@ -225,8 +225,11 @@ def append(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *columns.values()], names=[*kept, *columns])
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """Adds ids, n_tokens and offsets (for each pre-token the ends in code points and in ids, 32-bit pairs)."""
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
+    """Adds ids, n_tokens and offsets (for each pre-token the ends in code points and in ids, 32-bit pairs).
+
+    decoded: also the bytes that the ids decode to, as decode() gives them, without a second pass of workers.
+    """
     path = path or default_ranks()
 
     def run(batches):
@@ -242,9 +245,11 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
                     pairs[:, 1] = np.cumsum([len(e) >> 2 for e in each]) if each else 0
                     ids.append(b"".join(each))
                     offsets.append(pairs.tobytes())
-                yield append(part, {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) >> 2 for x in ids], pa.int64()), "offsets": pa.array(offsets, pa.binary())})
+                back = {"decoded": pa.array([ids_of.decode(x) for x in ids], pa.binary())} if decoded else {}
+                yield append(part, {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) >> 2 for x in ids], pa.int64()), "offsets": pa.array(offsets, pa.binary())} | back)
 
-    return docs.mapInArrow(run, with_fields(docs, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("offsets", T.BinaryType())))
+    fields = [("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("offsets", T.BinaryType())] + [("decoded", T.BinaryType())] * decoded
+    return docs.mapInArrow(run, with_fields(docs, *[T.StructField(*f) for f in fields]))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -351,8 +351,10 @@ def prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, ...]:
 
     # The length filter for whole lists: a row stays if the next smaller or larger set of its n-gram is near enough in size.
     by_size = Window.partitionBy("gram").orderBy("n")
-    shared = prefixes(texts, levels, n, percent).select("*", F.lag("n").over(by_size).alias("smaller"), F.lead("n").over(by_size).alias("larger"))
-    shared = shared.where((F.col("smaller") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("larger") * percent))
+    near = [of("n").over(by_size).cast("long").alias(name) for of, name in ((F.lag, "smaller"), (F.lead, "larger"))]
+    shared = prefixes(texts, levels, n, percent).select("*", *near)
+    size = F.col("n").cast("long")
+    shared = shared.where((F.col("smaller") * 100 >= size * percent) | (size * 100 >= F.col("larger") * percent))
     # A doc_id of several rows has no single digest, nor one order of its n-grams: its rows pass these filters.
     single = known.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"), *[F.min(d).alias(d) for d in SHORT]).where("rows = 1").drop("rows")
     placed = shared.select("gram", "id", "n", "at").join(single, "id", "left")

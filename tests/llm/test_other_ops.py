@@ -7,6 +7,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.llm import common, html_text, neighbours, ngram_join, queries, toxicity, warc
 from tests.conftest import same_rows
@@ -297,3 +298,27 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
         rows = p.run(spark, str(tmp_path / name)).collect()
         assert all(r["decodes"] for r in rows) and bool(rows) == (name == "odd")
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, sf):
+    """Repeated rows, several texts of one doc_id, rows without doc_id and rows without words."""
+    import corpus_pipeline as p
+
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w59", "x59")
+    other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "vu")
+    rows = [
+        (1, long), (1, long), (2, near), (None, long), (None, near),  # one group
+        (None, other), (None, other), (None, other + " end"),  # one without any doc_id
+        (5, third), (5, third), (None, third),
+        (7, ""), (7, ""), (None, None), (None, " "),  # no words: all stay
+        (9, "one two"), (2**62 - 1, "three four"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in p.drop_near_duplicates(spark, docs, sf).collect()), key=repr)
+    free = [r for r in got if r[0] is None and r[1] and r[1].strip()]
+    assert len(free) == 1 and free[0][1] in (other, other + " end")
+    assert [r for r in got if r not in free] == sorted([(1, long), (5, third), (7, ""), (7, ""), (None, None), (None, " "), (9, "one two"), (2**62 - 1, "three four")], key=repr)
+    assert p.drop_near_duplicates(spark, docs.limit(0), sf).count() == 0
+    top = docs.withColumn("doc_id", F.when(F.col("doc_id") == 9, (1 << 63) - 1).otherwise(F.col("doc_id")))
+    assert p.drop_near_duplicates(spark, top, sf).count() == len(got)
