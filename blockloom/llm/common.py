@@ -117,6 +117,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that a broadcast may have; beyond it the same join is shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Rows of a few bytes, to be broadcast if a count shows that they are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """At most ``buckets - 1`` ascending split points of a long key, for ranges of similar row counts."""
     if buckets < 2:

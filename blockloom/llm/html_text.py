@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import materialise, table
-from .ngram_join import bounded, runs_of, words_of
+from .common import bounded, materialise, table
+from .ngram_join import runs_of, words_of
 
 SHARD_PAGES, SHARD_BYTES, RUN, LEAST_PAGES = 256, 16 << 20, 8, 3
 #: Open elements that a new block looks through for one that it ends.

@@ -8,12 +8,13 @@ inner product differs from s_x s_y <q_x, q_y> by at most
 s_x s_y (|q_x|_1 / 2 + |q_y|_1 / 2 + d / 4). Pairs whose upper bound reaches the k-th best
 lower bound are computed again in double precision from the original vectors, and the k
 best of each query are merged into its heap. No pair that could be among the k best is
-lost, so the result is exact.
+lost, so the result is exact. A candidate is sent once for each block of ``QUERY_BLOCK`` queries and a query once for
+each slice of ``SLICE_ROWS`` candidates: bytes moved grow with the product of both counts, as the work does, over those sizes.
 
 Defined results: vectors that are null, empty, all zero or hold a null or non-finite
 component take no part, nor do rows without vec_id; vectors meet only those of their own
 length; ties go to the smaller vec_id; a query meets no row of its own vec_id; equal query
-rows are one query, repeated candidate rows each count; fewer than k candidates are all
+rows are one query, query rows of one vec_id with different vectors share one list of their k nearest pairs, repeated candidate rows each count; fewer than k candidates are all
 returned; an empty table gives no rows; other columns are ignored.
 """
 

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import SPACE_CHARS, materialise, table
+from .common import SPACE_CHARS, bounded, materialise, table
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -54,8 +54,6 @@ DIGEST, BEFORE = 256, 4
 #: Documents of a block of verification; bytes that are hashed at once; bytes of a word beyond which xxhash hashes it.
 BLOCK, PIECE, LONG_WORD = 64, 1 << 17, 64
 SHORT = ["d0", "d1", "d2", "d3"]
-#: Rows of ids that a broadcast may have; beyond it the same join is shuffled.
-BROADCAST_IDS = 2_000_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -325,10 +323,6 @@ def verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, n: int, percent
     return passing(pairs, sets, similar).select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (id, component) after links between components."""
     new = components(links).select(F.col("v").alias("component"), F.col("component").alias("into"))

@@ -3,7 +3,8 @@
 Writing: the payload of a page is its html in UTF-8. Payloads are compared by SHA-1; of equal
 ones the page with the largest page_id becomes a ``response`` record, the others become
 ``revisit`` records that refer to it (identical-payload-digest profile) and carry HTTP headers
-only. Each record is a gzip member of its own. A task packs records into archives of about
+only. Digests of several pages are broadcast where they are few enough (then no page is shuffled, however many share
+a payload), else joined by shuffle. Each record is a gzip member of its own. A task packs records into archives of about
 ``ARCHIVE_BYTES``: a ZIP file with the stored members ``archive/data.warc.gz`` and
 ``indexes/index.txt`` (offset and length of each record). Archives get new names; only those
 of tasks that succeeded are in the manifest, which is written to the shared folder.
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import materialise, shared_dir, table
+from .common import bounded, materialise, shared_dir, table
 from .tokenfiles import open_fs, write_bytes
 
 ARCHIVE_BYTES, RANGE_BYTES = 16 << 20, 4 << 20
@@ -201,7 +202,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
     repeated = rows.groupBy("sha").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     refers = F.when(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    rows = rows.join(repeated, "sha", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    rows = rows.join(bounded(materialise(repeated)), "sha", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
     def run(batches):
         held, size = [], 0

@@ -47,6 +47,14 @@ class Source(io.BytesIO):
         return len(self.getbuffer())
 
 
+def test_several_archives_of_a_task(spark, pages, monkeypatch):
+    few = {tuple(r) for r in warc.read_archives(warc.write_archives(pages, common.shared_dir(spark))).drop("payload").collect()}
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    manifest = warc.write_archives(pages.coalesce(1), common.shared_dir(spark), archive_bytes=300)
+    assert manifest.count() > 2 and manifest.agg({"n_records": "sum"}).first()[0] == pages.count()
+    assert {tuple(r) for r in warc.read_archives(manifest).drop("payload").collect()} == few
+
+
 def test_zip64_directory():
     """The same archive with its directory in ZIP64 form: all fields that can overflow do."""
     records = [warc.record(i, None, b"p%d" % i, warc.digest_of(b"p%d" % i), None) for i in range(5)]

@@ -239,6 +239,16 @@ def test_links_equal_brute_force(spark):
     assert {x["doc_id"]: x["component_id"] for x in placed.collect()} == brute_components(texts, 3, 90)[0]
 
 
+def test_shuffled_joins_give_the_same(spark, odd, monkeypatch):
+    """Beyond the bounds of broadcasts."""
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    ways = [lambda: rows(ngram_join.jaccard_links(odd)[-1]), lambda: rows(imatch.fingerprints(odd))]
+    broadcast = [w() for w in ways]
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", 0)
+    assert [w() for w in ways] == broadcast
+
+
 def test_component_rows(odd, none):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(odd).collect()), key=repr)
     assert got == sorted([(1, 3, 1), (2, 3, 1), (2, 3, 1), (3, 0, 3), (4, 0, 4), (None, 1, None), (5, 0, 5), (6, 2, 6), (7, 1, 7)], key=repr)
