@@ -169,6 +169,21 @@ def test_edited_counts_equal_whole_counts(monkeypatch):
             assert tree.n_tokens == sum(len(m[p]) >> 2 for p in bpe.pretokenise([t])[0][0])
 
 
+def test_registered_counts_equal_the_library(spark, sf):
+    e = reference_encoding()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = tokencounts.op9_token_counts(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r["doc_id"]]
+        n = len(t)
+        assert r["n_tokens"] == len(e.encode_ordinary(t))
+        for start, length, new in ((n // 4, 7, ""), (n // 2, 0, " (edited) "), (n * 3 // 4, 5, "it's\n")):
+            start = min(start, len(t))
+            t = t[:start] + new + t[start + length :]
+        assert (r["n_tokens_edited"], r["n_chars_edited"], r["edited_sha256"]) == (len(e.encode_ordinary(t)), len(t), hashlib.sha256(t.encode()).hexdigest())
+
+
 def test_count_rows(odd, none):
     edits = "array(struct(2L AS start, 3L AS length, 'new' AS replacement), CAST(struct(null, null, null) AS struct<start:bigint,length:bigint,replacement:string>), null)"
     counted = tokencounts.count_tokens(odd.withColumn("edits", F.expr(edits)))
@@ -306,7 +321,20 @@ def test_mix_near_targets(spark, odd, none):
     for s in size:
         assert target[s][0] == size[s] and abs(taken[s] - target[s][1]) <= 1 and target[s][1] <= 2 * size[s]
     assert abs(sum(t for _, t in target.values()) - 1.5 * sum(size.values())) < 1e-6 * sum(size.values())
-    assert len(mixing.mix(odd).collect()) == 9 and mixing.mix(none).count() == 0
+    assert mixing.mix(none).count() == 0
+    # Sizes by source: a 21, b 2, c 30,005; 150 % of all, weights 5, 2, 1, each at most twice: a and b are clamped, c takes the rest.
+    got = sorted(((r["doc_id"], r["size"], r["source_size"], r["target"], r["source"]) for r in mixing.mix(odd).collect()), key=repr)
+    size = {"a": 21, "b": 2, "c": 30_001 + 5}
+    left = 1.5 * sum(size.values()) - 2 * (size["a"] + size["b"])
+    target = {"a": 42.0, "b": 4.0, "c": left}
+    words_of = {1: 7, 2: 7, 3: 0, 4: 0, None: 2, 5: 0, 6: 30_001, 7: 5}
+    assert [(i, n) for i, n, *_ in got] == sorted([(i, words_of[i]) for i in (1, 2, 2, 3, 4, None, 5, 6, 7)], key=repr)
+    named = [x for x in got if x[4] is not None]
+    assert {x[4] for x in named} == set(size) and all(x[2] == size[x[4]] and abs(x[3] - target[x[4]]) < 1e-6 for x in named)
+    free = [x for x in got if x[4] is None]
+    assert [(x[0], x[2], x[3]) for x in free] == [(3, 0, 0.0)]
+    taken = {(r["doc_id"], r["source"]): r["taken"] for r in mixing.mix(odd).collect()}
+    assert taken[(1, "a")] == taken[(2, "a")] == 14 and taken[(None, "b")] == 4 and taken[(3, None)] == taken[(4, "b")] == taken[(5, "c")] == 0
 
 
 def test_fingerprints(spark, odd, none):
