@@ -387,8 +387,12 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
 
     sizes = named.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = both.join(sizes.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("size").alias("others"))
-    per_class = sizes.join(linked, "id", "left").select("id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    classes = both.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("classes"))
+    # Most classes have one row: only those of more are looked up.
+    more = sizes.where("size > 1").select(F.col("id").alias("v"), (F.col("size") - 1).alias("more"))
+    copies = both.join(more, "v").groupBy(F.col("u").alias("id")).agg(F.sum("more").alias("copies"))
+    none = F.lit(0).cast("bigint")
+    per_class = sizes.join(classes, "id", "left").join(copies, "id", "left").select("id", (F.col("size") - 1 + F.coalesce("classes", none) + F.coalesce("copies", none)).alias("n_links"))
     links = named.select("doc_id", "id").distinct().join(per_class, "id").groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
     labels = merged(named.select("id").distinct().withColumn("component", F.col("id")), pairs.unionByName(same_id))
     return pairs, named, links, with_components(rows, named, labels)
