@@ -154,6 +154,7 @@ class Merger(Cache):
     """Cache of pre-token to ids; merges what it does not hold."""
 
     def __init__(self, path: str):
+        super().__init__()
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}

@@ -29,7 +29,10 @@ class Cache(dict):
     every: weakref.WeakSet = weakref.WeakSet()
     __hash__ = object.__hash__
     __eq__ = object.__eq__
-    held = 0
+
+    def __init__(self, most: int | None = None):
+        super().__init__()
+        self.held, self.most = 0, most or CACHE_BYTES
 
     def use(self) -> Cache:
         for other in list(Cache.every):
@@ -42,20 +45,17 @@ class Cache(dict):
         self.clear()
         self.held = 0
 
-    def keep_all(self, new: dict[str, bytes]) -> None:
-        """Many short entries at once."""
-        size = sum(map(len, new)) + sum(map(len, new.values())) + 190 * len(new)
-        if self.held + size > CACHE_BYTES:
+    def added(self, n: int, size: int) -> None:
+        """After n entries of size bytes were put in."""
+        self.held += size + 190 * n
+        if self.held > self.most:
             self.empty()
-        if size <= CACHE_BYTES:
-            self.held += size
-            self.update(new)
 
     def keep(self, key, value):
         size = sys.getsizeof(key) + sys.getsizeof(value) + 100
-        if self.held + size > CACHE_BYTES:
+        if self.held + size > self.most:
             self.empty()
-        if size <= CACHE_BYTES >> 4:
+        if size <= self.most >> 4:
             self.held += size
             self[key] = value
         return value

@@ -49,8 +49,8 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<i8"), ("n", "<
 FOOTER = "<qqq32s8s"
 #: Documents and characters of a file, and files at most: beyond that files grow.
 ROWS_PER_FILE, CHARS_PER_FILE, FILES = 20_000, 256 << 20, 32768
-#: Characters of the longest word in the cache.
-CACHED_CHARS = 40
+#: Bytes of the cache of words, and characters of the longest word in it.
+CACHE_BYTES, CACHED_CHARS = 160 << 20, 40
 #: White space, other characters, then letters and digits. A pre-token never crosses from letters or
 #: digits to something else, nor into white space (which \x1c to \x1f aren't for the tokenizer).
 CHUNKS = re.compile("[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])*[^\\W_]+|[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])+|[^\\S\x1c-\x1f]+")
@@ -83,13 +83,13 @@ class Encoder:
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character of a byte-level token is a byte
         for token, i in vocabulary.items():
             self.length[i] = len(token)
-        self.known = Cache()  # by chunk; a word of letters and digits stands for the chunk of a space and the word
+        self.known = Cache(CACHE_BYTES)  # by word after a space, or marked chunk
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of words after a space: many are encoded as one text and told apart by their bytes."""
+        """Ids of words after a space, without white space at their ends: many are encoded as one text and told apart by their bytes."""
         out = []
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
@@ -99,26 +99,31 @@ class Encoder:
             out += [raw[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def _find(self, keys: set[str]) -> dict[str, bytes]:
-        """Ids of chunks and of words of letters and digits after a space."""
-        get = self.known.get
-        found = {k: v for k in keys if (v := get(k)) is not None}
-        new = [k for k in keys if k not in found]
-        plain, other = [k for k in new if k.isalnum()], [k for k in new if not k.isalnum()]
-        fresh = dict(zip(plain, self._spaced(plain))) | dict(zip(other, self._ids([k.removeprefix(BARE) for k in other])))
-        self.known.keep_all({k: v for k, v in fresh.items() if len(k) <= CACHED_CHARS})
-        return found | fresh
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that the cache doesn't hold, and of their chunks that it doesn't hold."""
+        known = self.known
+        plain = [w for w in words if w[:1] > " " and not w[-1].isspace()]
+        odd = {w: _chunks(" " + w) for w in set(words).difference(plain) if w[:1] != BARE}
+        chunks = {w for w in words if w[:1] == BARE}.union(*odd.values())
+        chunks = [k for k in chunks if k not in known and k[:1] == BARE]
+        plain = {*plain, *(k for c in odd.values() for k in c if k[:1] != BARE and k not in known)}
+        plain = list(plain)
+        fresh = dict(zip(plain, self._spaced(plain))) | dict(zip(chunks, self._ids([k.removeprefix(BARE) for k in chunks])))
+        whole = {w: b"".join([fresh[c] if c in fresh else known[c] for c in cs]) for w, cs in odd.items()}
+        return fresh | whole
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         lists = [_chunks(t) if NOT_AT_SPACES.search(t) else [*_chunks(t[: (k := (t + " ").index(" "))]), *t[k + 1 :].split(" ")] if " " in t else _chunks(t) for t in texts]
-        keys = set().union(*lists)
-        mixed = {w: (w[:-1], BARE + w[-1]) if w[:-1].isalnum() else _chunks(" " + w) for w in keys if not w.isalnum() and w[:1] != BARE}
-        keys.difference_update(mixed)
-        local = self._find(keys.union(*mixed.values()))
-        for w, chunks in mixed.items():
-            local[w] = b"".join([local[c] for c in chunks])
-        get = local.__getitem__
-        return [b"".join(map(get, parts)) for parts in lists]
+        known = self.known
+        fresh = self._fresh([w for w in set().union(*lists) if w not in known])
+        known.update(fresh)  # for now all of them, however long
+        get = known.__getitem__
+        out = [b"".join(map(get, parts)) for parts in lists]
+        for w in fresh:
+            if len(w) > CACHED_CHARS:
+                del known[w]
+        known.added(len(fresh), sum(map(len, fresh)) + sum(map(len, fresh.values())))
+        return out
 
 
 #: Mark keys that are not what follows a space: a chunk as it is.

@@ -63,6 +63,7 @@ class _Known(Cache):
     """Numbers of the features of tokens, -1 for none."""
 
     def __init__(self, feature: dict[str, int]):
+        super().__init__()
         self.feature = feature
 
     def __missing__(self, token: str) -> int:
