@@ -246,6 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLAS
             docs_, scores = model.nearest(*x, but=r["doc_id"])
             votes.append((model.vote(docs_, scores), r["toxic"], w))
     model.calibrate(votes)
+    pa.default_memory_pool().release_unused()  # what came through Arrow would stay with the driver
     return model
 
 
