@@ -8,9 +8,10 @@ product is the cosine. G2 is the likelihood ratio of a word's counts in the two
 one that has nothing to do with them: plain TF-IDF is led by the many words that say nothing.
 
 The inverted index holds the examples in blocks of alike ones (of one class, with the same of the
-commonest words), with the largest weight of each word in each block. A document adds up
+commonest words), with the largest weight of each word in each block. The ``COMMON`` commonest words, whose lists are
+the longest, are held as a matrix instead, and met by many documents at once. A document adds up
 the bounds of all blocks, scores the ``FIRST_BLOCKS`` of the largest bounds, then all others
-whose bound reaches the k-th best cosine: the k nearest are exact. Votes are weighted by cosine
+whose bound reaches the k-th best cosine: the k nearest are exact (cosines to 12 digits). Votes are weighted by cosine
 and by what an example stands for in its class. Leave-one-out votes of the examples
 themselves, in bins made monotone, calibrate votes to scores; a document without any word of
 the examples gets the rate of toxic examples among examples like it. The nearest examples are
@@ -41,8 +42,8 @@ from .common import Cache, table
 
 EXAMPLES_PER_CLASS = 2000
 NEIGHBOURS, BLOCK, FIRST_BLOCKS, BINS = 15, 64, 6, 20
-#: Commonest words by which examples are ordered.
-COMMON_WORDS = 24
+#: Commonest words by which examples are ordered, and those that are held as a matrix.
+COMMON_WORDS, COMMON = 24, 256
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -128,30 +129,51 @@ class Model:
         term, w = (np.concatenate([vectors[i][k] for i in keep]) for k in (0, 1))
         order = np.argsort(term, kind="stable")
         doc, term, w = doc[order], term[order], w[order]
-        # Runs: the entries of a feature in a block.
         del order
+        self.block_of = np.arange(len(keep)) // BLOCK
+        self.column = np.full(len(self.weight), -1, np.int64)
+        most = np.argsort(-df, kind="stable")[:COMMON]
+        self.column[most] = np.arange(len(most))
+        column = self.column[term]
+        self.dense = np.zeros((len(most), len(keep)))
+        self.dense[column[column >= 0], doc[column >= 0]] = w[column >= 0]
+        self.dense_largest = np.maximum.reduceat(self.dense, np.arange(0, len(keep), BLOCK), axis=1)
+        doc, term, w = doc[column < 0], term[column < 0], w[column < 0]
+        # Runs: the entries of a feature in a block.
         block = doc // BLOCK
         runs = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
         self.entries = doc, w
-        self.runs = block[runs], np.maximum.reduceat(w, runs), np.append(runs, len(doc))
+        self.runs = block[runs], np.maximum.reduceat(w, runs) if len(runs) else np.zeros(0), np.append(runs, len(doc))
         self.of_feature = np.searchsorted(term[runs], np.arange(len(self.weight) + 1))
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, but: int | None = None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples (by number) and cosines, nearest first; but: the id of one left out."""
+    def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each vector what the common words add to the bounds of blocks and to the cosines of examples."""
+        q = np.zeros((len(vectors), len(self.dense)))
+        for row, (at, w) in zip(q, vectors):
+            column = self.column[at]
+            row[column[column >= 0]] = w[column >= 0]
+        return q @ self.dense_largest, q @ self.dense
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, but: int | None = None, k: int = NEIGHBOURS, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples (by number) and cosines, nearest first; but: the id of one left out; common: the vector's common part."""
         (doc, weight), (block, largest, edge) = self.entries, self.runs
+        bounds, products = common or (x[0] for x in self.common_part([(at, w)]))
+        rare = self.column[at] < 0
+        at, w = at[rare], w[rare]
         first, last = self.of_feature[at], self.of_feature[at + 1]
         run, q = spans(first, last), np.repeat(w, last - first)
         block = block[run]
-        bound = np.bincount(block, q * largest[run], self.blocks)
+        bound = np.bincount(block, q * largest[run], self.blocks) + bounds
         order = np.argsort(-bound, kind="stable")
         docs, scores, least = np.zeros(0, int), np.zeros(0), 0.0
         for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             chosen = np.zeros(self.blocks, bool)
-            chosen[part] = (bound[part] > 0) & (bound[part] + 1e-12 >= least)
+            chosen[part] = (bound[part] > 0) & (bound[part] + 1e-9 >= least)
             m = chosen[block]
             a, b = edge[run[m]], edge[run[m] + 1]
             entry = spans(a, b)
             total = np.bincount(doc[entry], np.repeat(q[m], b - a) * weight[entry], len(self.ids))
+            total = np.where(chosen[self.block_of], np.round(total + products, 12), 0)
             hit = np.flatnonzero(total)
             hit = hit[self.ids[hit] != but] if but is not None else hit
             docs, scores = np.concatenate([docs, hit]), np.concatenate([scores, total[hit]])
@@ -183,16 +205,26 @@ class Model:
                 out[-2:] = [[(a * m + b * n) / (m + n), m + n, i + j]]
         self.bins = np.concatenate([[r] * n for r, _, n in out])
 
+    def score_many(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text its score, its nearest examples (by number) and their cosines."""
+        vectors = [self.vector(t) for t in texts]
+        none = np.zeros(0, int), np.zeros(0)
+        if not len(self.ids):
+            return [(self.bare, *none)] * len(texts)
+        out = []
+        for (at, w), *common in zip(vectors, *self.common_part(vectors)):
+            if not len(at):
+                out.append((self.bare, *none))
+                continue
+            docs, scores = self.nearest(at, w, common=tuple(common))
+            v = self.vote(docs, scores)
+            if self.bins is not None:
+                v = float(np.interp(v, (np.arange(BINS) + 0.5) / BINS, self.bins))
+            out.append((min(1.0, max(0.0, v)), docs, scores))
+        return out
+
     def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        """Score of a text, its nearest examples (by number) and their cosines."""
-        at, w = self.vector(text)
-        if not len(at) or not len(self.ids):
-            return self.bare, np.zeros(0, int), np.zeros(0)
-        docs, scores = self.nearest(at, w)
-        v = self.vote(docs, scores)
-        if self.bins is not None:
-            v = float(np.interp(v, (np.arange(BINS) + 0.5) / BINS, self.bins))
-        return min(1.0, max(0.0, v)), docs, scores
+        return self.score_many([text])[0]
 
 
 def examples(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS) -> tuple[DataFrame, dict[int, float]]:
@@ -241,10 +273,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLAS
     weights = [stands_for[r["toxic"]] for r in rows]
     model.index([r["doc_id"] for r in rows], [r["toxic"] for r in rows], weights, v)
     votes = []
-    for r, x, w in zip(rows, v, weights):
-        if len(x[0]):
-            docs_, scores = model.nearest(*x, but=r["doc_id"])
-            votes.append((model.vote(docs_, scores), r["toxic"], w))
+    for i in range(0, len(rows) if len(model.ids) else 0, 256):
+        part = slice(i, i + 256)
+        for r, x, w, *common in zip(rows[part], v[part], weights[part], *model.common_part(v[part])):
+            if len(x[0]):
+                docs_, scores = model.nearest(*x, but=r["doc_id"], common=tuple(common))
+                votes.append((model.vote(docs_, scores), r["toxic"], w))
     model.calibrate(votes)
     pa.default_memory_pool().release_unused()  # what came through Arrow would stay with the driver
     return model
@@ -260,7 +294,7 @@ def score(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
         m.known.use()
         for batch in batches:
             for part in slices(batch):
-                found = [m.score(t or "") for t in part.column("text").to_pylist()]
+                found = m.score_many([t or "" for t in part.column("text").to_pylist()])
                 s = np.array([x for x, _, _ in found], float)
                 out = {"score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))}
                 if evidence:
