@@ -160,6 +160,8 @@ class Merger(Cache):
         self.bytes_of = {v: k for k, v in self.ranks.items()}
 
     def __missing__(self, piece: str) -> bytes:
+        if (ids := self.old.get(piece)) is not None:
+            return self.keep(piece, ids)
         raw = piece.encode("utf-8")
         rank = self.ranks.get(raw)
         ids = [rank] if rank is not None else self._merge(raw) if len(raw) <= 100 else self._merge_long(raw)

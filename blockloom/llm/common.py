@@ -21,9 +21,11 @@ CACHE_BYTES = 32 << 20
 
 
 class Cache(dict):
-    """A cache of a Python worker, bounded by bytes; emptied when it is full.
+    """A cache of a Python worker, bounded by bytes, of two generations.
 
-    Workers go from stage to stage: the cache in use empties those of other operators.
+    When half of the bytes are used, what was put in becomes the old generation, and the old one before it
+    goes; a user of an old entry puts it in again. Workers go from stage to stage: the cache in use empties those
+    of other operators.
     """
 
     every: weakref.WeakSet = weakref.WeakSet()
@@ -33,6 +35,7 @@ class Cache(dict):
     def __init__(self, most: int | None = None):
         super().__init__()
         self.held, self.most = 0, most or CACHE_BYTES
+        self.old: dict = {}
 
     def use(self) -> Cache:
         for other in list(Cache.every):
@@ -43,21 +46,21 @@ class Cache(dict):
 
     def empty(self) -> None:
         self.clear()
-        self.held = 0
+        self.held, self.old = 0, {}
 
     def added(self, n: int, size: int) -> None:
         """After n entries of size bytes were put in."""
         self.held += size + 190 * n
-        if self.held > self.most:
-            self.empty()
+        if self.held > self.most // 2:
+            self.old = dict(self) if self.held <= self.most else {}
+            self.clear()
+            self.held = 0
 
     def keep(self, key, value):
         size = sys.getsizeof(key) + sys.getsizeof(value) + 100
-        if self.held + size > self.most:
-            self.empty()
         if size <= self.most >> 4:
-            self.held += size
             self[key] = value
+            self.added(0, size)
         return value
 
 

@@ -50,13 +50,10 @@ FOOTER = "<qqq32s8s"
 #: Documents and characters of a file, and files at most: beyond that files grow.
 ROWS_PER_FILE, CHARS_PER_FILE, FILES = 20_000, 256 << 20, 32768
 #: Bytes of the cache of words, and characters of the longest word in it.
-CACHE_BYTES, CACHED_CHARS = 160 << 20, 40
+CACHE_BYTES, CACHED_CHARS = 224 << 20, 40
 #: White space, other characters, then letters and digits. A pre-token never crosses from letters or
 #: digits to something else, nor into white space (which \x1c to \x1f aren't for the tokenizer).
 CHUNKS = re.compile("[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])*[^\\W_]+|[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])+|[^\\S\x1c-\x1f]+")
-#: White space before a space is the only case in which a pre-token may cross into a space; texts with
-#: the character that marks keys are cut into chunks as well.
-NOT_AT_SPACES = re.compile("\\s |\x00")
 
 
 def default_tokenizer() -> str:
@@ -113,9 +110,15 @@ class Encoder:
         return fresh | whole
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        lists = [_chunks(t) if NOT_AT_SPACES.search(t) else [*_chunks(t[: (k := (t + " ").index(" "))]), *t[k + 1 :].split(" ")] if " " in t else _chunks(t) for t in texts]
-        known = self.known
-        fresh = self._fresh([w for w in set().union(*lists) if w not in known])
+        known, old = self.known, self.known.old
+        lists = list(map(_parts, texts))
+        new = [w for w in set().union(*lists) if w not in known]
+        # A pre-token may cross from other white space into a space: texts with such places are cut into chunks as a whole, and those words are never kept.
+        if ends := {w for w in new if w[:1] != BARE and (not w or w[-1].isspace())}:
+            lists = [parts if ends.isdisjoint(parts) else _chunks(t) for t, parts in zip(texts, lists)]
+            new = [w for w in set().union(*lists) if w not in known]
+        again = {w: old[w] for w in new if w in old} if old else {}
+        fresh = self._fresh([w for w in new if w not in again]) | again
         known.update(fresh)  # for now all of them, however long
         get = known.__getitem__
         out = [b"".join(map(get, parts)) for parts in lists]
@@ -135,6 +138,15 @@ def _chunks(text: str) -> list[str]:
     return [c[1:] if c[0] == " " and c[1:].isalnum() else BARE + c for c in CHUNKS.findall(text)]
 
 
+def _parts(text: str) -> list[str]:
+    """Keys of a text: the chunks of its first word, what stands between spaces, and the chunks of white space at its end."""
+    first, space, rest = text.partition(" ")
+    if not space or BARE in text or first[-1:].isspace():
+        return _chunks(text)
+    *words, last = rest.split(" ")
+    return [*_chunks(first), *words, *([last] if last and not last[-1].isspace() else _chunks(" " + last))]
+
+
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -68,7 +68,9 @@ class _Known(Cache):
         self.feature = feature
 
     def __missing__(self, token: str) -> int:
-        return self.keep(token, self.feature.get(word_of(token), -1))
+        if (feature := self.old.get(token)) is None:
+            feature = self.feature.get(word_of(token), -1)
+        return self.keep(token, feature)
 
     def __reduce__(self):
         return _Known, (self.feature,)

@@ -115,6 +115,20 @@ def test_tokenizer_parts_equal_the_whole():
     assert e(texts) == e._ids(texts)
 
 
+def test_tokenizer_parts_with_a_small_cache():
+    """Generations of the cache come and go between batches; odd spaces, marks and long words in between."""
+    e = tokenfiles.Encoder(tokenfiles.default_tokenizer())
+    e.known.most = 300_000
+    r, flips = random.Random(9), 0
+    words = ["alpha", "it's", "x\n", "\ny", "", "é!", "\x00", "a\x00b", "w" * 60, "\u3000z", "q\u3000", "\x1c", "1,2", "_a_"]
+    for _ in range(60):
+        texts = [" ".join(r.choice(words) if r.random() < 0.1 else f"{r.choice('abc')}{r.randrange(400)}{r.choice(['', ',', '.'])}" for _ in range(r.randrange(40))) for _ in range(20)]
+        assert e(texts) == e._ids(texts)
+        flips += bool(e.known.old)
+        assert e.known.held <= e.known.most and not {"", "x\n", "q\u3000"} & set(e.known)
+    assert flips > 20
+
+
 def test_token_files(spark, odd, none):
     folder = common.shared_dir(spark)
     manifest = tokenfiles.write_token_files(odd, folder)
