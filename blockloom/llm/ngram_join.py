@@ -12,8 +12,8 @@ comes up about once and not once for each n-gram that it shares (each row carrie
 
 The suffix filter halves the hash space again and again; where a part of two sets holds numbers of n-grams
 that differ in parity the sets differ there, which bounds their distance from below. Rows of the join
-carry the parities of ``DIGEST`` parts; before whole sets are compared, the parities of parts of about half
-an n-gram are. Facts of documents meet in blocks of pairs, so they travel once a block. Each pair is
+carry the parities of ``DIGEST`` parts; before whole sets of more than ``SMALL_SET`` n-grams are compared, the parities
+of parts of about half an n-gram are. Facts of documents meet in blocks of pairs, so they travel once a block. Each pair is
 verified once.
 
 ``jaccard_links`` returns every verified pair of class representatives, the members of the
@@ -51,6 +51,8 @@ SKETCH_ROWS, SKETCH_COLUMNS, SKETCH_BLOCK, SKETCH_SLOTS = 2, 1 << 17, 1 << 12, 8
 ROUNDS = 2
 #: Parts of the hash space with a parity in each row of the join, four 64-bit numbers; shared n-grams that a row carries.
 DIGEST, BEFORE = 256, 4
+#: N-grams of sets that are compared without a look at their finer parities first.
+SMALL_SET = 512
 #: Documents of a block of verification; bytes that are hashed at once; bytes of a word beyond which xxhash hashes it.
 BLOCK, PIECE, LONG_WORD = 64, 1 << 17, 64
 SHORT = ["d0", "d1", "d2", "d3"]
@@ -267,10 +269,14 @@ def ordered(x: str, y: str) -> list[Column]:
     """Columns of a pair with the smaller id as a."""
     less = F.col(f"{x}.id") < F.col(f"{y}.id")
     pick = lambda name, first: F.when(less if first else ~less, F.col(f"{x}.{name}")).otherwise(F.col(f"{y}.{name}"))
-    return [pick(name, first).alias(to + side) for side, first in (("a", True), ("b", False)) for name, to in (("id", ""), ("component", "c"))]
+    return [pick(name, first).alias(to + side) for side, first in (("a", True), ("b", False)) for name, to in (("id", ""), ("component", "c"))] + [larger(x, y)]
 
 
-PAIR = ["a", "b", "ca", "cb"]
+def larger(x: str, y: str) -> Column:
+    return F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n")).cast("long").alias("n")
+
+
+PAIR = ["a", "b", "ca", "cb", "n"]
 
 
 def in_blocks(pairs: DataFrame) -> DataFrame:
@@ -296,7 +302,7 @@ def passing(placed: DataFrame, facts: DataFrame, test) -> DataFrame:
 
     needed = placed.select(F.col("block").alias("home"), F.col("a").alias("id")).unionByName(placed.select(F.col("block").alias("home"), F.col("b").alias("id"))).distinct()
     needed = needed.join(facts.select("id", "fact"), "id")
-    return materialise(placed.groupBy("block").cogroup(needed.groupBy("home")).applyInArrow(run, "a long, b long, ca long, cb long, block long"))
+    return materialise(placed.groupBy("block").cogroup(needed.groupBy("home")).applyInArrow(run, "a long, b long, ca long, cb long, n long, block long"))
 
 
 def verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -317,7 +323,9 @@ def verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, n: int, percent
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), n)], pa.binary())], names=["id", "fact"])
 
     size = F.unhex(F.lpad(F.hex("n"), 16, "0"))
-    pairs = passing(in_blocks(pairs), facts.select("id", F.concat(size, F.col("parity")).alias("fact")), near)
+    placed = in_blocks(pairs)
+    large = passing(placed.where(F.col("n") > SMALL_SET), facts.select("id", F.concat(size, F.col("parity")).alias("fact")), near)
+    pairs = placed.where(F.col("n") <= SMALL_SET).unionByName(large)
     ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     sets = materialise(texts.join(bounded(ids), "id", "left_semi").mapInArrow(grams, "id long, fact binary"))
     return passing(pairs, sets, similar).select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()
@@ -381,8 +389,8 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
     rows, facts, named, texts, posted, same_id = prepared(docs, n, percent)
     side = lambda k: posted.select("gram", F.struct(*ROW).alias(k))
     met = side("x").join(side("y"), "gram").where((F.col("x.id") < F.col("y.id")) & possible("x", "y", percent) & ~met_before("x", "y"))
-    found = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).dropDuplicates(["a", "b"])
-    found = materialise(found.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    found = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), larger("x", "y")).dropDuplicates(["a", "b"])
+    found = materialise(found.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"), "n"))
     pairs = materialise(verify(found, facts, texts, n, percent))
 
     sizes = named.groupBy("id").agg(F.count(F.lit(1)).alias("size"))

@@ -250,8 +250,10 @@ def test_components_of_chains_and_groups(spark, n, percent):
     assert {x["doc_id"]: x["n_shingles"] for x in got} == sizes
 
 
-def test_links_equal_brute_force(spark):
-    """Every pair of a group of near copies, copies of one set as members, and the number of links."""
+@pytest.mark.parametrize("small", [512, 100])
+def test_links_equal_brute_force(spark, monkeypatch, small):
+    """Every pair of a group of near copies, copies of one set as members, and the number of links; without and with finer parities."""
+    monkeypatch.setattr(ngram_join, "SMALL_SET", small)
     r = random.Random(6)
     base = [f"w{k}" for k in range(120)]
     texts = {}
