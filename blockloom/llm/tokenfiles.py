@@ -2,8 +2,8 @@
 
 Writing: texts are encoded with a public tokenizer, the end id is appended, the ids are
 serialized (16-bit little-endian while the vocabulary fits, else 32-bit). A dictionary is
-trained with zstandard on the serialized ids of at most ``SAMPLE_DOCS`` documents (of those of at most
-``SAMPLE_CHARS`` characters the ones with the smallest hash of their id, a documented bound) and has at most ``DICT_BYTES``. Documents are
+trained with zstandard on the serialized ids of at most ``SAMPLE_DOCS`` documents (those with the
+smallest hash of their id, if they have at most ``SAMPLE_CHARS`` characters; a documented bound) and has at most ``DICT_BYTES``. Documents are
 compressed one by one where they are encoded, so only compressed bytes are shuffled; ranges
 of doc_id become files, each written by one task in ascending doc_id order, frame by frame: a task
 holds the index of its file, not its frames.
@@ -47,10 +47,10 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, 100_000, 112_640, 3
 MAGIC = b"BLOOMTK1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<i8"), ("n", "<i8")])
 FOOTER = "<qqq32s8s"
-#: Documents and characters of a file, and files at most: beyond that files grow.
-ROWS_PER_FILE, CHARS_PER_FILE, FILES = 20_000, 256 << 20, 32768
+#: Documents of a file, and files at most: beyond that files grow, not what a task holds but for the index.
+ROWS_PER_FILE, FILES = 20_000, 32768
 #: Bytes of the cache of words, and characters of the longest word in it.
-CACHE_BYTES, CACHED_CHARS = 224 << 20, 40
+CACHE_BYTES, CACHED_CHARS = 288 << 20, 40
 #: White space, other characters, then letters and digits. A pre-token never crosses from letters or
 #: digits to something else, nor into white space (which \x1c to \x1f aren't for the tokenizer).
 CHUNKS = re.compile("[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])*[^\\W_]+|[^\\S\x1c-\x1f]*(?:[^\\w\\s]|[_\x1c-\x1f])+|[^\\S\x1c-\x1f]+")
@@ -88,10 +88,11 @@ class Encoder:
     def _spaced(self, words: list[str]) -> list[bytes]:
         """Ids of words after a space, without white space at their ends: many are encoded as one text and told apart by their bytes."""
         out = []
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([1 + len(w.encode()) for w in part])) + 1
+        for i in range(0, len(words), 4000):
+            text = " " + " ".join(words[i : i + 4000])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.append(np.flatnonzero(raw == 32)[1:], len(raw))) + 1
             raw, at = ids.tobytes(), [0, *(ends * self.width).tolist()]
             out += [raw[a:b] for a, b in zip(at, at[1:])]
         return out
@@ -105,9 +106,10 @@ class Encoder:
         chunks = [k for k in chunks if k not in known and k[:1] == BARE]
         plain = {*plain, *(k for c in odd.values() for k in c if k[:1] != BARE and k not in known)}
         plain = list(plain)
-        fresh = dict(zip(plain, self._spaced(plain))) | dict(zip(chunks, self._ids([k.removeprefix(BARE) for k in chunks])))
-        whole = {w: b"".join([fresh[c] if c in fresh else known[c] for c in cs]) for w, cs in odd.items()}
-        return fresh | whole
+        fresh = dict(zip(plain, self._spaced(plain)))
+        fresh.update(zip(chunks, self._ids([k.removeprefix(BARE) for k in chunks])))
+        fresh.update([(w, b"".join([fresh[c] if c in fresh else known[c] for c in cs])) for w, cs in odd.items()])
+        return fresh
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known, old = self.known, self.known.old
@@ -118,7 +120,8 @@ class Encoder:
             lists = [parts if ends.isdisjoint(parts) else _chunks(t) for t, parts in zip(texts, lists)]
             new = [w for w in set().union(*lists) if w not in known]
         again = {w: old[w] for w in new if w in old} if old else {}
-        fresh = self._fresh([w for w in new if w not in again]) | again
+        fresh = self._fresh([w for w in new if w not in again] if again else new)
+        fresh.update(again)
         known.update(fresh)  # for now all of them, however long
         get = known.__getitem__
         out = [b"".join(map(get, parts)) for parts in lists]
@@ -152,7 +155,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def by_size(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20):
+def by_size(batch: pa.RecordBatch, column: str = "text", size: int = 8 << 20):
     """Slices of a batch with texts of about size bytes together: the more, the fewer words are looked up twice."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     cuts = np.unique(np.cumsum(lengths) // size, return_index=True)[1].tolist()
@@ -180,11 +183,12 @@ def write_bytes(url: str, *parts: bytes) -> None:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, dict_bytes: int = DICT_BYTES, sample_docs: int = SAMPLE_DOCS) -> bytes:
-    """From at most sample_docs documents of up to SAMPLE_CHARS characters, those with the least hash of their id."""
+    """From those of at most sample_docs documents, with the least hashes of their id, that have up to SAMPLE_CHARS characters."""
     import zstandard
 
+    some = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.where(F.length(text) <= SAMPLE_CHARS).orderBy(F.xxhash64(F.col("doc_id")), "doc_id", F.length("text")).select(text.alias("t")).limit(sample_docs)
+    rows = docs.join(F.broadcast(some.distinct()), "doc_id").where(F.length(text) <= SAMPLE_CHARS).orderBy("doc_id", "text").select(text.alias("t")).limit(sample_docs)
     samples = rows.mapInArrow(lambda it: _serialized(it, tokenizer), "ids binary").toArrow().column(0).to_pylist()
     try:
         return zstandard.train_dictionary(dict_bytes, samples, level=LEVEL).as_bytes() if len(samples) > 16 else b""
@@ -210,8 +214,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 0, tokenizer:
     digest = hashlib.sha256(dictionary).digest()
     write_bytes(f"{folder}/dictionary", dictionary)
     shared = docs.sparkSession.sparkContext.broadcast(dictionary)
-    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    bounds = range_bounds(docs, "doc_id", max(1, min(FILES, max(size.rows // ROWS_PER_FILE, size.chars // CHARS_PER_FILE))))
+    bounds = range_bounds(docs, "doc_id", max(1, min(FILES, docs.count() // ROWS_PER_FILE)))
 
     def compress(batches):
         ids_of = encoder(tokenizer)
