@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import sys
 import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +68,14 @@ class Cache(dict):
         return value
 
 
+def give_back() -> None:
+    """Gives freed memory of this process back to the system: the driver would keep what models and Arrow tables took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Rows and bytes of the Arrow batches that Python workers get: fixed values of Spark's defaults, and what replaces them.
 BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"))
 

@@ -410,13 +410,18 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
     rows, facts, named, texts, posted, same_id = prepared(docs, n, percent)
     lists = Window.partitionBy("gram")
-    labels = merged(named.select("id").distinct().withColumn("component", F.col("id")), same_id)
+    labels = materialise(named.select("id").distinct().withColumn("component", F.col("id")))
+    known = materialise(same_id)
 
     def step(found: DataFrame) -> DataFrame:
-        """Verifies the pairs found; merges labels; returns the pairs that it tried."""
-        nonlocal labels
+        """Verifies the pairs found; merges labels by them and by what else is known; returns the pairs that it tried."""
+        nonlocal labels, known
         found = materialise(found)
-        labels = merged(labels, verify(found, facts, texts, n, percent))
+        links = verify(found, facts, texts, n, percent) if not found.isEmpty() else None
+        links = links if known is None or known.isEmpty() else known if links is None else links.unionByName(known)
+        known = None
+        if links is not None:
+            labels = merged(labels, links)
         return found.select("a", "b")
 
     mine = F.struct(*ROW, "component").alias("y")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import append, slices, with_fields
-from .common import Cache, table
+from .common import Cache, give_back, table
 
 EXAMPLES_PER_CLASS = 2000
 NEIGHBOURS, BLOCK, FIRST_BLOCKS, BINS = 15, 64, 6, 20
@@ -282,7 +282,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLAS
                 docs_, scores = model.nearest(*x, but=r["doc_id"], common=tuple(common))
                 votes.append((model.vote(docs_, scores), r["toxic"], w))
     model.calibrate(votes)
-    pa.default_memory_pool().release_unused()  # what came through Arrow would stay with the driver
+    del rows, v, votes
+    give_back()
     return model
 
 
