@@ -52,7 +52,7 @@ ROUNDS = 2
 #: Parts of the hash space with a parity in each row of the join, four 64-bit numbers; shared n-grams that a row carries.
 DIGEST, BEFORE = 256, 4
 #: N-grams of sets that are compared without a look at their finer parities first.
-SMALL_SET = 512
+SMALL_SET = 256
 #: Documents of a block of verification; bytes that are hashed at once; bytes of a word beyond which xxhash hashes it.
 BLOCK, PIECE, LONG_WORD = 64, 1 << 17, 64
 SHORT = ["d0", "d1", "d2", "d3"]
@@ -424,11 +424,12 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
             labels = merged(labels, links)
         return found.select("a", "b")
 
-    mine = F.struct(*ROW, "component").alias("y")
+    mine = F.struct(*ROW[:-1], "component").alias("y")
+    bare = posted.select("gram", *ROW[:-1])
     tried = None
     for turn in range(ROUNDS):
         order = lists.orderBy("n", "id") if turn == 0 else lists.orderBy(F.xxhash64("gram", "id", F.lit(turn)), "id")
-        near = posted.join(labels, "id").select(mine, F.lag(mine).over(order).alias("x"))
+        near = (bare.join(labels, "id") if turn else bare.withColumn("component", F.col("id"))).select(mine, F.lag(mine).over(order).alias("x"))
         near = near.where((F.col("x.component") != F.col("y.component")) & possible("x", "y", percent)).select(*ordered("x", "y")).dropDuplicates(["a", "b"])
         new = step(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
         tried = new if tried is None else tried.unionByName(new)
